@@ -23,12 +23,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, worker_cache
+from .common import Memo, only, slices, worker_cache
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS = 200_000
+CACHE_WORDS, TOGETHER = 400_000, 400
 
 
 @dataclass
@@ -132,7 +132,8 @@ class Codec:
         self.tok = build(self.model)
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=blob)
         self.apart = words_are_apart(self.model)
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        # whole texts (where words aren't apart) are looked up only within their batch
+        self.memo = Memo(self._learn, CACHE_WORDS if self.apart else 0)
         self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.encode() for p, _, kind in self.model.pieces]
         self.raw[self.model.unk_id] = " ⁇ ".encode()
         self.prefix = self.model.add_dummy_prefix
@@ -144,38 +145,27 @@ class Codec:
         skip = len(self.peer.encode("\n"))
         return [x[skip:] for x in self.peer.encode(["\n" + w for w in words], num_threads=2)]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
+    def _learn(self, words: list[str]) -> list[tuple[bytes, bool]]:
         mine = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
         if self.apart:
             peers = self._peer_ids(words, False)
         else:
             peers = self._peer_ids([w[1:] if self.prefix and w else w for w in words], True)
-        for w, a, b in zip(words, mine, peers):
-            self.known[w] = (np.asarray(b, dtype="<u4").tobytes(), a == b)
+        return [(np.asarray(b, dtype="<u4").tobytes(), a == b) for a, b in zip(mine, peers)]
 
     def words(self, text: str) -> list[str]:
         if self.prefix and text:
             text = " " + text
         if not self.apart:
             return [text] if text else []
-        return re.findall(r" +[^ ]*|[^ ]+", text)
+        return re.findall(rf"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+", text)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """(ids as little-endian u32 bytes, whether both libraries agree) of each text."""
-        cut_up = [self.words(t) for t in texts]
         out = []
-        for words in cut_up:
-            new = list({w for w in words if w not in self.known})
-            if new:
-                self._learn(new)
-                if any(w not in self.known for w in words):
-                    self._learn(list(set(words)))
-            got = [self.known[w] for w in words]
-            out.append((b"".join([x[0] for x in got]), all([x[1] for x in got])))
-            if not self.apart:
-                self.known.clear()
+        for some in slices(texts, TOGETHER):
+            for got in self.memo.many([self.words(t) for t in some]):
+                out.append((b"".join([x[0] for x in got]), all([x[1] for x in got])))
         return out
 
     def decode(self, ids: bytes) -> str:
