@@ -292,7 +292,7 @@ def jaccard_join(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     rows = cut(sketch(docs), "sketches")
     key = F.coalesce("doc_id", F.lit(NO_ID))
     nodes = cut(
-        rows.filter("node is not null").groupBy("node").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("mass").alias("mass"), F.first("sig").alias("sig")),
+        rows.filter("node is not null").groupBy("node").agg(F.min(key).alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.first("mass").alias("mass"), F.first("sig").alias("sig")),
         "nodes",
     )
     bands = band_rows(nodes)
@@ -310,8 +310,8 @@ def jaccard_join(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     links = cut(link_rows(work, t), "links")
     classes = components(links.filter("node <> root").select(F.greatest("node", "root").alias("a"), F.least("node", "root").alias("b")), "classes")
     counts = links.groupBy("node").agg(F.sum("n_sets").alias("n_sets"), F.sum("n_docs").alias("n_docs"))
-    named = nodes.select("node", "rep", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min(F.when(F.col("rep") != NO_ID, F.col("rep"))).alias("class_id"), F.sum("copies").alias("class_size"))
+    named = nodes.select("node", "low", "copies").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("copies").alias("class_size"))
     facts = named.join(ids, "root").join(counts, "node", "left").select("node", "copies", "class_id", "class_size", "n_sets", "n_docs")
     return rows.select("doc_id", "node").join(facts, "node", "left").select(
         "doc_id",

@@ -1,0 +1,171 @@
+"""Each method against brute force over small tables."""
+
+import math
+import random
+import re
+
+import pytest
+
+from goldvein.llm import decontaminate, jaccard, licences, pii, quality, tokenindex, warc
+
+
+def words_of(text):
+    return [w for w in (re.sub(r"^[\W_]+|[\W_]+$", "", c.lower()) for c in (text or "").split()) if w]
+
+
+def shingle_set(text):
+    w = words_of(text)
+    n = min(5, len(w))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+
+@pytest.fixture(scope="module")
+def near_rows():
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    rows, k = [], 0
+    for g in range(25):
+        base = rng.choices(vocab, k=rng.randint(30, 120))
+        for _ in range(rng.randint(1, 6)):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((k, " ".join(w)))
+            k += 1
+    rows += [(k, None), (k + 1, ""), (k + 2, "!!!"), (k + 3, "two words"), (k + 4, "Two, words"), (None, rows[0][1]), rows[3], rows[3], (k + 5, "x " * 5000), (k + 6, "x " * 6000)]
+    return rows
+
+
+def brute_classes(rows):
+    sets, n = [shingle_set(t) for _, t in rows], len(rows)
+    root, links = list(range(n)), [0] * n
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i + 1, n):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-12:
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    ids = {}
+    for i in range(n):
+        if rows[i][0] is not None:
+            ids[find(i)] = min(ids.get(find(i), 10**9), rows[i][0])
+    return [(rows[i][0], ids.get(find(i)), links[i]) for i in range(n)]
+
+
+def test_jaccard_join(spark, near_rows):
+    got = jaccard.jaccard_join(spark.createDataFrame(near_rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or 0, r[2])
+    assert sorted(map(tuple, got), key=key) == sorted(brute_classes(near_rows), key=key)
+
+
+def test_jaccard_blocks(spark, near_rows, monkeypatch):
+    """Components cut into many blocks give the same result."""
+    monkeypatch.setattr(jaccard, "BLOCK_MASS", 150)
+    test_jaccard_join(spark, near_rows)
+
+
+def test_keep_one(spark, near_rows):
+    kept = [r.doc_id for r in jaccard.keep_one(spark.createDataFrame(near_rows, "doc_id long, text string")).collect()]
+    classes = {c for i, c, _ in brute_classes(near_rows)}
+    assert sorted(k for k in kept if k is not None) == sorted(c for c in classes if c is not None) and kept.count(None) == 1
+
+
+def test_pruning_bound():
+    tail = lambda n, m, t: sum(math.comb(n + 1, k) * t**k * (1 - t) ** (n + 1 - k) for k in range(m + 1))
+    for n in (12, 60, 108):
+        m = jaccard.least_agreements(n)
+        assert tail(n, m, 0.8) >= jaccard.TOLERANCE and (m == 0 or tail(n, m - 1, 0.8) < jaccard.TOLERANCE)
+
+
+BENCH = [(1, "A train leaves Boston at 60 km and meets another train from Denver after 5 hours on the same track"), (2, "how many red marbles are in the jar when Alice takes 7 away"), (3, "tiny item here"), (4, None), (5, "")]
+LEAKS = [
+    (10, "Intro words. A train leaves Boston at 60 km and meets another train from Denver after 5 hours on the same track. End", {1: "exact"}),
+    (11, "A train leaves Madrid at 75 km and meets another train from Lisbon after 9 hours on the same track", {1: "reparameterised"}),
+    (12, "A TRAIN leaves|", {}),
+    (13, "x y How many red marbles are in the jar when Alice takes 7 away? Yes", {2: "exact"}),
+    (14, "the train station in Boston has 60 tracks and meets nobody", {}),
+    (15, "say tiny, item here please", {3: "exact"}),
+    (16, None, {}),
+    (17, "", {}),
+    (None, "a tiny item here", {3: "exact"}),
+]
+
+
+@pytest.mark.parametrize("most", [decontaminate.MOST_WINDOWS, 0])
+def test_decontamination(spark, most):
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in LEAKS], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(BENCH + BENCH[:1], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.find_leaks(docs, bench, most).collect()}
+    assert got == {(i, k): v for i, _, found in LEAKS for k, v in found.items()}
+    clean = {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()}
+    assert clean == {i for i, _, found in LEAKS if not found}
+
+
+def test_inconsistent_slots():
+    """The same template with slots that clash isn't taken for the item."""
+    chunks = decontaminate.Chunks()
+    bench = decontaminate.Benchmark([(1, "give 5 pears to Tom and then 5 plums to Ann and 8 figs to Tom again")])
+    good = "give 3 pears to Bob and then 3 plums to Eve and 9 figs to Bob again"
+    bad = "give 3 pears to Bob and then 4 plums to Eve and 3 figs to Kim again"
+    assert list(bench.matches(*decontaminate.template(good, chunks))) and not list(bench.matches(*decontaminate.template(bad, chunks)))
+
+
+def test_contextual_pii(spark):
+    rng = random.Random(2)
+    filler = [f"word{chr(97 + i)}" for i in range(26)]
+    rows = [(i, f"{' '.join(rng.choices(filler, k=8))} reach me at user{i}@mail.example.com or elsewhere {' '.join(rng.choices(filler, k=5))}") for i in range(40)]
+    rows += [(100, "please reach me at handle-4821-xq today"), (101, "version of build-4821-xq today"), (102, None), (102, ""), (None, "reach me at QQ-99887766.")]
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_context}
+    assert got[100].spans == "context:19:33" and got[None].spans == "context:12:23" and set(got) == {100, None}
+    text = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, spans string")).collect()}
+    assert text[100] == "please reach me at <CONTEXT> today" and text[101] == rows[41][1] and "<EMAIL> or" in text[5]
+
+
+def test_adaptive_fences(spark):
+    """A source where symbols are usual keeps its rows; the same rows elsewhere go."""
+    rng = random.Random(1)
+    plain = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    marked = lambda: " ".join(f"w{rng.randrange(10**6)}" + ("#" if rng.random() < 0.3 else "") for _ in range(40))
+    rows = [(i, plain(), "en", "prose") for i in range(400)] + [(1000 + i, marked(), "de", "code") for i in range(400)]
+    rows += [(5000, marked(), "en", "prose"), (5001, None, None, None), (5002, "few words", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.quality(docs).filter("kept").collect()}
+    assert set(range(400)) | set(range(1000, 1400)) <= kept and not kept & {5000, 5001, 5002}
+    assert {r.doc_id for r in quality.filter_quality(docs.withColumnRenamed("text", "text").withColumn("n_words", docs.lang)).collect()} == kept
+
+
+def test_licence_texts(spark):
+    mit = licences.KNOWN[0][1]
+    rows = [(1, mit), (2, mit.upper().replace("2024 A", "1999 SOMEBODY ELSE")), (3, mit.replace("sublicense", "sub-licence").replace(",", " ,")), (4, mit + " more"), (5, "prose\nLicenced under the MIT Licence.\nprose"), (6, None), (7, ""), (7, "All rights reserved"), (None, "!!")]
+    got = {r.doc_id: (r.text_licence, r.line_licences, r.n_licence_lines) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in (1, 2, 3, 4)] == ["MIT", "MIT", "MIT", None] and got[5] == (None, "MIT", 1)
+    assert got[6] == (None, "", 0) and got[7] == ("Proprietary", "Proprietary", 1) and got[None] == (None, "", 0)
+
+
+def test_perfect_hash():
+    import numpy as np
+
+    keys = tokenindex.key_hash([None, *range(-500, 20_000)], np.zeros(20_501, np.uint64))
+    blob = tokenindex.build_bucket(keys, np.arange(len(keys)) % 7, np.arange(len(keys)) * 3, np.arange(len(keys)))
+    found, rows = tokenindex.probe_bucket(blob, keys)
+    assert found.all() and (rows["offset"] == np.arange(len(keys)) * 3).all() and sorted(tokenindex.Mphf.build(keys).slots(keys)) == list(range(len(keys)))
+    assert not tokenindex.probe_bucket(blob, tokenindex.key_hash(list(range(10**6, 10**6 + 5000)), np.zeros(5000, np.uint64)))[0].any()
+
+
+def test_bundle_frames(spark, tmp_path):
+    """Every record is reached by its frame alone, and other Zstandard readers can read a whole bundle."""
+    import zstandard
+
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i * 37 % 900)) for i in range(300)], "page_id long, url string, html string")
+    index = warc.write_bundles(pages, f"file://{tmp_path}", frame_bytes=2_000).collect()
+    for r in index[::17]:
+        assert f"<urn:page:{r.page_id}>" in warc.open_bundle(f"file://{tmp_path}/{r.bundle}").frame(r.frame)[r.at : r.at + r.length].decode()
+    whole = b"".join(zstandard.ZstdDecompressor().stream_reader(open(f"{tmp_path}/{n}", "rb"), read_across_frames=True).read() for n in {r.bundle for r in index})
+    assert whole.count(b"WARC/1.1\r\n") == 300 and max(r.frame for r in index) > 3
