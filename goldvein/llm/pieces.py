@@ -28,7 +28,7 @@ from .common import Memo, only, slices, worker_cache
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS, TOGETHER = 400_000, 400
+CACHE_WORDS, TOGETHER = 250_000, 400
 
 
 @dataclass
