@@ -2,10 +2,10 @@
 
 Encoding. A text is cut at ASCII white space into chunks; the tokenizer drops white space and never merges across
 it, so the ids of the text are those of its chunks in turn. Each distinct chunk goes through the tokenizers library
-once per worker and its ids are kept (bounded by ``CACHE_CHUNKS``). Whole texts are encoded, none is shortened.
+once per worker and its ids are kept (bounded by twice ``CACHE_CHUNKS``). Whole texts are encoded, none is shortened.
 
-Shards. Documents are range-partitioned by doc_id; each task writes one shard: ids as little-endian unsigned 32-bit
-integers, nothing between them, documents in ascending doc_id.
+Shards. Documents are range-partitioned by doc_id; each task writes one shard: ids as little-endian unsigned integers
+of two bytes (four where the vocabulary is larger), nothing between them, documents in ascending doc_id.
 
 Index. Keys fall into buckets by hash; each bucket file holds a minimal perfect hash of its keys (levels of bit
 arrays: a bit is set where exactly one key of the level lands, the rest moves on to the next level; a key's slot is
@@ -19,6 +19,7 @@ their number among them (order: length, then text), which is part of the key. An
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -26,35 +27,40 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, file_system, fresh_path, only, put_file, worker_cache
+from .common import Memo, cut, file_system, fresh_path, only, put_file, slices, worker_cache
 
 END_ID = 2
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS, TOGETHER = 350_000, 400
 KEYS_PER_BUCKET = 200_000
 GAMMA = 2.0
-ID_BYTES = 4
 SEED_STEP = 0x9E3779B97F4A7C15
 SLOT = np.dtype([("fp", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n", "<u4")])
 
 
-def encoder(tokenizer_file: str):
-    """text -> its ids as little-endian u32 bytes, through the tokenizers library chunk by chunk."""
+def id_type(tokenizer_file: str) -> str:
+    """Two bytes an id where the vocabulary allows, else four."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer_file).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoder(tokenizer_file: str, kind: str):
+    """texts -> their ids as bytes of ``kind``, through the tokenizers library chunk by chunk."""
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_file)
     tok.encode_special_tokens = True
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        chunks = text.encode("utf-8").split()
-        new = list({c for c in chunks if c not in known})
-        if new:
-            if len(known) + len(new) > CACHE_CHUNKS:
-                known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, tok.encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False)):
-                known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, chunks))
+    # ASCII letters may be lowered before the lookup where the tokenizer lowers all letters anyway
+    fold = [e.ids for e in tok.encode_batch(["Az'S zA"], add_special_tokens=False)] == [e.ids for e in tok.encode_batch(["az's za"], add_special_tokens=False)]
+
+    def learn(chunks: list[bytes]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype=kind).tobytes() for e in tok.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
+
+    memo = Memo(learn, CACHE_CHUNKS)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        raw = [t.encode("utf-8") for t in texts]
+        return [b"".join(x) for x in memo.many([(t.lower() if fold else t).split() for t in raw])]
 
     return encode
 
@@ -157,14 +163,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     ordered = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.length("text"), "text"
     )
-    ending = np.asarray([end_id], dtype="<u4").tobytes()
+    kind = id_type(tokenizer_file)
+    width, ending = int(kind[-1]), np.asarray([end_id], dtype=kind).tobytes()
 
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode = worker_cache(f"ids:{tokenizer_file}", lambda: encoder(tokenizer_file))
+        encode = worker_cache(f"ids:{tokenizer_file}", lambda: encoder(tokenizer_file, kind))
         first = next(batches, None)
         if first is None:
             return
@@ -174,10 +181,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
             at, pos, last, ordinal, batch = 0, 0, object(), 0, first
             while batch is not None:
                 ids, counts, ords = batch.column(0).to_pylist(), [], []
-                for i, text in zip(ids, batch.column(1).to_pylist()):
-                    blob = encode(text) + ending
-                    out.write(blob)
-                    counts.append(len(blob) // ID_BYTES)
+                for texts in slices(batch.column(1).to_pylist(), TOGETHER):
+                    for blob in encode(texts):
+                        out.write(blob + ending)
+                        counts.append(len(blob) // width + 1)
+                for i in ids:
                     ordinal = ordinal + 1 if i == last else 0
                     last = i
                     ords.append(ordinal)
@@ -242,11 +250,12 @@ def lookup(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def read_back(found: DataFrame, folder: str, piece: int = 16_384) -> DataFrame:
+def read_back(found: DataFrame, folder: str, kind: str, piece: int = 16_384) -> DataFrame:
     """Rows with (shard, at, n_tokens) -> those with the crc32 of the ids read from the shard files.
 
     Rows are dealt by (shard, block of offsets), so that neighbours in a file are read together by one task and a
     large shard is read by many."""
+    width = int(kind[-1])
 
     def read(batches):
         import pyarrow as pa
@@ -260,8 +269,8 @@ def read_back(found: DataFrame, folder: str, piece: int = 16_384) -> DataFrame:
                         f.close()
                     store, path = file_system(f"{folder}/ids/shard-{s:06d}.bin")
                     handles = {s: store.open_input_file(path)}
-                handles[s].seek(at * ID_BYTES)
-                crc.append(zlib.crc32(handles[s].read(n * ID_BYTES)))
+                handles[s].seek(at * width)
+                crc.append(zlib.crc32(np.frombuffer(handles[s].read(n * width), kind).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crc, pa.int64())], [*b.schema.names, "ids_crc32"])
         for f in handles.values():
             f.close()
@@ -271,6 +280,21 @@ def read_back(found: DataFrame, folder: str, piece: int = 16_384) -> DataFrame:
     return dealt.mapInArrow(read, f"{fields}, ids_crc32 long")
 
 
+def fetch(folder: str, doc_id: int | None, ordinal: int = 0):
+    """The ids of one document by its key, or None: one bucket file, one slot, one read of the shard."""
+    read = lambda uri: (lambda store, path: store.open_input_stream(path).read())(*file_system(uri))
+    meta = json.loads(read(f"{folder}/meta.json"))
+    key = key_hash([doc_id], [ordinal])
+    found, rows = probe_bucket(read(f"{folder}/index/bucket-{bucket_of(key, meta['buckets'])[0]:06d}.mph"), key)
+    if not found[0]:
+        return None
+    width = int(meta["kind"][-1])
+    store, path = file_system(f"{folder}/ids/shard-{rows['shard'][0]:06d}.bin")
+    with store.open_input_file(path) as f:
+        f.seek(int(rows["offset"][0]) * width)
+        return np.frombuffer(f.read(int(rows["n"][0]) * width), meta["kind"])
+
+
 def shard_bases(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(shard, base): ids in all shards before it. There is one row a shard: a bounded window."""
     per = rows.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
@@ -283,9 +307,10 @@ def encode_and_index(spark: SparkSession, docs: DataFrame, tokenizer_file: str,
     Returns doc_id, start, n_tokens, ids_crc32, shard, shard_offset (ids)."""
     folder = folder or fresh_path(spark, "token-ids")
     rows = write_shards(docs, folder, tokenizer_file)
-    buckets = build_index(rows, folder)
+    buckets, kind = build_index(rows, folder), id_type(tokenizer_file)
+    put_file(f"{folder}/meta.json", lambda out: out.write(json.dumps({"buckets": buckets, "kind": kind}).encode()))
     found = lookup(rows, folder, buckets).filter("found").drop("found", "ordinal")
-    got = read_back(found, folder)
+    got = read_back(found, folder, kind)
     return got.join(shard_bases(spark, rows), "shard").select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", F.col("at").alias("shard_offset")
     )

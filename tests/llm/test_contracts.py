@@ -89,6 +89,15 @@ def test_token_index(spark, docs, doc_rows):
     same(tokenindex.encode_and_index(spark, docs, queries.tokenizer("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32").collect(), want)
 
 
+def test_fetch_by_key(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    rows = tokenindex.encode_and_index(spark, docs.filter("doc_id < 40 or doc_id is null"), queries.tokenizer("word_bpe_49k.json"), folder).collect()
+    for r in rows[::7]:
+        if r.doc_id not in (3, 5):
+            assert zlib.crc32(tokenindex.fetch(folder, r.doc_id).astype("<u4").tobytes()) == r.ids_crc32
+    assert tokenindex.fetch(folder, 10**6) is None and tokenindex.fetch(folder, 3, 1) is not None and tokenindex.fetch(folder, 3, 9) is None
+
+
 def test_shards(docs, doc_rows):
     got = sharding.shard(docs).collect()
     same([(r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in got], [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", None) for i, t, *_ in doc_rows])
