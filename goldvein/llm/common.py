@@ -49,9 +49,10 @@ def put_file(uri: str, blob_writer) -> None:
 
 
 def worker_cache(name: str, make):
-    """A value that lives as long as the Python worker, made once in it."""
+    """A value kept in the Python worker until another name is asked for: one operator's caches at a time."""
     held = sys.__dict__.setdefault("_goldvein_held", {})
     if name not in held:
+        held.clear()
         held[name] = make()
     return held[name]
 

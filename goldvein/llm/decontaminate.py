@@ -34,7 +34,7 @@ from .common import cut, only, worker_cache
 
 WINDOW, LEAST_LITERALS, LEAST_RUN = 8, 5, 12
 MOST_WINDOWS = 2_000_000
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 250_000
 LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
 UNITS = frozenset("mm cm m km in ft yd mi miles mile meters metres kilometers kilometres mg g kg t lb lbs oz grams kilograms pounds ml l liters litres gallons s sec seconds min minutes h hr hours days weeks months years dollars cents euros usd eur gbp percent degrees c f k hz khz mhz ghz kb mb gb tb w kw mph kmh v a j kj n pa".split())
 NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
