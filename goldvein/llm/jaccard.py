@@ -7,7 +7,7 @@ shingles as 64-bit hashes (a shorter text has one shingle of all its words). Tex
    at the threshold a pair escapes all bands with probability (1 - 0.8^4)^27 < 1e-6.
 2. Candidate edges run from each node to the smallest node of its bucket, so a bucket of m nodes gives m - 1 rows. The
    connected components of these edges hold all candidate pairs.
-3. A component is cut into blocks of bounded shingle mass by hash; each pair of blocks is a task of its own. In it,
+3. A component is cut into blocks of bounded shingle mass and number by hash; each pair of blocks is a task of its own. In it,
    the signatures of all pairs are compared ``STEP`` values at a time; after n values with m agreements, a pair goes
    when the posterior probability (uniform prior) that its similarity reaches the threshold, which is the binomial
    tail P(Bin(n + 1, t) <= m), falls below ``TOLERANCE``. The rest is verified exactly on the shingle sets.
@@ -36,8 +36,8 @@ from .common import cut, only, worker_cache
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 27
 STEP, TOLERANCE = 12, 1e-7
-BLOCK_MASS = 2_000_000
-CACHE_WORDS = 400_000
+BLOCK_MASS, BLOCK_NODES = 2_000_000, 4_096
+CACHE_WORDS = 300_000
 NO_ID = -(2**63)
 
 
@@ -300,7 +300,8 @@ def jaccard_join(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     edges = bands.join(heads, "bucket").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     comps = components(edges, "candidates")
     members = comps.join(nodes.select("node", "rep", "copies", "mass", "sig"), "node")
-    masses = comps.join(nodes.select("node", "mass"), "node").groupBy("root").agg(F.sum("mass").alias("total")).select(F.col("root").alias("comp"), F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_MASS)).cast("int").alias("blocks"))
+    masses = comps.join(nodes.select("node", "mass"), "node").groupBy("root").agg(F.sum("mass").alias("total"), F.count("*").alias("n"))
+    masses = masses.select(F.col("root").alias("comp"), F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_MASS), F.ceil(F.col("n") / BLOCK_NODES)).cast("int").alias("blocks"))
     members = members.withColumnRenamed("root", "comp").join(masses, "comp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     work = with_shingles(docs, members.select("node", "rep", "copies", "sig", "comp", "blocks", "block"))
     # each block meets every block: the pair's smaller number first
