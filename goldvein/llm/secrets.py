@@ -7,7 +7,7 @@ identifiers exceeds ``MARGIN``.
 
 Training. The labelled samples come from the documents themselves: values of base matches (label: random) and whole
 words of letters, numbered and in snake_case, camelCase and path compounds (label: ordinary),
-from the ``SAMPLE_DOCS`` rows with the smallest hash of id and text: a bounded, documented sample. As a corpus may
+from the ``SAMPLE_DOCS`` rows with the smallest hash of the id: a bounded, documented sample. As a corpus may
 hold few secrets, ``DRAWN`` random strings over the usual alphabets, drawn from a fixed seed, join the random side.
 Only the models (transition counts over a fixed alphabet) are sent to executors.
 
@@ -98,7 +98,10 @@ def compounds(words: list[str]) -> list[str]:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """transition -> log-likelihood ratio (random over ordinary), from the bounded labelled sample."""
-    sample = only(docs, "doc_id", "text").filter("text is not null").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample_docs)
+    # the bound is found on hashes alone, so that no task gathers texts from all the others
+    key = F.xxhash64("doc_id")
+    top = docs.select(key.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    sample = only(docs, "doc_id", "text").filter((key <= F.lit(top)) & F.col("text").isNotNull()).orderBy(key, F.xxhash64("text")).limit(sample_docs)
     # only words and matched values leave the executors: at most SAMPLE_WORDS of each label
 
     def labelled(batches):
