@@ -7,9 +7,9 @@ last match ended.
 
 Bootstrapping. Seeds are the base entities. A lexical pattern is the pair of words before (L) or after (R) an
 identifier. Candidates are tokens of ``LEAST_CHARS`` and more characters with ``LEAST_DIGITS`` and more digits outside
-base spans. A pattern must stand beside ``LEAST_SEEDS`` different seeds, and beside a ``NOISE``-th of the square root
-of their number, as any common word pair meets more seeds by chance in a larger corpus. Such patterns are counted over
-all words of the corpus, so ordinary words in the place of an identifier count against them. Then ``ROUNDS`` times: a pattern's
+base spans. A pattern must stand beside ``LEAST_SEEDS`` different seeds, whatever the size of the corpus, and beside a
+candidate, as others can add none. Such patterns are counted over all words of the corpus, so ordinary words in the
+place of an identifier count against them. Then ``ROUNDS`` times: a pattern's
 confidence is the summed score of its instances' occurrences over all its occurrences; a candidate's score is the
 best confidence of its patterns (seeds keep 1). Candidates beside a pattern of confidence ``ACCEPT`` or more are added
 as kind ``context``. All counts cover all documents; the pattern-instance graph stays in tables.
@@ -20,8 +20,6 @@ table. Empty table: no rows. U+0001 in a text is read as U+0002, which no patter
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +37,7 @@ PATTERNS = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 TOKEN = r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+"
 LEAST_CHARS, LEAST_DIGITS = 6, 4
-LEAST_SEEDS, NOISE, ROUNDS, ACCEPT = 3, 20, 3, 0.6
+LEAST_SEEDS, ROUNDS, ACCEPT = 3, 3, 0.6
 REACH = 120
 
 
@@ -140,15 +138,19 @@ def trimmed(x: Column) -> Column:
 def accepted(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(side, pattern) of the patterns with enough confidence after the rounds."""
     sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("x.left").alias("pattern")), F.struct(F.lit("R").alias("side"), F.col("x.right").alias("pattern")))).alias("p")
-    edge = lambda column, seed: rows.select(F.explode(column).alias("x")).select("x.s", sides).select("p.side", "p.pattern", "s").filter("pattern is not null").groupBy("side", "pattern", "s").agg(F.count("*").alias("n")).withColumn("seed", F.lit(seed))
-    seeds = cut(edge("_seeds", True), "pii-seeds")
-    least = max(LEAST_SEEDS, round(math.sqrt(seeds.select("s").distinct().count()) / NOISE))
-    patterns = cut(seeds.groupBy("side", "pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= least).drop("seeds"), "pii-patterns")
+    edge = lambda column: rows.select(F.explode(column).alias("x")).select("x.s", sides).select("p.side", "p.pattern", "s").filter("pattern is not null").groupBy("side", "pattern", "s").agg(F.count("*").alias("n"))
+    seeds, more = cut(edge("_seeds"), "pii-seeds"), cut(edge("_more"), "pii-more")
+    often = cut(seeds.groupBy("side", "pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS).drop("seeds"), "pii-often")
+    # a pattern without a candidate can neither add one nor change another's confidence
+    patterns = cut(often.join(more.select("side", "pattern").distinct(), ["side", "pattern"], "left_semi"), "pii-patterns")
+    # a string that is a seed beside any such pattern keeps its score of 1 where it is a candidate
+    known = seeds.join(often, ["side", "pattern"], "left_semi").select("s").distinct().withColumn("seed", F.lit(True))
+    more = more.join(patterns, ["side", "pattern"], "left_semi").join(known, "s", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
     # how often each of those word pairs stands in the corpus at all
     w = words(F.coalesce("text", F.lit("")))
     pairs = only(docs, "text").select(w.alias("w")).filter("size(w) > 1").select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.xxhash64(a, b))).alias("pattern"))
     totals = pairs.join(patterns.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
-    edges = cut(seeds.unionByName(edge("_more", False)).join(patterns, ["side", "pattern"]).join(totals, "pattern"), "pii-edges")
+    edges = cut(seeds.withColumn("seed", F.lit(True)).unionByName(more).join(patterns, ["side", "pattern"]).join(totals, "pattern"), "pii-edges")
     score = edges.select("s", "seed").distinct().groupBy("s").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for i in range(ROUNDS):
         conf = edges.join(score, "s").groupBy("side", "pattern").agg((F.sum(F.col("score") * F.col("n")) / F.max("total")).alias("conf"))

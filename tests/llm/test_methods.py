@@ -128,6 +128,14 @@ def test_contextual_pii(spark):
     assert text[100] == "please reach me at <CONTEXT> today" and text[101] == rows[41][1] and "<EMAIL> or" in text[5]
 
 
+def test_contextual_pii_in_many_seeds(spark):
+    """Unrelated seeds don't raise the bar: four seeds of a pattern are enough beside 9,000 others."""
+    rows = [(i, f"a{i}x b{i}x user{i}@mail.example.com c{i}x d{i}x") for i in range(9_000)]
+    rows += [(10_000 + i, f"reach me at person{i}@mail.example.com") for i in range(4)] + [(20_000, "reach me at handle-4821-xq")]
+    got = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_context}
+    assert got == {20_000: "context:12:26"}
+
+
 def test_adaptive_fences(spark):
     """A source where symbols are usual keeps its rows; the same rows elsewhere go."""
     rng = random.Random(1)
