@@ -39,6 +39,24 @@ def phone_match(a: Column, b: Column) -> Column:
     return (F.length(x) >= 7) & (F.length(y) >= 7) & ((x == y) | (F.right(x, F.lit(9)) == F.right(y, F.lit(9))))
 
 
+def sharing(a: DataFrame, b: DataFrame | None, threshold: float, names: bool = True, prune_blank_blocks: bool = False) -> DataFrame:
+    """The ``candidates`` over name, email and phone that can reach the threshold. A pair needs a strong signal, and two
+    beyond ``CAP``, so equal emails or phones are among them unless a name alone is enough: two equi-joins on whole
+    values, not on first characters. With ``b`` None: pairs within ``a``, row_a < row_b."""
+    if names and threshold <= CAP:
+        return candidates(a, b, ["name", "email", "phone"], prune_blank_blocks)
+    left = a.distinct().select(*[F.col(c).alias(f"{c}_a") for c in a.columns])
+    right = (b if b is not None else a).distinct().select(*[F.col(c).alias(f"{c}_b") for c in a.columns])
+    same = (F.col("email_a") == F.col("email_b")) & (F.col("email_a") != "")
+    by_email = left.filter("email_a <> ''").join(right, F.col("email_a") == F.col("email_b"))
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    key = lambda d, c: d.withColumn("_k", F.right(digits(c), F.lit(9))).filter(F.length("_k") >= 7)
+    by_phone = key(left, "phone_a").join(key(right, "phone_b"), "_k").drop("_k").filter(phone_match(F.col("phone_a"), F.col("phone_b")) & ~same)
+    first = lambda s: (F.substring(f"{s}_a", 1, 1) == F.substring(f"{s}_b", 1, 1)) & ((F.col(f"{s}_a") != "") | F.lit(not prune_blank_blocks))
+    out = by_email.unionByName(by_phone.filter(first("name") | first("email") | first("phone")))
+    return out.filter("row_a < row_b") if b is None else out
+
+
 def scored(pairs: DataFrame, threshold: float, names: bool = True) -> DataFrame:
     """row_a, row_b, probability, confidence, signals. One strong signal alone is capped; two or more combine as 1 - the
     product of misses over all signals."""
@@ -60,12 +78,12 @@ def scored(pairs: DataFrame, threshold: float, names: bool = True) -> DataFrame:
     return out.select("row_a", "row_b", "probability", level.alias("confidence"), F.size("_s").alias("signals"))
 
 
-def link_across(a: DataFrame, b: DataFrame, threshold: float = 0.7, prune_blank_blocks: bool = False) -> DataFrame:
-    return scored(candidates(a, b, ["name", "email", "phone"], prune_blank_blocks), threshold)
+def link_across(a: DataFrame, b: DataFrame, threshold: float = 0.7, prune_blank_blocks: bool = False, names: bool = True) -> DataFrame:
+    return scored(sharing(a, b, threshold, names, prune_blank_blocks), threshold, names)
 
 
-def dedup_within(a: DataFrame, threshold: float = 0.85, prune_blank_blocks: bool = False) -> DataFrame:
-    return scored(candidates(a, None, ["name", "email", "phone"], prune_blank_blocks), threshold)
+def dedup_within(a: DataFrame, threshold: float = 0.85, prune_blank_blocks: bool = False, names: bool = True) -> DataFrame:
+    return scored(sharing(a, None, threshold, names, prune_blank_blocks), threshold, names)
 
 
 def top(matches: DataFrame, most: int = MOST) -> DataFrame:

@@ -33,7 +33,7 @@ INPUTS = {
     "flat": """select c_custkey as row_idx, c_mktsegment, n_name, r_name, n_regionkey, case when c_custkey % 11 = 0 then null else c_nationkey end as c_nationkey from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
     "mixed": """select o_orderkey as row_idx, case when o_orderkey % 5 = 0 then 'n/a' when o_orderkey % 7 = 0 then null else cast(o_custkey as string) end as m, o_orderstatus as s, case when o_orderkey % 3 = 0 then null else o_orderpriority end as p, 'one' as k, cast(o_orderkey as string) as u from orders""",
     "contacts": """select row_idx as row, case when row_idx % 4 = 0 then '' else 'Name ' || cast(row_idx % 201 as string) end as name, case when row_idx % 5 = 0 then '' else 'p' || cast(row_idx % 201 as string) || '@x.com' end as email,
-        case when row_idx % 3 = 0 then '' else '+9715' || lpad(cast(row_idx % 201 as string), 8, '0') end as phone from (select c_custkey as row_idx from customer where c_custkey <= 600)""",
+        case when row_idx % 3 = 0 then '' else '+9715' || lpad(cast(row_idx % 201 as string), 8, '0') end as phone from (select c_custkey as row_idx from customer)""",
     "batch_a": """select c_custkey as row_idx, 'C-' || lpad(cast(c_custkey as string), 6, '0') as customer_id, c_name as full_name, case when c_custkey % 2 = 0 then '' else 'u' || cast(c_custkey as string) || '@x.com' end as email,
         case when c_custkey % 3 = 0 then '+97150' || lpad(cast(c_custkey as string), 7, '0') else null end as phone, cast(null as string) as city, 'AE' as country, 'Active' as status from customer where c_custkey % 10 < 7""",
     "batch_b": """select c_custkey as row_idx, case when c_custkey % 4 = 0 then 'c ' || lpad(cast(c_custkey as string), 6, '0') when c_custkey % 13 = 0 then '' else 'C-' || lpad(cast(c_custkey % 1200 as string), 6, '0') end as cust_no, 'Other ' || c_name as name,
@@ -611,13 +611,12 @@ def contact_rows(spark, sf_dir):
 @query(PAIR_SQL.format("x.\"row\" % 2 = 0 and y.\"row\" % 2 = 1", 0.5), "contacts")
 def link_email_phone(spark, sf_dir):
     c = contact_rows(spark, sf_dir)
-    pairs = link.candidates(c.filter("row % 2 = 0"), c.filter("row % 2 = 1"), ["name", "email", "phone"])
-    return link.scored(pairs, 0.5, names=False)
+    return link.link_across(c.filter("row % 2 = 0"), c.filter("row % 2 = 1"), 0.5, names=False)
 
 
 @query(PAIR_SQL.format("x.\"row\" < y.\"row\"", 0.85), "contacts")
 def dedup_within(spark, sf_dir):
-    return link.scored(link.candidates(contact_rows(spark, sf_dir), None, ["name", "email", "phone"]), 0.85, names=False)
+    return link.dedup_within(contact_rows(spark, sf_dir), 0.85, names=False)
 
 
 @query()

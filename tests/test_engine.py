@@ -136,6 +136,21 @@ def test_link(spark):
     assert link.best_party(names, spark.createDataFrame([("Acme Trading",), ("Zeta",)], "name string")).first().party == "Acme Trading"
 
 
+def test_contacts_are_all_customers(spark):
+    """No row of the linkage queries' input is left out, and its pairs are those of the first-character blocks."""
+    from goldvein import queries
+
+    folder = "/root/testdata/sf0.01"
+    c = queries.contact_rows(spark, folder)
+    assert c.count() == queries.table(spark, folder, "customer").count()
+    some = c.filter("row % 201 < 4").cache()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for b, threshold, names, prune in ((None, 0.85, False, False), (None, 0.7, True, True), (some, 0.5, False, True), (None, 0.5, True, False)):
+        blocks = link.scored(link.candidates(some, b, ["name", "email", "phone"], prune), threshold, names)
+        got = link.scored(link.sharing(some, b, threshold, names, prune), threshold, names)
+        assert key(got) == key(blocks) and got.count()
+
+
 def test_fellegi_sunter(spark):
     rows = [(i, f"name{i % 40}", f"n{i % 40}@x.com", "AE" if i % 2 else "AE") for i in range(80)]
     df = spark.createDataFrame(rows, "row long, full_name string, email string, country string")
