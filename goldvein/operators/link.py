@@ -95,19 +95,14 @@ def summary(matches: DataFrame) -> DataFrame:
     return matches.groupBy("confidence").agg(F.count("*").alias("matches"))
 
 
-def best_party(names: DataFrame, parties: DataFrame, cutoff: float = 80, most_parties: int = 200_000) -> DataFrame:
+def best_party(names: DataFrame, parties: DataFrame, cutoff: float = 80) -> DataFrame:
     """name, party, score: the best weighted ratio from ``cutoff`` on; ties go to the smallest party name.
 
-    Distinct names meet every party only where the party list is small (its count is checked); beyond that,
-    candidates share a token's first three letters."""
-    n = names.select("name").filter("trim(name) <> ''").distinct()
+    Each distinct name meets every party at any size, as no block by parts of the text holds all pairs at the cutoff.
+    The names are dealt to the cores, and Spark chooses by size whether the parties are broadcast."""
+    n = names.select("name").filter("trim(name) <> ''").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism, "name")
     p = parties.select(F.col("name").alias("party")).filter("trim(party) <> ''").distinct()
-    key = lambda c: F.explode(F.array_distinct(F.transform(F.split(F.lower(c), r"\s+"), lambda t: F.substring(t, 1, 3))))
-    if p.count() <= most_parties // 1_000:
-        pairs = n.join(F.broadcast(p))
-    else:
-        pairs = n.withColumn("_k", key(F.col("name"))).join(p.withColumn("_k", key(F.col("party"))), "_k").drop("_k").distinct()
-    hits = pairs.withColumn("score", similarity.weighted_ratio("name", "party")).filter(F.col("score") >= cutoff)
+    hits = n.crossJoin(p).withColumn("score", similarity.weighted_ratio("name", "party")).filter(F.col("score") >= cutoff)
     return hits.groupBy("name").agg(F.min_by("party", F.struct(-F.col("score"), "party")).alias("party"), F.max("score").alias("score"))
 
 

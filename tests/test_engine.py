@@ -136,6 +136,13 @@ def test_link(spark):
     assert link.best_party(names, spark.createDataFrame([("Acme Trading",), ("Zeta",)], "name string")).first().party == "Acme Trading"
 
 
+def test_party_in_a_long_list(spark):
+    """A typo in the first letters is found beside 300 parties as beside one."""
+    names = spark.createDataFrame([("Kcme Trading",), ("Bluesky",)], "name string")
+    parties = spark.createDataFrame([("Acme-Trading",), ("Blue Sky",), *[(f"Other {chr(97 + i % 26)}{i}",) for i in range(300)]], "name string")
+    assert {r.name: r.party for r in link.best_party(names, parties).collect()} == {"Kcme Trading": "Acme-Trading", "Bluesky": "Blue Sky"}
+
+
 def test_contacts_are_all_customers(spark):
     """No row of the linkage queries' input is left out, and its pairs are those of the first-character blocks."""
     from goldvein import queries
