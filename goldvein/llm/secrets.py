@@ -1,13 +1,14 @@
 """Secret scans (operator 7): fixed patterns, and character Markov models.
 
 Base kinds are found leftmost and non-overlapping by their patterns. The method adds kind ``markov``: runs of
-``LEAST_LENGTH`` and more characters of ``[A-Za-z0-9+/_=-]`` outside base spans, holding a digit beside letters, whose
-mean log-likelihood ratio per character between a first-order Markov model of random strings and one of ordinary
-identifiers exceeds ``MARGIN``.
+``LEAST_LENGTH`` and more characters of ``[A-Za-z0-9+/_=-]`` whose mean log-likelihood ratio per character between a
+first-order Markov model of random strings and one of ordinary identifiers exceeds ``MARGIN``. Of a run that meets base
+spans, the parts outside them are scored each; a part shorter than ``LEAST_LENGTH`` needs the summed ratio that the
+shortest whole run needs.
 
 Training. The labelled samples come from the documents themselves: values of base matches (label: random) and whole
-words of letters, numbered and in snake_case, camelCase and path compounds (label: ordinary),
-from the ``SAMPLE_DOCS`` rows with the smallest hash of the id: a bounded, documented sample. As a corpus may
+words of letters, numbered and in snake_case, camelCase, acronym and path compounds (label: ordinary), beside rules of
+signs and dates, from the ``SAMPLE_DOCS`` rows with the smallest hash of the id: a bounded, documented sample. As a corpus may
 hold few secrets, ``DRAWN`` random strings over the usual alphabets, drawn from a fixed seed, join the random side.
 Only the models (transition counts over a fixed alphabet) are sent to executors.
 
@@ -93,9 +94,17 @@ def compounds(words: list[str]) -> list[str]:
     for i, w in enumerate(words):
         a, b = words[i - 1], words[i - 2]
         out += [w, f"{w}{i % 100}", f"{a}_{w}", f"{a}-{w}-{b}", a + w.capitalize() + b.capitalize(), f"{a.upper()}_{w.upper()}", f"{a}/{w}/{b}_{i % 1000}"]
+        out += [a.upper()[:4] + w.capitalize() + b.upper()[:3], f"{a.capitalize()}-{w.capitalize()}", f"/{a}/{w}-{b}/", f"//{a}/{w}", f"{a}={w}", f"{a}+{w}"]
     return out
 
 
+def plain() -> list[str]:
+    """Ordinary runs without words: rules of one or two signs, dates and times."""
+    signs = "-=_+/"
+    out = [(a + b) * n for a in signs for b in signs for n in (8, 20, 40)] + [f"{a}{b * 20}" * 3 + a for a in signs for b in signs]
+    return out + [f"20{i % 30:02}{s}{i % 12 + 1:02}{s}{i % 28 + 1:02}{s}{i % 24:02}{s}{i * 7 % 60:02}{s}{i * 11 % 60:02}" for i in range(100) for s in "-/_"]
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """transition -> log-likelihood ratio (random over ordinary), from the bounded labelled sample."""
     # the bound is found on hashes alone, so that no task gathers texts from all the others
@@ -122,23 +131,31 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
 
 
 def model(secrets: list[str], words: list[str]) -> dict:
-    noise, plain = logs(counted([*secrets, *drawn()])), logs(counted(compounds([*ORDINARY, *words])))
-    return {k: noise[k] - plain[k] for k in noise}
+    noise, usual = logs(counted([*secrets, *drawn()])), logs(counted([*compounds([*ORDINARY, *words]), *plain() * (1 + len(words) // 500)]))
+    return {k: noise[k] - usual[k] for k in noise}
 
 
-def ratio(s: str, llr: dict) -> float:
-    """Mean log-likelihood ratio per transition."""
-    s = f"^{s}$"
-    return sum(map(llr.__getitem__, zip(s, s[1:]))) / (len(s) - 1)
+def suspicious(s: str, llr: dict) -> bool:
+    """The mean ratio per transition exceeds the margin; a short part of a run is held against the shortest run's sum."""
+    framed = f"^{s}$"
+    return sum(map(llr.__getitem__, zip(framed, framed[1:]))) > MARGIN * (max(len(s), LEAST_LENGTH) + 1)
 
 
-def markov_spans(text: str, base: list[tuple[str, int, int]], llr: dict) -> list[tuple[str, int, int]]:
+def parts(start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans, in order of their starts, leave of a run."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        s, (a, b) = m[0], m.span()
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(x < b and a < y for _, x, y in base) and ratio(s, llr) > MARGIN:
-            out.append(("markov", a, b))
-    return out
+    for _, a, b in base:
+        if a >= end:
+            break
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return out + [(start, end)] if start < end else out
+
+
+def markov_spans(text: str, base: list[tuple[str, int, int]], llr: dict) -> list[tuple[str, int, int]]:
+    base = sorted(base, key=lambda x: x[1:])
+    return [("markov", a, b) for m in CANDIDATE.finditer(text) for a, b in parts(*m.span(), [x for x in base if x[2] > m.start()]) if suspicious(text[a:b], llr)]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

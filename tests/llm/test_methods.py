@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from goldvein.llm import decontaminate, jaccard, licences, pii, quality, tokenindex, warc
+from goldvein.llm import decontaminate, jaccard, licences, pii, quality, secrets, tokenindex, warc
 
 
 def words_of(text):
@@ -136,6 +136,13 @@ def test_contextual_pii_in_many_seeds(spark):
     assert got == {20_000: "context:12:26"}
 
 
+def test_markov_runs_without_digits_and_parts(spark):
+    """Letters-only keys are scored, and the parts of a run beside a base span; words, rules and dates aren't taken."""
+    rows = [(1, "key QwXzVbKpLmTgRjHd end"), (2, "x7Gk29fLq0PzR4tW-0641917ea4e9feb9-PzR4tWvBn81x"), (3, "internationalization of getErrorMessageFromRequest"), (4, "-" * 40 + " " + "=" * 40 + " 2024-01-05-12-33-11 XMLHttpRequestFactory"), (5, "commit-0641917ea4e9feb9"), (6, None)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "markov:4:20", 2: "markov:0:17,hex:17:33,markov:33:46", 3: "", 4: "", 5: "hex:7:23", 6: ""}
+
+
 def test_adaptive_fences(spark):
     """A source where symbols are usual keeps its rows; the same rows elsewhere go."""
     rng = random.Random(1)
