@@ -1,14 +1,20 @@
 """Benchmark decontamination by canonical templates (operator 1).
 
 Each text becomes a row of template tokens: a white-space chunk in lower case without outer punctuation, where
-numbers, units after numbers, and names (capitalised words inside a sentence, and the same word at a sentence's start)
-give way to the typed placeholders <num>, <unit> and <name>, whose values are kept as slots. Windows of ``WINDOW``
-tokens with enough literal words are hashed; document windows are hash-joined with the windows of the benchmark. A
-match extends over consecutive windows on one diagonal (document position minus item position). On it, the slots are
-checked: equal benchmark values must stand for equal document values and different ones for different ones, so a
-question with consistently exchanged numbers and names is caught, and chance agreement of templates is not.
+numbers, units after numbers, and names (capitalised words inside a sentence) give way to the typed placeholders <num>,
+<unit> and <name>, whose values are kept as slots. A capitalised word at a sentence's start may be either, so windows
+are hashed with all of these as words and with all of them as names; no other sentence of the text has a say. A third
+hash has all slot values left in. Windows of ``WINDOW`` tokens are hashed in these three forms, the first two only
+with ``LEAST_SPARSE`` literal words; document windows are hash-joined with the windows of the benchmark. A match extends
+over consecutive windows on one diagonal (document position minus item position). On it, the slots are checked: equal
+benchmark values must stand for equal document values and different ones for different ones, so a question with
+consistently exchanged numbers and names is caught, and chance agreement of templates is not. A diagonal is cut at a
+slot that clashes; of its parts those of ``LEAST_RUN`` tokens count, and verbatim stretches of a window or more.
 
 An item is found in a document if its consistent matches cover ``LEAST_RUN`` tokens, or all windows of a shorter item.
+Template windows with fewer than ``LEAST_LITERALS`` literal words (or than their size) count only in an unbroken
+consistent run of ``LEAST_SPARSE_RUN`` tokens, ``LEAST_LITERALS`` of them the same in both, or of the whole item. A window with fewer than
+``LEAST_SPARSE`` literal words is found verbatim only.
 
 The benchmark's windows are broadcast if they are no more than ``MOST_WINDOWS`` (counted first). Beyond that, the
 windows of documents are written out and joined by shuffle, and the matches are put together per document and item.
@@ -33,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import cut, only, worker_cache
 
 WINDOW, LEAST_LITERALS, LEAST_RUN = 8, 5, 12
+LEAST_SPARSE, LEAST_SPARSE_RUN = 3, 14
 MOST_WINDOWS = 2_000_000
 CACHE_CHUNKS = 250_000
 LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
@@ -49,7 +56,7 @@ PLACE = {NUMBER: h64("<num>"), UNIT: h64("<unit>"), NAME: h64("<name>")}
 
 
 class Chunks(dict):
-    """chunk -> (kind, hash, core in lower case, capitalised, ends a sentence, is a unit word)."""
+    """chunk -> (kind, hash, hash of the core, core in lower case, capitalised, ends a sentence, is a unit word)."""
 
     def __missing__(self, chunk: str):
         if len(self) >= CACHE_CHUNKS:
@@ -71,111 +78,169 @@ class Chunks(dict):
             kind = NUMBER if low in NUMBER_WORDS else LITERAL
         proper = kind == LITERAL and len(core) > 1 and core[0].isupper() and core[1:] == core[1:].lower() and core.isalpha()
         ends = chunk.rstrip("\"')]}»”’#*$%&|<>")[-1:] in (".", "!", "?", ":")
-        self[chunk] = value = (kind, PLACE.get(kind) or h64(low), low, proper, ends, low in UNITS)
+        raw = h64(low)
+        self[chunk] = value = (kind, PLACE.get(kind) or raw, raw, low, proper, ends, low in UNITS)
         return value
 
 
 def template(text: str, chunks: Chunks):
-    """(kinds, hashes, values) of a text's tokens; values holds the core of each token."""
-    kinds, hashes, values = [], [], []
-    start, unsure, names, before = True, [], set(), NOTHING
-    for kind, h, low, proper, ends, unit in map(chunks.__getitem__, text.split()):
+    """(kinds, hashes, hashes of the cores, values, places of capitalised sentence starts) of a text's tokens; values
+    holds the core of each token. Sentence starts are words in kinds and hashes."""
+    kinds, hashes, cores, values, starts = [], [], [], [], []
+    start, before = True, NOTHING
+    for kind, h, raw, low, proper, ends, unit in map(chunks.__getitem__, text.split()):
         if kind != NOTHING:
             if unit and before == NUMBER:
                 kind, h = UNIT, PLACE[UNIT]
             elif proper:
                 if start:
-                    unsure.append(len(kinds))
+                    starts.append(len(kinds))
                 else:
                     kind, h = NAME, PLACE[NAME]
-                    names.add(low)
             kinds.append(kind)
             hashes.append(h)
+            cores.append(raw)
             values.append(low)
             before, start = kind, False
         if ends:
             start = True
-    for i in unsure:
-        if values[i] in names:
-            kinds[i], hashes[i] = NAME, PLACE[NAME]
-    return np.array(kinds, np.int8), np.array(hashes, np.uint64), values
+    return np.array(kinds, np.int8), np.array(hashes, np.uint64), np.array(cores, np.uint64), values, np.array(starts, np.int64)
 
 
-def windows(kinds: np.ndarray, hashes: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows with enough literal words. A shorter text is one window."""
+def named(kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The kinds with sentence starts as names."""
+    out = kinds.copy()
+    out[starts] = NAME
+    return out
+
+
+def windows(kinds, hashes, cores, starts, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, sparse) of the windows in each form. A shorter text is one window."""
     size = min(size, len(kinds))
     if not size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     n = len(kinds) - size + 1
+    forms, literal = [cores, hashes], [kinds == LITERAL]
+    if len(starts):
+        names = hashes.copy()
+        names[starts] = PLACE[NAME]
+        forms.append(names)
+        literal.append(named(kinds, starts) == LITERAL)
+    tokens = np.stack(forms)
     with np.errstate(over="ignore"):
-        out = np.full(n, size, np.uint64)
+        out = np.full((len(forms), n), size, np.uint64)
+        out[0] += np.uint64(WINDOW)  # no exact window is taken for a template
         for i in range(size):
-            out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out = (out ^ tokens[:, i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(32)
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= min(LEAST_LITERALS, size))
-    return at, out[at]
+    count = np.zeros((len(forms), len(kinds) + 1), np.int64)
+    count[1:, 1:] = np.cumsum(np.stack(literal), axis=1)
+    count = count[:, size:] - count[:, :-size]
+    use = count >= min(LEAST_SPARSE, size)
+    use[0] = True
+    if len(forms) > 2:
+        use[2] &= out[2] != out[1]
+    sparse = count < min(LEAST_LITERALS, size)
+    sparse[0] = False
+    form, at = np.nonzero(use)
+    return at, out[form, at], sparse[form, at]
 
 
 class Benchmark:
     """The items' templates and an index of their windows."""
 
     def __init__(self, rows: list[tuple]):
-        self.items, at, hs, ids = [], [], [], []
+        self.items, at, hs, ids, sparse = [], [], [], [], []
         chunks = Chunks()
         for item_id, text in rows:
-            kinds, hashes, values = template(text or "", chunks)
-            pos, h = windows(kinds, hashes)
+            kinds, hashes, cores, values, starts = template(text or "", chunks)
+            pos, h, few = windows(kinds, hashes, cores, starts)
             ids += [len(self.items)] * len(pos)
             at.append(pos)
             hs.append(h)
-            self.items.append((item_id, kinds, values))
+            sparse.append(few)
+            self.items.append((item_id, named(kinds, starts), values))
         flat = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.hashes = flat[order]
         self.at = (np.concatenate(at) if at else np.zeros(0, np.int64))[order]
+        self.sparse = (np.concatenate(sparse) if sparse else np.zeros(0, bool))[order]
         self.of = np.array(ids, np.int64)[order] if ids else np.zeros(0, np.int64)
         sizes = {min(WINDOW, len(k)) for _, k, _ in self.items if len(k)}
         self.short = sorted(s for s in sizes if s < WINDOW)
 
-    def matches(self, kinds, hashes, values):
+    def matches(self, kinds, hashes, cores, values, starts):
         """(item, windows matched, tokens covered, item's tokens, slots, changed slots) of each item found."""
         found = defaultdict(set)
         for size in (WINDOW, *self.short):
             if size > len(kinds):
                 continue
-            pos, h = windows(kinds, hashes, size)
+            pos, h, _ = windows(kinds, hashes, cores, starts, size)
             left = np.searchsorted(self.hashes, h, "left")
-            right = np.searchsorted(self.hashes, h, "right")
-            for i in np.flatnonzero(right > left):
-                for k in range(left[i], right[i]):
-                    found[int(self.of[k])].add((int(pos[i] - self.at[k]), int(self.at[k])))
+            hit = np.flatnonzero(self.hashes[np.minimum(left, len(self.hashes) - 1)] == h) if len(self.hashes) else []
+            right = np.searchsorted(self.hashes, h[hit], "right") if len(hit) else []
+            for i, end in zip(hit, right):
+                for k in range(left[i], end):
+                    found[int(self.of[k])].add((int(pos[i] - self.at[k]), int(self.at[k]), bool(self.sparse[k])))
         for item, hits in found.items():
-            if got := judge(hits, *self.items[item][1:], kinds, values):
+            if got := judge(hits, *self.items[item][1:], values):
                 yield (self.items[item][0], *got)
 
 
-def judge(hits: set, item_kinds, item_values, kinds, values):
-    """hits: (diagonal, position in the item). None, or (windows, covered, item's tokens, slots, changed)."""
-    size = min(WINDOW, len(item_kinds))
-    runs = defaultdict(set)
-    for diagonal, at in hits:
-        runs[diagonal].update(range(at, at + size))
+def consistent(tokens, diagonal, item_kinds, item_values, values, unbroken: bool):
+    """The sorted tokens cut where a slot clashes, and at gaps if ``unbroken``."""
+    parts, there, back = [], {}, {}
+    for t in tokens:
+        a = b = None
+        if item_kinds[t] != LITERAL:
+            a, b = (item_kinds[t], item_values[t]), (item_kinds[t], values[t + diagonal])
+        clash = a is not None and (there.get(a, b) != b or back.get(b, a) != a)
+        if not parts or clash or unbroken and parts[-1][-1] != t - 1:
+            parts.append([])
+            there, back = {}, {}
+        parts[-1].append(t)
+        if a is not None:
+            there[a], back[b] = b, a
+    return parts
+
+
+def verbatim(tokens, diagonal, item_values, values, size):
+    """The tokens in stretches of ``size`` and more with the item's own values."""
+    out, run = set(), []
+    for t in tokens:
+        if run and run[-1] != t - 1 or item_values[t] != values[t + diagonal]:
+            out.update(run if len(run) >= size else ())
+            run = []
+        if item_values[t] == values[t + diagonal]:
+            run.append(t)
+    return out.union(run if len(run) >= size else ())
+
+
+def judge(hits: set, item_kinds, item_values, values):
+    """hits: (diagonal, position in the item, sparse); sentence starts are names in item_kinds. None, or (windows,
+    covered, item's tokens, slots, changed)."""
+    size, whole = min(WINDOW, len(item_kinds)), len(item_kinds)
+    firm, every = defaultdict(set), defaultdict(set)
+    for diagonal, at, sparse in hits:
+        every[diagonal].update(range(at, at + size))
+        if not sparse:
+            firm[diagonal].update(range(at, at + size))
     covered, n_windows, slots, changed = set(), 0, 0, 0
-    for diagonal, tokens in runs.items():
-        there, back, pairs, new = {}, {}, 0, 0
-        for t in tokens:
-            if item_kinds[t] != LITERAL:
-                a, b = (item_kinds[t], item_values[t]), (kinds[t + diagonal], values[t + diagonal])
-                if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                    break
-                pairs, new = pairs + 1, new + (a != b)
-        else:
-            covered |= tokens
-            n_windows += sum(d == diagonal for d, _ in hits)
-            slots, changed = slots + pairs, changed + new
-    if len(covered) >= min(LEAST_RUN, len(item_kinds)) and covered:
-        return n_windows, len(covered), len(item_kinds), slots, changed
+    for diagonal, tokens in every.items():
+        take = set()
+        parts = consistent(sorted(firm[diagonal]), diagonal, item_kinds, item_values, values, False)
+        for part in parts:
+            take.update(part if len(parts) == 1 or len(part) >= LEAST_RUN else verbatim(part, diagonal, item_values, values, size))
+        if len(firm[diagonal]) < len(tokens):
+            for part in consistent(sorted(tokens), diagonal, item_kinds, item_values, values, True):
+                if len(part) == whole or len(part) >= LEAST_SPARSE_RUN and sum(item_values[t] == values[t + diagonal] for t in part) >= LEAST_LITERALS:
+                    take.update(part)
+        covered |= take
+        n_windows += sum(take.issuperset(range(at, at + size)) for at in {at for d, at, _ in hits if d == diagonal})
+        slots += sum(item_kinds[t] != LITERAL for t in take)
+        changed += sum(item_values[t] != values[t + diagonal] for t in take if item_kinds[t] != LITERAL)
+    if len(covered) >= min(LEAST_RUN, whole) and covered:
+        return n_windows, len(covered), whole, slots, changed
     return None
 
 
@@ -204,7 +269,7 @@ def found_by_broadcast(docs: DataFrame, bench_rows: list[tuple]) -> DataFrame:
 
 
 def window_rows(df: DataFrame, key: str, short: bool) -> DataFrame:
-    """(key, row, size, at, window) of each window of each row; ``row`` tells rows apart."""
+    """(key, row, at, window, sparse) of each window of each row; ``row`` tells rows apart."""
 
     def run(batches):
         import pyarrow as pa
@@ -212,23 +277,23 @@ def window_rows(df: DataFrame, key: str, short: bool) -> DataFrame:
         chunks = worker_cache("template-chunks", Chunks)
         for b in batches:
             for i, text, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                kinds, hashes, _ = template(text or "", chunks)
+                kinds, hashes, cores, _, starts = template(text or "", chunks)
                 for size in range(1, WINDOW + 1) if short else (min(WINDOW, len(kinds)),):
                     if 0 < size <= len(kinds):
-                        at, h = windows(kinds, hashes, size)
+                        at, h, sparse = windows(kinds, hashes, cores, starts, size)
                         n = len(at)
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(h.view(np.int64))], [key, "row", "at", "window"])
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(h.view(np.int64)), pa.array(sparse)], [key, "row", "at", "window", "sparse"])
 
-    return df.select(key, "text", "row").mapInArrow(run, f"{key} long, row long, at long, window long")
+    return df.select(key, "text", "row").mapInArrow(run, f"{key} long, row long, at long, window long, sparse boolean")
 
 
 def found_by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same without any broadcast: windows are joined by hash, matches are judged per (document, item)."""
     docs = cut(only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "leak-docs")
     items = cut(items.withColumn("row", F.monotonically_increasing_id()), "leak-items")
-    d = window_rows(docs, "doc_id", True)
-    t = window_rows(items, "item_id", False).select("window", F.col("row").alias("item"), F.col("at").alias("item_at"))
-    hits = d.join(t, "window").groupBy("row", "item").agg(F.collect_set(F.struct((F.col("at") - F.col("item_at")).alias("d"), "item_at")).alias("hits"))
+    d = window_rows(docs, "doc_id", True).drop("sparse")
+    t = window_rows(items, "item_id", False).select("window", F.col("row").alias("item"), F.col("at").alias("item_at"), "sparse")
+    hits = d.join(t, "window").groupBy("row", "item").agg(F.collect_set(F.struct((F.col("at") - F.col("item_at")).alias("d"), "item_at", "sparse")).alias("hits"))
     hits = hits.join(docs, "row").join(items.select(F.col("row").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
 
     def run(batches):
@@ -238,9 +303,9 @@ def found_by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
         for b in batches:
             ids, rows = [], []
             for i, item_id, text, item_text, hit in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text", "hits"))):
-                item_kinds, _, item_values = template(item_text or "", chunks)
-                kinds, _, values = template(text or "", chunks)
-                if got := judge({(x["d"], x["item_at"]) for x in hit}, item_kinds, item_values, kinds, values):
+                item_kinds, _, _, item_values, starts = template(item_text or "", chunks)
+                values = template(text or "", chunks)[3]
+                if got := judge({(x["d"], x["item_at"], x["sparse"]) for x in hit}, named(item_kinds, starts), item_values, values):
                     ids.append(i)
                     rows.append((item_id, *got))
             names = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -117,6 +117,22 @@ def test_inconsistent_slots():
     assert list(bench.matches(*decontaminate.template(good, chunks))) and not list(bench.matches(*decontaminate.template(bad, chunks)))
 
 
+DENSE = [(1, "What is 17 times 23?"), (2, "Is 97 a prime number?"), (3, "Janet has 3 apples, Tom has 5, Ann has 7, Bob has 9."), (4, "Who met Mary Jones, John Smith and Paul Brown in New York, Boston and Denver?")]
+
+
+@pytest.mark.parametrize("most", [decontaminate.MOST_WINDOWS, 0])
+def test_items_of_few_words(spark, most):
+    """Items dense in numbers and names are found, verbatim and with other values; not where the values clash."""
+    docs = [(k, f"some talk. {t} more talk", {k: "exact"}) for k, t in DENSE] + [
+        (11, "well. What is 18 times 29? ok", {1: "reparameterised"}),
+        (13, "talk. Anna has 4 apples, Ben has 6, Carl has 8, Dora has 1. talk", {3: "reparameterised"}),
+        (14, "Who met Jane Roe, Carl May and Pete Low in Los Angeles, Austin and Dallas?", {4: "reparameterised"}),
+        (23, "Anna has 4 apples, Anna has 4, Anna has 4, Anna has 4.", {}), (24, "1 2 3 4 5 6 7 8 9 and has 5 but not a prime", {}),
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.find_leaks(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), spark.createDataFrame(DENSE, "item_id long, text string"), most).collect()}
+    assert got == {(i, k): v for i, _, found in docs for k, v in found.items()}
+
+
 def test_contextual_pii(spark):
     rng = random.Random(2)
     filler = [f"word{chr(97 + i)}" for i in range(26)]
