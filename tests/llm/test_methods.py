@@ -133,6 +133,19 @@ def test_items_of_few_words(spark, most):
     assert got == {(i, k): v for i, _, found in docs for k, v in found.items()}
 
 
+EDITED = "a farmer owns 16 brown cows that graze on the wide northern meadow every day and he then buys exactly 16 more from the old market near town"
+STARTS = "The clerk counts boxes. The driver loads them quickly. The owner pays both. The store opens again. The day ends after all bills are paid there."
+
+
+@pytest.mark.parametrize("most", [decontaminate.MOST_WINDOWS, 0])
+def test_one_clash_and_sentence_starts(spark, most):
+    """One edited number doesn't hide the verbatim rest, nor do names elsewhere in the document an item's first words."""
+    docs = spark.createDataFrame([(1, EDITED.replace("exactly 16", "exactly 20")), (2, f"She read The Hobbit and The Times. {STARTS}"), (3, STARTS)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, EDITED), (2, STARTS)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.covered, r.item_tokens) for r in decontaminate.find_leaks(docs, bench, most).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 2)} and got[2, 2] == got[3, 2] and got[3, 2][0] == got[3, 2][1]
+
+
 def test_contextual_pii(spark):
     rng = random.Random(2)
     filler = [f"word{chr(97 + i)}" for i in range(26)]
