@@ -25,10 +25,11 @@ from .common import cut, only, worker_cache
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 BINS_PER_E = 20
-LEAST_ROWS, SPREAD, REL, WIDEST = 300, 40.0, 0.02, 2.0
+LEAST_ROWS, SPREAD, REL, WIDEST = 300, 12.0, 0.02, 2.0
 #: measure -> tolerance: a fence is never below it, as most groups have no symbol or repeated line at all
-#: (millionths; word length in thousandths of a character)
-FLOORS = {"symbol_ppm": 10_000, "upper_ppm": 150_000, "dup_line_ppm": 350_000, "word_mil": 6_000, "mark_ppm": 20_000}
+#: (millionths; word length in thousandths of a character). Small, so that a group's quantiles decide where they aren't
+#: zero; a line that comes twice among three is tolerated, as the sketch of a group mostly without any can't judge it.
+FLOORS = {"symbol_ppm": 1_000, "upper_ppm": 1_000, "dup_line_ppm": 350_000, "word_mil": 100, "mark_ppm": 1_000}
 
 
 def measure(text: str) -> tuple[int, ...]:

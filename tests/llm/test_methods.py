@@ -185,6 +185,16 @@ def test_adaptive_fences(spark):
     assert {r.doc_id for r in quality.filter_quality(docs.withColumnRenamed("text", "text").withColumn("n_words", docs.lang)).collect()} == kept
 
 
+def test_group_quantiles_decide(spark):
+    """Capitals and word lengths far from a group's own go, at values that other groups keep."""
+    rng = random.Random(4)
+    text = lambda capitals, size: " ".join("".join(rng.choices("abcdefgh", k=size - 1)) + rng.choices("aA", [1 - capitals, capitals])[0] for _ in range(200))
+    rows = [(i, text(0.05, 5), "en", "prose") for i in range(400)] + [(1000 + i, text(0.6, 5), "de", "titles") for i in range(400)]
+    rows += [(5000, text(0.6, 5), "en", "prose"), (5001, text(0.05, 9), "en", "prose")]
+    kept = {r.doc_id for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).filter("kept").collect()}
+    assert set(range(1000, 1400)) <= kept and not kept & {5000, 5001} and len(kept) > 780
+
+
 def test_licence_texts(spark):
     mit = licences.KNOWN[0][1]
     rows = [(1, mit), (2, mit.upper().replace("2024 A", "1999 SOMEBODY ELSE")), (3, mit.replace("sublicense", "sub-licence").replace(",", " ,")), (4, mit + " more"), (5, "prose\nLicenced under the MIT Licence.\nprose"), (6, None), (7, ""), (7, "All rights reserved"), (None, "!!")]
