@@ -16,6 +16,8 @@ that share a doc_id (or a null one) give one row. Empty table: no rows. Other co
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,8 @@ KNOWN = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Proprietary", "All rights reserved."), ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Whole texts kept as files, named after the licence.
+KNOWN += [(p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
 
 #: Applied in turn to lower-case text; patterns that Java and RE2 read alike.
 RULES = [

@@ -1,6 +1,7 @@
 """Each method against brute force over small tables."""
 
 import math
+import pathlib
 import random
 import re
 
@@ -203,6 +204,14 @@ def test_licence_texts(spark):
     assert got[6] == (None, "", 0) and got[7] == ("Proprietary", "Proprietary", 1) and got[None] == (None, "", 0)
 
 
+def test_whole_long_licences(spark):
+    folder = pathlib.Path(licences.__file__).parent / "licence_texts"
+    names = ["AGPL-3.0", *(p.stem for p in folder.glob("*.txt"))]
+    rows = [(n, (folder / f"{n}.txt").read_text().upper().replace("\n", "\n    ") if n != "AGPL-3.0" else "not there") for n in names]
+    got = {r.doc_id: r.text_licence for r in licences.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert got == {i: n if n != "AGPL-3.0" else None for i, n in enumerate(names)} and {"Apache-2.0", "GPL-3.0", "MPL-2.0"} <= set(names)
+
+
 def test_perfect_hash():
     import numpy as np
 
