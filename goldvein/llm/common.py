@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4_000
+
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
@@ -18,6 +20,13 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """``spark`` with Arrow batches to and from Python bounded by bytes, not only by rows: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination by canonical templates (operator 1).
 
-Each text becomes a row of template tokens: a white-space chunk in lower case without outer punctuation, where
-numbers, units after numbers, and names (capitalised words inside a sentence) give way to the typed placeholders <num>,
-<unit> and <name>, whose values are kept as slots. A capitalised word at a sentence's start may be either, so windows
+Each text becomes a row of template tokens (see ``tokens``): a white-space chunk in lower case without outer punctuation,
+where numbers, units after numbers, and names (capitalised words inside a sentence) give way to the typed placeholders
+<num>, <unit> and <name>, whose values are the slots. A capitalised word at a sentence's start may be either, so windows
 are hashed with all of these as words and with all of them as names; no other sentence of the text has a say. A third
 hash has all slot values left in. Windows of ``WINDOW`` tokens are hashed in these three forms, the first two only
 with ``LEAST_SPARSE`` literal words; document windows are hash-joined with the windows of the benchmark. A match extends
@@ -14,177 +14,171 @@ slot that clashes; of its parts those of ``LEAST_RUN`` tokens count, and verbati
 An item is found in a document if its consistent matches cover ``LEAST_RUN`` tokens, or all windows of a shorter item.
 Template windows with fewer than ``LEAST_LITERALS`` literal words (or than their size) count only in an unbroken
 consistent run of ``LEAST_SPARSE_RUN`` tokens, ``LEAST_LITERALS`` of them the same in both, or of the whole item. A window with fewer than
-``LEAST_SPARSE`` literal words is found verbatim only.
+``LEAST_SPARSE`` literal words is found verbatim only. An item of fewer words than a window is found wherever all of its
+words stand in a row, however few they are; one without any word is never found.
 
-The benchmark's windows are broadcast if they are no more than ``MOST_WINDOWS`` (counted first). Beyond that, the
-windows of documents are written out and joined by shuffle, and the matches are put together per document and item.
-Both ways run the same functions.
+The benchmark is cut into blocks of at most ``MOST_CHARS`` characters (a longer item is a block of its own), and each
+block is broadcast and held against all documents: the same functions at any size, no document is shuffled.
 
 Result: doc_id, item_id, n_windows, covered (tokens), item_tokens, n_slots, n_changed, kind (exact, or reparameterised
 if a slot changed), one row per document row and item found. Texts that are null or shorter than a window match
-nothing; items shorter than a window are one window of all their tokens. Null ids are carried as they are. Repeated
-rows give repeated results, repeated items count once per id. Empty tables give no rows.
+nothing but items that are as short; items shorter than a window are one window of all their tokens. Null ids are
+carried as they are. Repeated rows give repeated results, repeated items count once per id. Very long texts are taken
+whole, in memory in proportion to the longest one. Other columns, whatever their names, are left alone. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, worker_cache
+from . import tokens
+from .common import bounded, only, worker_cache
 
 WINDOW, LEAST_LITERALS, LEAST_RUN = 8, 5, 12
 LEAST_SPARSE, LEAST_SPARSE_RUN = 3, 14
-MOST_WINDOWS = 2_000_000
-CACHE_CHUNKS = 250_000
-LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
-UNITS = frozenset("mm cm m km in ft yd mi miles mile meters metres kilometers kilometres mg g kg t lb lbs oz grams kilograms pounds ml l liters litres gallons s sec seconds min minutes h hr hours days weeks months years dollars cents euros usd eur gbp percent degrees c f k hz khz mhz ghz kb mb gb tb w kw mph kmh v a j kj n pa".split())
-NUMBER_WORDS = frozenset("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
-NUMERIC = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(%|[A-Za-zµ°]{1,4})?")
-
-
-def h64(s: str) -> int:
-    return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little")
-
-
-PLACE = {NUMBER: h64("<num>"), UNIT: h64("<unit>"), NAME: h64("<name>")}
-
-
-class Chunks(dict):
-    """chunk -> (kind, hash, hash of the core, core in lower case, capitalised, ends a sentence, is a unit word)."""
-
-    def __missing__(self, chunk: str):
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        core = chunk
-        if not core.isalnum():
-            a, b = 0, len(core)
-            while a < b and not (core[a].isalnum() or core[a] in "$€£" and a + 1 < b and core[a + 1].isdigit()):
-                a += 1
-            while b > a and not (core[b - 1].isalnum() or core[b - 1] == "%" and b - 2 >= a and core[b - 2].isdigit()):
-                b -= 1
-            core = core[a:b]
-        low = core.lower()
-        if not core:
-            kind = NOTHING
-        elif core[0].isdigit() or core[0] in "$€£-+":
-            kind = NUMBER if NUMERIC.fullmatch(core) else LITERAL
-        else:
-            kind = NUMBER if low in NUMBER_WORDS else LITERAL
-        proper = kind == LITERAL and len(core) > 1 and core[0].isupper() and core[1:] == core[1:].lower() and core.isalpha()
-        ends = chunk.rstrip("\"')]}»”’#*$%&|<>")[-1:] in (".", "!", "?", ":")
-        raw = h64(low)
-        self[chunk] = value = (kind, PLACE.get(kind) or raw, raw, low, proper, ends, low in UNITS)
-        return value
-
-
-def template(text: str, chunks: Chunks):
-    """(kinds, hashes, hashes of the cores, values, places of capitalised sentence starts) of a text's tokens; values
-    holds the core of each token. Sentence starts are words in kinds and hashes."""
-    kinds, hashes, cores, values, starts = [], [], [], [], []
-    start, before = True, NOTHING
-    for kind, h, raw, low, proper, ends, unit in map(chunks.__getitem__, text.split()):
-        if kind != NOTHING:
-            if unit and before == NUMBER:
-                kind, h = UNIT, PLACE[UNIT]
-            elif proper:
-                if start:
-                    starts.append(len(kinds))
-                else:
-                    kind, h = NAME, PLACE[NAME]
-            kinds.append(kind)
-            hashes.append(h)
-            cores.append(raw)
-            values.append(low)
-            before, start = kind, False
-        if ends:
-            start = True
-    return np.array(kinds, np.int8), np.array(hashes, np.uint64), np.array(cores, np.uint64), values, np.array(starts, np.int64)
-
-
-def named(kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The kinds with sentence starts as names."""
-    out = kinds.copy()
-    out[starts] = NAME
-    return out
-
-
-def windows(kinds, hashes, cores, starts, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, hashes, sparse) of the windows in each form. A shorter text is one window."""
-    size = min(size, len(kinds))
-    if not size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    n = len(kinds) - size + 1
-    forms, literal = [cores, hashes], [kinds == LITERAL]
-    if len(starts):
-        names = hashes.copy()
-        names[starts] = PLACE[NAME]
-        forms.append(names)
-        literal.append(named(kinds, starts) == LITERAL)
-    tokens = np.stack(forms)
-    with np.errstate(over="ignore"):
-        out = np.full((len(forms), n), size, np.uint64)
-        out[0] += np.uint64(WINDOW)  # no exact window is taken for a template
-        for i in range(size):
-            out = (out ^ tokens[:, i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(32)
-    count = np.zeros((len(forms), len(kinds) + 1), np.int64)
-    count[1:, 1:] = np.cumsum(np.stack(literal), axis=1)
-    count = count[:, size:] - count[:, :-size]
-    use = count >= min(LEAST_SPARSE, size)
-    use[0] = True
-    if len(forms) > 2:
-        use[2] &= out[2] != out[1]
-    sparse = count < min(LEAST_LITERALS, size)
-    sparse[0] = False
-    form, at = np.nonzero(use)
-    return at, out[form, at], sparse[form, at]
+MOST_CHARS = 8_000_000
+LITERAL, NUMBER, UNIT, NAME = range(4)
+UNITS = "mm cm m km in ft yd mi miles mile meters metres kilometers kilometres mg g kg t lb lbs oz grams kilograms pounds ml l liters litres gallons s sec seconds min minutes h hr hours days weeks months years dollars cents euros usd eur gbp percent degrees c f k hz khz mhz ghz kb mb gb tb w kw mph kmh v a j kj n pa".split()
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
+NUMERIC = re.compile(rb"\d[\d.,:/]*([a-z]{1,4}|\xc2\xb5[a-z]{0,3})?")
+WHITE = re.compile(r"\s")
+
+
+def hashes_of(strings: list[str]) -> np.ndarray:
+    return tokens.words(pa.array(strings, pa.large_string())).hash
+
+
+class Lookup:
+    """Membership in a set of hashes: a table of low bits first, then a search in the sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.mask = np.uint64((1 << max(12, (16 * max(1, len(self.hashes)) - 1).bit_length())) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[self.hashes & self.mask] = True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The places in ``h`` of members."""
+        at = np.flatnonzero(self.table[h & self.mask])
+        if not len(at):
+            return at
+        k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        return at[self.hashes[k] == h[at]]
+
+
+IS_UNIT, IS_NUMBER_WORD = Lookup(hashes_of(UNITS)), Lookup(hashes_of(NUMBER_WORDS))
+PLACE = np.concatenate([np.zeros(1, np.uint64), hashes_of(["num", "unit", "name"]) ^ np.uint64(0x5BF03635F0935AD1)])
+
+
+class Template:
+    """The template tokens of a slice of texts. Sentence starts are words in kinds and hashes."""
+
+    def __init__(self, texts: pa.Array):
+        self.words = w = tokens.words(texts, marks=True)
+        self.first = w.first
+        self.cores = w.hash
+        self.kinds = np.zeros(len(w.hash), np.int8)
+        begins = np.zeros(len(w.hash) + 1, bool)
+        begins[w.first] = True
+        number = [i for i in np.flatnonzero(w.digit).tolist() if NUMERIC.fullmatch(w.low[w.a[i] : w.b[i]].tobytes())]
+        self.kinds[number] = NUMBER
+        self.kinds[IS_NUMBER_WORD.find(w.hash)] = NUMBER
+        unit = IS_UNIT.find(w.hash)
+        unit = unit[~begins[unit] & (unit > 0)]
+        unit = unit[self.kinds[unit - 1] == NUMBER]
+        proper = w.proper & (self.kinds == LITERAL)
+        proper[unit] = False
+        self.kinds[unit] = UNIT
+        self.starts = proper & w.start
+        self.kinds[proper & ~w.start] = NAME
+        self.hashes = np.where(self.kinds == LITERAL, self.cores, PLACE[self.kinds])
+
+    def windows(self, size: int):
+        """(place of the first token, hash, sparse) of the windows in each form that lie within one text."""
+        n = len(self.cores) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        inside = np.zeros(n, bool)
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist()):
+            inside[a : max(a, b - size + 1)] = True
+        seed = np.uint64(size)
+        add = lambda a, b: a + b
+        places, hashes, sparse = [np.flatnonzero(inside)], [], [np.zeros(0, bool)]
+        hashes.append(tokens.mixed(tokens.windows(self.cores, size) + seed)[places[0]])
+        sparse[0] = np.zeros(len(places[0]), bool)
+        before = None
+        for names in (False, True):
+            if names and not self.starts.any():
+                break
+            h = np.where(self.starts, PLACE[NAME], self.hashes) if names else self.hashes
+            literal = (self.kinds == LITERAL) & ~self.starts if names else self.kinds == LITERAL
+            count = tokens.windows(literal.astype(np.uint8), size, add)
+            h = tokens.windows(h, size)
+            use = inside & (count >= min(LEAST_SPARSE, size))
+            if names:
+                use &= h != before
+            before = h
+            at = np.flatnonzero(use)
+            places.append(at)
+            hashes.append(h[at])
+            sparse.append(count[at] < min(LEAST_LITERALS, size))
+        return np.concatenate(places), np.concatenate(hashes), np.concatenate(sparse)
 
 
 class Benchmark:
-    """The items' templates and an index of their windows."""
+    """The items' templates and an index of their windows. An item is (id, kinds with sentence starts as names, values)."""
 
     def __init__(self, rows: list[tuple]):
-        self.items, at, hs, ids, sparse = [], [], [], [], []
-        chunks = Chunks()
+        self.items, at, hs, of, sparse = [], [], [], [], []
         for item_id, text in rows:
-            kinds, hashes, cores, values, starts = template(text or "", chunks)
-            pos, h, few = windows(kinds, hashes, cores, starts)
-            ids += [len(self.items)] * len(pos)
-            at.append(pos)
-            hs.append(h)
-            sparse.append(few)
-            self.items.append((item_id, named(kinds, starts), values))
-        flat = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
+            t = Template(pa.array([text or ""], pa.large_string()))
+            whole = len(t.cores)
+            if whole:
+                place, h, few = t.windows(min(WINDOW, whole))
+                at.append(place)
+                hs.append(h)
+                sparse.append(few)
+                of.append(np.full(len(place), len(self.items)))
+            kinds = t.kinds.copy()
+            kinds[t.starts] = NAME
+            self.items.append((item_id, kinds, t.words.strings(0)))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        flat = join(hs, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.hashes = flat[order]
-        self.at = (np.concatenate(at) if at else np.zeros(0, np.int64))[order]
-        self.sparse = (np.concatenate(sparse) if sparse else np.zeros(0, bool))[order]
-        self.of = np.array(ids, np.int64)[order] if ids else np.zeros(0, np.int64)
-        sizes = {min(WINDOW, len(k)) for _, k, _ in self.items if len(k)}
-        self.short = sorted(s for s in sizes if s < WINDOW)
-
-    def matches(self, kinds, hashes, cores, values, starts):
-        """(item, windows matched, tokens covered, item's tokens, slots, changed slots) of each item found."""
+        self.hashes, self.at, self.of, self.sparse = flat[order], join(at, np.int64)[order], join(of, np.int64)[order], join(sparse, bool)[order]
+        self.lookup = Lookup(flat)
+        self.sizes = sorted({min(WINDOW, len(k)) for _, k, _ in self.items if len(k)})
+
+    def matches(self, t: Template):
+        """(text, (item, windows matched, tokens covered, item's tokens, slots, changed slots)) of each item found."""
         found = defaultdict(set)
-        for size in (WINDOW, *self.short):
-            if size > len(kinds):
+        for size in self.sizes:
+            place, h, _ = t.windows(size)
+            hit = self.lookup.find(h)
+            if not len(hit):
                 continue
-            pos, h, _ = windows(kinds, hashes, cores, starts, size)
-            left = np.searchsorted(self.hashes, h, "left")
-            hit = np.flatnonzero(self.hashes[np.minimum(left, len(self.hashes) - 1)] == h) if len(self.hashes) else []
-            right = np.searchsorted(self.hashes, h[hit], "right") if len(hit) else []
-            for i, end in zip(hit, right):
-                for k in range(left[i], end):
-                    found[int(self.of[k])].add((int(pos[i] - self.at[k]), int(self.at[k]), bool(self.sparse[k])))
-        for item, hits in found.items():
-            if got := judge(hits, *self.items[item][1:], values):
-                yield (self.items[item][0], *got)
+            left, right = np.searchsorted(self.hashes, h[hit], "left"), np.searchsorted(self.hashes, h[hit], "right")
+            each = np.repeat(np.arange(len(hit)), right - left)
+            k = np.arange(len(each)) - np.repeat(np.cumsum(right - left) - (right - left), right - left) + left[each]
+            where = place[hit][each]
+            text = np.searchsorted(t.first, where, "right") - 1
+            for d, item, diagonal, at, few in zip(text.tolist(), self.of[k].tolist(), (where - t.first[text] - self.at[k]).tolist(), self.at[k].tolist(), self.sparse[k].tolist()):
+                found[d, item].add((diagonal, at, few))
+        values, now = [], None
+        for d, item in sorted(found):
+            if d != now:
+                values, now = t.words.strings(d), d
+            if got := judge(found[d, item], *self.items[item][1:], values):
+                yield d, (self.items[item][0], *got)
 
 
 def consistent(tokens, diagonal, item_kinds, item_values, values, unbroken: bool):
@@ -247,84 +241,61 @@ def judge(hits: set, item_kinds, item_values, values):
 SCHEMA = "item_id long, n_windows long, covered long, item_tokens long, n_slots long, n_changed long"
 
 
-def found_by_broadcast(docs: DataFrame, bench_rows: list[tuple]) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bench_rows)
-
-    def run(batches):
-        import pyarrow as pa
-
-        chunks = worker_cache("template-chunks", Chunks)
-        bench = Benchmark(shared.value)
-        for b in batches:
-            ids, rows = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for m in bench.matches(*template(text or "", chunks)):
-                    ids.append(i)
-                    rows.append(m)
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())] + [pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], ["doc_id", *names])
-
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, " + SCHEMA)
-
-
-def window_rows(df: DataFrame, key: str, short: bool) -> DataFrame:
-    """(key, row, at, window, sparse) of each window of each row; ``row`` tells rows apart."""
+def blocks(benchmark: DataFrame, most_chars: int = MOST_CHARS):
+    """The benchmark's different rows with a text in lists of at most ``most_chars`` characters, or one item."""
+    items = only(benchmark, "item_id", "text").filter("text is not null").dropDuplicates(["item_id", "text"])
+    held, size = [], 0
+    for row in items.toLocalIterator():
+        if held and size + len(row[1]) > most_chars:
+            yield held
+            held, size = [], 0
+        held.append(tuple(row))
+        size += len(row[1])
+    if held:
+        yield held
 
-    def run(batches):
-        import pyarrow as pa
 
-        chunks = worker_cache("template-chunks", Chunks)
-        for b in batches:
-            for i, text, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                kinds, hashes, cores, _, starts = template(text or "", chunks)
-                for size in range(1, WINDOW + 1) if short else (min(WINDOW, len(kinds)),):
-                    if 0 < size <= len(kinds):
-                        at, h, sparse = windows(kinds, hashes, cores, starts, size)
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(h.view(np.int64)), pa.array(sparse)], [key, "row", "at", "window", "sparse"])
-
-    return df.select(key, "text", "row").mapInArrow(run, f"{key} long, row long, at long, window long, sparse boolean")
-
-
-def found_by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same without any broadcast: windows are joined by hash, matches are judged per (document, item)."""
-    docs = cut(only(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "leak-docs")
-    items = cut(items.withColumn("row", F.monotonically_increasing_id()), "leak-items")
-    d = window_rows(docs, "doc_id", True).drop("sparse")
-    t = window_rows(items, "item_id", False).select("window", F.col("row").alias("item"), F.col("at").alias("item_at"), "sparse")
-    hits = d.join(t, "window").groupBy("row", "item").agg(F.collect_set(F.struct((F.col("at") - F.col("item_at")).alias("d"), "item_at", "sparse")).alias("hits"))
-    hits = hits.join(docs, "row").join(items.select(F.col("row").alias("item"), "item_id", F.col("text").alias("item_text")), "item")
+def against(docs: DataFrame, rows: list[tuple], columns: list[str], schema: str, made):
+    """``made(batch, matches)`` over the batches of ``columns`` (text the last one), with the benchmark rows broadcast."""
+    shared, name = bounded(docs.sparkSession).sparkContext.broadcast(rows), f"benchmark-{uuid.uuid4().hex}"
 
     def run(batches):
-        import pyarrow as pa
-
-        chunks = worker_cache("template-chunks", Chunks)
+        bench = worker_cache(name, lambda: Benchmark(shared.value))
         for b in batches:
-            ids, rows = [], []
-            for i, item_id, text, item_text, hit in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "text", "item_text", "hits"))):
-                item_kinds, _, _, item_values, starts = template(item_text or "", chunks)
-                values = template(text or "", chunks)[3]
-                if got := judge({(x["d"], x["item_at"], x["sparse"]) for x in hit}, named(item_kinds, starts), item_values, values):
-                    ids.append(i)
-                    rows.append((item_id, *got))
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())] + [pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], ["doc_id", *names])
+            found = ((at + d, m) for at, texts in tokens.slices(b.column(b.num_columns - 1)) for d, m in bench.matches(Template(texts)))
+            yield made(b, found)
 
-    return hits.select("doc_id", "item_id", "text", "item_text", "hits").mapInArrow(run, "doc_id long, " + SCHEMA)
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
     """doc_id, the columns of SCHEMA, and kind, for each document row and benchmark item found in it."""
-    items = only(benchmark, "item_id", "text").filter("text is not null").dropDuplicates(["item_id", "text"])
-    # a text has no more windows than characters: a bound that costs no tokenising
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    found = found_by_broadcast(docs, [tuple(r) for r in items.collect()]) if size <= 4 * most_windows else found_by_shuffle(docs, items)
-    return found.withColumn("kind", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("exact"))
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no benchmark item in any of its texts, with their own columns."""
-    bad = find_leaks(docs, benchmark).select("doc_id").distinct()
-    key = F.coalesce(docs["doc_id"], F.lit(-(2**63)))
-    return docs.join(bad.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_leaked")), key == F.col("_leaked"), "left_anti")
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def made(batch, found):
+        rows, got = [], []
+        for d, m in found:
+            rows.append(d)
+            got.append(m)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array([g[k] for g in got], pa.int64()) for k in range(6)], ["doc_id", *names])
+
+    d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = [against(d, rows, ["doc_id", "text"], "doc_id long, " + SCHEMA, made) for rows in blocks(benchmark, most_chars)]
+    none = docs.sparkSession.createDataFrame([], "doc_id long, " + SCHEMA)
+    return reduce(DataFrame.unionByName, parts or [none]).withColumn("kind", F.when(F.col("n_changed") > 0, "reparameterised").otherwise("exact"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """The rows of ``docs`` without a benchmark item in their text, with their own columns. Rows are judged one by one
+    where they stand, whatever their doc_id."""
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["`text`"].alias("text"))
+    kinds = dict(packed.dtypes)
+
+    def made(batch, found):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[d for d, _ in found]] = False
+        return batch.filter(pa.array(keep))
+
+    for rows in blocks(benchmark, most_chars):
+        packed = against(packed, rows, ["row", "text"], f"row {kinds['row']}, text string", made)
+    return packed.select("row.*")
