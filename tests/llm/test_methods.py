@@ -305,6 +305,6 @@ def test_bundle_frames(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"u{i}", "x" * (i * 37 % 900)) for i in range(300)], "page_id long, url string, html string")
     index = warc.write_bundles(pages, f"file://{tmp_path}", frame_bytes=2_000).collect()
     for r in index[::17]:
-        assert f"<urn:page:{r.page_id}>" in warc.open_bundle(f"file://{tmp_path}/{r.bundle}").frame(r.frame)[r.at : r.at + r.length].decode()
+        assert f"X-Page-ID: {r.page_id}\r\n" in warc.open_bundle(f"file://{tmp_path}/{r.bundle}").frame(r.frame)[r.at : r.at + r.length].decode()
     whole = b"".join(zstandard.ZstdDecompressor().stream_reader(open(f"{tmp_path}/{n}", "rb"), read_across_frames=True).read() for n in {r.bundle for r in index})
     assert whole.count(b"WARC/1.1\r\n") == 300 and max(r.frame for r in index) > 3
