@@ -52,7 +52,7 @@ def put_file(uri: str, blob_writer) -> None:
     store, path = file_system(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         blob_writer(out)
     store.move(part, path)
 

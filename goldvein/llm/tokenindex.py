@@ -1,8 +1,9 @@
 """Token-id shards with a minimal perfect hash index (operator 5).
 
-Encoding. A text is cut at ASCII white space into chunks; the tokenizer drops white space and never merges across
-it, so the ids of the text are those of its chunks in turn. Each distinct chunk goes through the tokenizers library
-once per worker and its ids are kept (bounded by twice ``CACHE_CHUNKS``). Whole texts are encoded, none is shortened.
+Encoding. A text is cut at ASCII white space into chunks; a tokenizer that drops white space and never merges across
+it gives the ids of the text as those of its chunks in turn. This is probed when its file is loaded; a tokenizer that
+fails gets whole texts. The distinct chunks of a slice of texts that the worker doesn't know yet (see ``idcache``) go
+through the tokenizers library, many in a row between separators. Whole texts are encoded, none is shortened.
 
 Shards. Documents are range-partitioned by doc_id; each task writes one shard: ids as little-endian unsigned integers
 of two bytes (four where the vocabulary is larger), nothing between them, documents in ascending doc_id.
@@ -21,16 +22,19 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, file_system, fresh_path, only, put_file, slices, worker_cache
+from . import tokens
+from .common import bounded, cut, file_system, fresh_path, only, put_file, worker_cache
+from .idcache import IdCache, gathered
 
 END_ID = 2
-CACHE_CHUNKS, TOGETHER = 350_000, 400
+TOGETHER, SEPARATOR = 64, "\u2021"
 KEYS_PER_BUCKET = 200_000
 GAMMA = 2.0
 SEED_STEP = 0x9E3779B97F4A7C15
@@ -44,23 +48,62 @@ def id_type(tokenizer_file: str) -> str:
     return "<u2" if Tokenizer.from_file(tokenizer_file).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def encoder(tokenizer_file: str, kind: str):
-    """texts -> their ids as bytes of ``kind``, through the tokenizers library chunk by chunk."""
+PROBES = ["Az'S zA 12,3 x", "  lead", "trail ", "a\t\tb\nc\r\x0b\x0c d", "é ñ. (q) ; ! don't  stop", "\n", "x-y 1.5 [CLS] </s> <s>"]
+
+
+def encoder(tokenizer_file: str, kind: str, ending: np.ndarray):
+    """texts (an Arrow array) -> (ids of each text, all ids as ``kind``), each text's ids with ``ending`` behind them."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_file)
     tok.encode_special_tokens = True
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    apart = all(ids(p) == sum(map(ids, [x.decode() for x in p.encode().split()]), []) for p in PROBES)
     # ASCII letters may be lowered before the lookup where the tokenizer lowers all letters anyway
-    fold = [e.ids for e in tok.encode_batch(["Az'S zA"], add_special_tokens=False)] == [e.ids for e in tok.encode_batch(["az's za"], add_special_tokens=False)]
-
-    def learn(chunks: list[bytes]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype=kind).tobytes() for e in tok.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)]
-
-    memo = Memo(learn, CACHE_CHUNKS)
+    fold = apart and all(ids(p) == ids(p.lower()) for p in PROBES)
+
+    mark = np.array(ids(SEPARATOR), kind)
+
+    def alone(chunks: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, kind) for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def learn(chunks: list[str]) -> list[tuple[np.ndarray, bool]]:
+        out: list = [None] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if SEPARATOR not in c] if apart else []
+        rows = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for row, got in zip(rows, alone([f" {SEPARATOR} ".join([chunks[i] for i in row]) for row in rows])):
+            hit = np.ones(max(0, len(got) - len(mark) + 1), bool)
+            for k in range(len(mark)):
+                hit &= got[k : k + len(hit)] == mark[k]
+            at = np.flatnonzero(hit)
+            if len(at) == len(row) - 1:
+                for i, x, y in zip(row, [0, *(at + len(mark)).tolist()], [*at.tolist(), len(got)]):
+                    out[i] = (got[x:y], True)
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, alone([chunks[i] for i in rest])):
+            out[i] = (x, True)
+        return out
 
-    def encode(texts: list[str]) -> list[bytes]:
-        raw = [t.encode("utf-8") for t in texts]
-        return [b"".join(x) for x in memo.many([(t.lower() if fold else t).split() for t in raw])]
+    cache = IdCache(learn, kind)
+
+    def some(texts) -> tuple[np.ndarray, np.ndarray]:
+        if apart:
+            chunks = pc.ascii_split_whitespace(pc.ascii_lower(texts) if fold else texts)
+            ends = chunks.offsets.to_numpy()[1:] - chunks.offsets[0].as_py()
+            coded = chunks.flatten().dictionary_encode()
+        else:
+            ends, coded = np.arange(1, len(texts) + 1), texts.dictionary_encode()
+        start, n, _ = cache.get(coded.dictionary)
+        codes = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(n))  # the ending is one more chunk of each text
+        flat = np.concatenate([cache.ids[: cache.used], ending])
+        start, n = np.append(start, cache.used)[codes], np.append(n, len(ending))[codes]
+        return np.diff(np.cumsum(n)[ends + np.arange(len(ends))], prepend=0), gathered(flat, start, n)
+
+    def encode(texts):
+        parts = [some(t) for _, t in tokens.slices(texts)] or [(np.zeros(0, np.int64), np.zeros(0, kind))]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     return encode
 
@@ -159,47 +202,45 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
     """Write the id shards; a written table of (doc_id, ordinal, shard, pos, at, n_tokens), ``at`` in ids."""
-    d = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    d = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.length("text"), "text"
     )
     kind = id_type(tokenizer_file)
-    width, ending = int(kind[-1]), np.asarray([end_id], dtype=kind).tobytes()
+    bounded(docs.sparkSession)
 
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode = worker_cache(f"ids:{tokenizer_file}", lambda: encoder(tokenizer_file, kind))
-        first = next(batches, None)
-        if first is None:
-            return
-        made = []
-
-        def fill(out):
-            at, pos, last, ordinal, batch = 0, 0, object(), 0, first
-            while batch is not None:
-                ids, counts, ords = batch.column(0).to_pylist(), [], []
-                for texts in slices(batch.column(1).to_pylist(), TOGETHER):
-                    for blob in encode(texts):
-                        out.write(blob + ending)
-                        counts.append(len(blob) // width + 1)
-                for i in ids:
-                    ordinal = ordinal + 1 if i == last else 0
-                    last = i
-                    ords.append(ordinal)
-                starts = at + np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-                made.append((ids, ords, list(range(pos, pos + len(ids))), starts[:-1].tolist(), counts))
-                at, pos = int(starts[-1]), pos + len(ids)
-                batch = next(batches, None)
-
-        put_file(f"{folder}/ids/shard-{shard:06d}.bin", fill)
-        for ids, ords, poss, starts, counts in made:
+        encode = worker_cache(f"ids:{tokenizer_file}", lambda: encoder(tokenizer_file, kind, np.asarray([end_id], dtype=kind)))
+        out, store, path = None, None, None
+        at, pos, last, ordinal = 0, 0, object(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                store, path = file_system(f"{folder}/ids/shard-{shard:06d}.bin")
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                out = store.open_output_stream(part, compression=None)
+            counts, ids = encode(batch.column(1))
+            out.write(ids.tobytes())
+            ords = []
+            for i in batch.column(0).to_pylist():
+                ordinal = ordinal + 1 if i == last else 0
+                last = i
+                ords.append(ordinal)
+            n = len(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ords, pa.int64()), pa.array([shard] * len(ids), pa.int32()), pa.array(poss, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())],
+                [batch.column(0), pa.array(ords, pa.int64()), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(pos, pos + n)), pa.array(at + np.cumsum(counts) - counts), pa.array(counts)],
                 ["doc_id", "ordinal", "shard", "pos", "at", "n_tokens"],
             )
+            at, pos = at + len(ids), pos + n
+        if out is not None:  # rows are sorted, so a task that is run again moves the same bytes here
+            out.close()
+            store.move(part, path)
 
     return cut(ordered.mapInArrow(write, "doc_id long, ordinal long, shard int, pos long, at long, n_tokens long"), "shard-rows")
 
@@ -309,7 +350,8 @@ def encode_and_index(spark: SparkSession, docs: DataFrame, tokenizer_file: str,
     rows = write_shards(docs, folder, tokenizer_file)
     buckets, kind = build_index(rows, folder), id_type(tokenizer_file)
     put_file(f"{folder}/meta.json", lambda out: out.write(json.dumps({"buckets": buckets, "kind": kind}).encode()))
-    found = lookup(rows, folder, buckets).filter("found").drop("found", "ordinal")
+    sure = F.when(F.col("found"), True).otherwise(F.raise_error(F.concat(F.lit("not in its index: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("boolean"))
+    found = lookup(rows, folder, buckets).filter(sure).drop("found", "ordinal")
     got = read_back(found, folder, kind)
     return got.join(shard_bases(spark, rows), "shard").select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", F.col("at").alias("shard_offset")
