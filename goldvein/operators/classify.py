@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame
@@ -111,10 +112,14 @@ def default_proposer(df: DataFrame, file_name: str) -> dict:
 
 
 class Onboarding:
-    """New entities from tables that no rule knows, behind guards; known signatures are routed again."""
+    """New entities from tables that no rule knows, behind guards; known signatures are routed again. With a catalogue
+    they are kept there, and registered again by the next process."""
 
-    def __init__(self, proposer=default_proposer):
-        self.proposer, self.rows = proposer, []
+    def __init__(self, proposer=default_proposer, catalog=None):
+        self.proposer, self.catalog, self.rows = proposer, catalog, []
+        for r in catalog.rows("auto_entities") if catalog else []:
+            entities.register(entities.Entity(r["entity"], r["table"], r["key"], json.loads(r["fields_json"])))
+            self.rows.append({"entity": r["entity"], "signature": r["signature"], "at": r["at"]})
 
     def propose(self, df: DataFrame, file_name: str, now: float) -> tuple[entities.Entity | None, str]:
         sign = signature(df.columns)
@@ -135,4 +140,6 @@ class Onboarding:
         made = entities.Entity(name, f"master_{re.sub('(?<!^)(?=[A-Z])', '_', name).lower()}", key.lower(), fields)
         entities.register(made)
         self.rows.append({"entity": name, "signature": sign, "at": now})
+        if self.catalog:
+            self.catalog.append("auto_entities", {"entity": name, "table": made.table, "key": made.key, "fields_json": json.dumps(fields), "signature": sign, "at": now})
         return made, "created"

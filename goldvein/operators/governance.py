@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import local
+from ..sources.store import Store
 
 SCHEMAS = {
     "datasets": "dataset_id string, source string, filename string, rows long, columns long, loaded_at string, current_version long, raw_path string, source_system string, deleted boolean",
@@ -21,6 +20,9 @@ SCHEMAS = {
     "openlineage_events": "event_id string, event_type string, event_time string, run_id string, job_name string, payload string",
     "file_quarantine": "original_path string, aside_path string, reason_category string, reason_details string, moved_at string",
     "match_decisions": "entity string, pair_a string, pair_b string, probability double, decision string, decided_at string",
+    "dynamic_schemas": "entity string, status string, row_count_observed long, schema_json string",
+    "auto_entities": "entity string, table string, key string, fields_json string, signature string, at double",
+    "column_mappings": "entity string, source_column string, samples string, field string, confidence double, reason string",
 }
 
 
@@ -29,26 +31,17 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 class Catalog:
-    """Small metadata tables under a folder, each row one JSON line file; data stays in Parquet version folders."""
+    """Small metadata tables under a folder of any store, each row one JSON file; data stays in Parquet version folders."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(local(root), exist_ok=True)
-
-    def _folder(self, table: str) -> str:
-        return f"{local(self.root)}/{table}"
+        self.spark, self.root, self.store = spark, root, Store(spark)
+        self.store.make_folder(root)
 
     def append(self, table: str, row: dict) -> None:
-        os.makedirs(self._folder(table), exist_ok=True)
-        n = len(os.listdir(self._folder(table)))
-        part = f"{self._folder(table)}/.{n}.part"
-        with open(part, "w") as f:
-            json.dump(row | {"_seq": n}, f)
-        os.replace(part, f"{self._folder(table)}/{n:09d}.json")
+        self.store.append(f"{self.root}/{table}", row)
 
     def rows(self, table: str) -> list[dict]:
-        folder = self._folder(table)
-        return [json.load(open(f"{folder}/{n}")) for n in sorted(os.listdir(folder)) if n.endswith(".json")] if os.path.isdir(folder) else []
+        return [r | {"_seq": i} for i, r in enumerate(self.store.rows(f"{self.root}/{table}"))]
 
     def table(self, table: str) -> DataFrame:
         names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
@@ -106,8 +99,8 @@ class Catalog:
         return json.loads(found[-1]["payload_json"]) if found else None
 
     def reset(self) -> None:
-        shutil.rmtree(local(self.root), ignore_errors=True)
-        os.makedirs(local(self.root))
+        self.store.delete(self.root)
+        self.store.make_folder(self.root)
 
 
 def current_paths(datasets: DataFrame, versions: DataFrame) -> DataFrame:
@@ -137,6 +130,15 @@ def lineage_events(runs: DataFrame) -> DataFrame:
     return both.select(F.concat_ws(":", "run_id", F.lower("event_type")).alias("event_id"), "event_type", when.alias("event_time"), "run_id", job.alias("job_name"), payload.alias("payload"))
 
 
+def newest_events(events: DataFrame, most: int = 200) -> DataFrame:
+    """The events to export: the newest ``most``, ties by id."""
+    return events.orderBy(F.desc("event_time"), "event_id").limit(most)
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    return events.groupBy("event_type").agg(F.count("*").alias("events"))
+
+
 def disposition(df: DataFrame) -> DataFrame:
     """``df`` (parse_error, target_entity, rows_inserted, rows_merged, fields_enriched, rows_rejected) with action and
     reason_category: archive what reached the master, set the rest aside."""
@@ -149,15 +151,16 @@ def disposition(df: DataFrame) -> DataFrame:
     return df.withColumn("reason_category", reason).withColumn("action", F.when(F.col("reason_category").isNull(), "archive").otherwise("aside"))
 
 
-def move_file(path: str, folder: str, catalog: Catalog | None = None, category: str = "", details: str = "", now: str = "") -> str:
+def move_file(spark: SparkSession, path: str, folder: str, catalog: Catalog | None = None, category: str = "", details: str = "", now: str = "") -> str:
     """Move a file into ``folder`` under a free name; logged as quarantined if a category is given."""
-    os.makedirs(folder, exist_ok=True)
+    store = Store(spark)
+    store.make_folder(folder)
     stem, ext = os.path.splitext(os.path.basename(path))
     target, n = f"{folder}/{stem}{ext}", 0
-    while os.path.exists(target):
+    while store.exists(target):
         n += 1
         target = f"{folder}/{stem}_{n}{ext}"
-    shutil.move(path, target)
+    store.move(path, target)
     if catalog and category:
         catalog.append("file_quarantine", {"original_path": path, "aside_path": target, "reason_category": category, "reason_details": details, "moved_at": now})
     return target

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names (one of our own only where it is unset)."""
+    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names. Where it is unset, local sessions (tests)
+    get one of our own; a cluster's machines share none, so there it must be set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="goldvein-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="goldvein-"))
     return df.checkpoint()
 
 

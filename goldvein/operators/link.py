@@ -12,6 +12,27 @@ from ..functions import similarity
 from . import graph
 
 STRONG, EMAIL, PHONE, CAP, MOST = 0.9, 0.98, 0.97, 0.55, 500
+# Parts of column names that tell a signal, and parts that speak against it.
+SIGNALS = {
+    "email": (["email", "mail", "e_mail"], ["opt_out", "_at", "_time", "_date", "valid"]),
+    "phone": (["phone", "mobile", "tel", "cell"], ["_at", "_time", "_date"]),
+    "name": (["full_name", "fullname", "name", "owner_name", "contact", "person"], ["file", "user", "host", "domain", "company"]),
+}
+
+
+def identity_columns(columns: list[str]) -> dict[str, str]:
+    """signal -> column. A column serves one signal, an e-mail before a phone before a name; the first of a signal stays,
+    but a full name replaces another name."""
+    out: dict[str, str] = {}
+    for column in columns:
+        low = column.lower()
+        fits = [s for s, (parts, against) in SIGNALS.items() if any(p in low for p in parts) and not any(p in low for p in against)]
+        for s in fits:
+            fuller = s == "name" and "full" in low and "full" not in out.get(s, "full").lower()
+            if s not in out or fuller:
+                out[s] = column
+                break
+    return out
 
 
 def prepared(df: DataFrame, index: str, name: str | None, email: str | None, phone: str | None) -> DataFrame:
@@ -39,12 +60,12 @@ def phone_match(a: Column, b: Column) -> Column:
     return (F.length(x) >= 7) & (F.length(y) >= 7) & ((x == y) | (F.right(x, F.lit(9)) == F.right(y, F.lit(9))))
 
 
-def sharing(a: DataFrame, b: DataFrame | None, threshold: float, names: bool = True, prune_blank_blocks: bool = False) -> DataFrame:
+def sharing(a: DataFrame, b: DataFrame | None, threshold: float, names: bool = True, prune_blank_blocks: bool = False, signals: tuple[str, ...] = ("name", "email", "phone")) -> DataFrame:
     """The ``candidates`` over name, email and phone that can reach the threshold. A pair needs a strong signal, and two
     beyond ``CAP``, so equal emails or phones are among them unless a name alone is enough: two equi-joins on whole
     values, not on first characters. With ``b`` None: pairs within ``a``, row_a < row_b."""
     if names and threshold <= CAP:
-        return candidates(a, b, ["name", "email", "phone"], prune_blank_blocks)
+        return candidates(a, b, list(signals), prune_blank_blocks)
     left = a.distinct().select(*[F.col(c).alias(f"{c}_a") for c in a.columns])
     right = (b if b is not None else a).distinct().select(*[F.col(c).alias(f"{c}_b") for c in a.columns])
     same = (F.col("email_a") == F.col("email_b")) & (F.col("email_a") != "")
@@ -53,7 +74,7 @@ def sharing(a: DataFrame, b: DataFrame | None, threshold: float, names: bool = T
     key = lambda d, c: d.withColumn("_k", F.right(digits(c), F.lit(9))).filter(F.length("_k") >= 7)
     by_phone = key(left, "phone_a").join(key(right, "phone_b"), "_k").drop("_k").filter(phone_match(F.col("phone_a"), F.col("phone_b")) & ~same)
     first = lambda s: (F.substring(f"{s}_a", 1, 1) == F.substring(f"{s}_b", 1, 1)) & ((F.col(f"{s}_a") != "") | F.lit(not prune_blank_blocks))
-    out = by_email.unionByName(by_phone.filter(first("name") | first("email") | first("phone")))
+    out = by_email.unionByName(by_phone.filter(reduce(lambda x, y: x | y, map(first, signals))))
     return out.filter("row_a < row_b") if b is None else out
 
 
@@ -86,6 +107,19 @@ def dedup_within(a: DataFrame, threshold: float = 0.85, prune_blank_blocks: bool
     return scored(sharing(a, None, threshold, names, prune_blank_blocks), threshold, names)
 
 
+def resolve_entities(a: DataFrame, b: DataFrame | None, index: str, threshold: float = 0.7) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+    """(matches, signal -> its columns): across two tables, or within one. Signals that either table lacks are left
+    out; without any: ValueError."""
+    left, right = identity_columns(a.columns), identity_columns((a if b is None else b).columns)
+    both = tuple(s for s in ("name", "email", "phone") if s in left and s in right)
+    if not both:
+        raise ValueError(f"no identity column in common: {left}, {right}")
+    x = prepared(a, index, *[left[s] if s in both else None for s in ("name", "email", "phone")])
+    y = None if b is None else prepared(b, index, *[right[s] if s in both else None for s in ("name", "email", "phone")])
+    names = "name" in both
+    return scored(sharing(x, y, threshold, names, signals=both), threshold, names), {s: (left[s], right[s]) for s in both}
+
+
 def top(matches: DataFrame, most: int = MOST) -> DataFrame:
     """The report's head: best first, ties by rows."""
     return matches.orderBy(F.desc("probability"), "row_a", "row_b").limit(most)
@@ -209,7 +243,25 @@ def dedupe(df: DataFrame, index: str, columns: list[str], block: str, threshold:
     return pairs, graph.components(df.select(F.col(index).alias("id")), edges)
 
 
-def link_tables(a: DataFrame, b: DataFrame, index: str, entity: str, threshold: float = 0.9, recall: float = 0.9) -> DataFrame:
+def fuzzy_duplicates(master: DataFrame, entity: str, index: str, threshold: float = 0.95, u=None) -> DataFrame:
+    """(cluster, id, size) of a master table's active rows in clusters of two and more: flagged for review, not merged.
+    An entity without a blueprint: ValueError."""
+    if entity not in BLUEPRINTS:
+        raise ValueError(f"no blueprint for {entity!r}")
+    columns, block = BLUEPRINTS[entity]
+    rows = master.filter(F.col("archived_at").isNull()) if "archived_at" in master.columns else master
+    found = dedupe(rows, index, [c for c in columns.split() if c in rows.columns], block if block in rows.columns else rows.columns[0], threshold, u=u)[1]
+    sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
+    return found.join(sizes, "component").select(F.col("component").alias("cluster"), "id", "size")
+
+
+def match_queue(staged: dict[str, DataFrame], entity: str, index: str, threshold: float = 0.5, u=None) -> tuple[list[str], DataFrame | None]:
+    """(the first two staging tables of the entity by name, their pairs): None if there are fewer than two."""
+    names = sorted(n for n in staged if n.startswith(f"stg_{entity.lower()}__"))[:2]
+    return names, link_tables(staged[names[0]], staged[names[1]], index, entity, threshold, u=u) if len(names) == 2 else None
+
+
+def link_tables(a: DataFrame, b: DataFrame, index: str, entity: str, threshold: float = 0.9, recall: float = 0.9, u=None) -> DataFrame:
     """Pairs of two tables on their common compared columns; needs two of them, else ValueError."""
     a, b = canonical(a), canonical(b)
     both = [c for c in a.columns if c in b.columns]
@@ -218,8 +270,9 @@ def link_tables(a: DataFrame, b: DataFrame, index: str, entity: str, threshold:
     if len(columns) < 2:
         raise ValueError(f"not enough common columns: {columns}")
     block = next((c for c in BLOCKS if c in both), None) or next(c for c in both if not c.startswith("_") and c != index)
-    shared = a.select(*both).unionByName(b.select(*both))
-    u = u_shares(shared.withColumn(index, F.xxhash64(*both)), columns, index)
+    if u is None:
+        shared = a.select(*both).unionByName(b.select(*both))
+        u = u_shares(shared.withColumn(index, F.xxhash64(*both)), columns, index)
     n, m = a.count(), b.count()
     strict = a.select(*[F.col(c) for c in columns[:2]]).join(b.select(*columns[:2]), columns[:2]).count()
     return probability(blocked(a, b, index, block, columns), columns, u, prior_share(strict, n * m, recall)).filter(F.col("match_probability") >= threshold)

@@ -149,8 +149,8 @@ def browse(master: DataFrame, order: list[Column], most: int = 50) -> DataFrame:
     return active(master).orderBy(*order).limit(most).drop(*[c for c in master.columns if c.startswith("_")])
 
 
-def search(master: DataFrame, query: str, order: list[Column], most: int = 50, pool: int | None = 20_000) -> DataFrame:
-    """Rows with ``query`` in any value, newest first; the pool of newest rows may be lifted."""
+def search(master: DataFrame, query: str, order: list[Column], most: int = 50, pool: int | None = None) -> DataFrame:
+    """Rows with ``query`` in any value, newest first; ``pool`` looks at the newest rows only."""
     rows = active(master).orderBy(*order)
     rows = rows.limit(pool) if pool else rows
     hit = None
@@ -164,3 +164,11 @@ def search(master: DataFrame, query: str, order: list[Column], most: int = 50, p
 def record_sources(lineage: DataFrame, datasets: DataFrame, table: str, pk: str) -> DataFrame:
     one = lineage.filter((F.col("master_table") == table) & (F.col("pk_value") == pk))
     return one.join(datasets, "dataset_id", "left").orderBy("dataset_id")
+
+
+def absorb(old: DataFrame | None, new: DataFrame, key: str) -> DataFrame:
+    """``old`` with the rows of ``new`` whose key it lacks, one a key; columns that either lacks are added empty."""
+    fresh = new.filter(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) != "").dropDuplicates([key])
+    if old is None:
+        return fresh
+    return old.unionByName(fresh.join(old.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
+import zipfile
 from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import profile
+from ..plans import entities
+from ..sources.store import Store
+from . import master, profile
 
 HOLDS, LEAST_ROWS, REPEATED = 0.98, 20, 0.5
 # Fixed values.
@@ -149,3 +154,54 @@ def ddl(df: DataFrame, groups: list[dict], fact: str) -> str:
     keys = [f"  {foreign_key(g['name'])} INTEGER REFERENCES {g['name']}({foreign_key(g['name'])})" for g in groups]
     out.append(f"CREATE TABLE {fact} (\n" + ",\n".join([*[column(c) for c in df.columns if c not in used], *keys]) + "\n);")
     return "\n\n".join(out)
+
+
+def export_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, list[str]]:
+    """Each table as CSV files without header under ``folder``, written by tasks; table -> its columns."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").csv(f"{folder}/{name}", quoteAll=True)
+    return {name: df.columns for name, df in tables.items()}
+
+
+def bundle(store: Store, folder: str, columns: dict[str, list[str]], target) -> None:
+    """A ZIP of the exported tables, one CSV with a header each, into a path or an open file; files go through in
+    pieces."""
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, names in columns.items():
+            head = io.StringIO()
+            csv.writer(head, quoting=csv.QUOTE_ALL, lineterminator="\n").writerow(names)
+            with z.open(f"{name}.csv", "w", force_zip64=True) as out:
+                out.write(head.getvalue().encode())
+                for part in store.names(f"{folder}/{name}"):
+                    if part.startswith("part-"):
+                        for chunk in store.chunks(f"{folder}/{name}/{part}"):
+                            out.write(chunk)
+
+
+def normalize_all(tables: dict[str, DataFrame], order: str) -> dict[str, tuple[list[dict], dict[str, DataFrame]]]:
+    """table -> (its entity groups, entity tables and fact) for every table that holds some."""
+    out = {}
+    for name, df in tables.items():
+        groups = plan_entities(df.drop(order))
+        if groups:
+            made, fact = materialize(df, groups, order)
+            out[name] = groups, made | {f"{name}_fact": fact}
+    return out
+
+
+FEW_COLUMNS, MOST_COLUMNS, FEW_ROWS = 4, 15, 5
+
+
+def to_masters(df: DataFrame, source: str, order: str, masters: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The master tables with a table's rows added: split into its entities where it holds some, each to the master of
+    its first column's entity; else as a whole. Keys that are known, or blank, add no row; new columns are added."""
+    data = df.drop(order)
+    wide = FEW_COLUMNS <= len(data.columns) <= MOST_COLUMNS and data.limit(FEW_ROWS).count() == FEW_ROWS
+    groups = plan_entities(data) if wide else []
+    parts = [data.select(*[c for c in data.columns if c in g["columns"]]).distinct() for g in groups] or [data]
+    out = dict(masters)
+    for part in parts:
+        key = part.columns[0]
+        table = f"master_{entities.entity_for_key(key, source).lower()}"
+        out[table] = master.absorb(out.get(table), part, key)
+    return out

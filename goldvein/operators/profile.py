@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,6 +132,51 @@ def intents(df: DataFrame, order: str | None = None) -> dict[str, str | None]:
     return out
 
 
+def find_column(columns: list[str], candidates: list[str]) -> str | None:
+    """The column of a candidate's name, without regard to case; else the first whose name holds a candidate."""
+    low = {c.lower(): c for c in columns}
+    whole = next((low[x] for x in candidates if x in low), None)
+    return whole or next((c for x in candidates for n, c in low.items() if x in n), None)
+
+
+def quality(df: DataFrame, order: str) -> dict:
+    """All quality checks of a table: exact and alike rows, missing cells, mixed types, outliers, constant and unique
+    columns, formats by the columns' types, and names that don't fit their addresses."""
+    data = df.drop(order)
+    texts = [c for c, t in data.dtypes if t == "string" and not c.startswith("_")]
+    rows = lambda d: [r.asDict() for r in d.collect()]  # noqa: E731  a row a column
+    stats = rows(column_stats(data))
+    out = {
+        "exact_duplicates": exact_duplicates(data).first().asDict(), "missing": rows(missing(data)), "mixed_types": [r for r in rows(numeric_shares(data, texts)) if r["mixed"]] if texts else [],
+        "outliers": rows(outliers(data)) if any(t in NUMERIC for _, t in data.dtypes) else [], "constant": [r["column"] for r in stats if r["constant"]], "unique": [r["column"] for r in stats if r["unique"]],
+    }
+    out["fuzzy_duplicates"] = fuzzy_rows(df, order, texts).count() if texts else 0
+    kinds = intents(data)
+    out["formats"] = {c: rows(phone_formats(data, c) if k == "phone" else date_formats(data, c) if k == "date" else content_checks(data, [c])) for c, k in kinds.items() if k}
+    name, email = find_column(texts, ["full_name", "name", "customer_name"]), find_column(texts, ["email", "mail"])
+    out["consistency"] = name_email_issues(df, order, name, email).groupBy("severity").count().collect() if name and email and name != email else []
+    out["consistency"] = {r["severity"]: r["count"] for r in out["consistency"]}
+    return out
+
+
+def html_report(title: str, tables: dict[str, list[dict]]) -> str:
+    """A page with a table of rows for each heading."""
+
+    def one(heading: str, rows: list[dict]) -> str:
+        names = list(dict.fromkeys(k for r in rows for k in r))
+        row = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{escape(str(c))}</{tag}>" for c in cells) + "</tr>"
+        return f"<h2>{escape(heading)}</h2><table>{row('th', names)}{''.join(row('td', [r.get(n, '') for n in names]) for r in rows)}</table>"
+
+    return f'<!doctype html><meta charset="utf-8"><title>{escape(title)}</title><h1>{escape(title)}</h1>{"".join(one(h, r) for h, r in tables.items())}'
+
+
+def enhancements(df: DataFrame, table: str, order: str) -> dict:
+    """All that a table's contents suggest: refined types, constraints, and columns worth clustering by (Spark has no
+    indexes)."""
+    rows = lambda d: [r.asDict() for r in d.collect()]
+    return {"types": rows(refined_types(df, order)), "constraints": rows(constraints(df.drop(order))), "layout": rows(layout_hints(df.drop(order), table))}
+
+
 def dataset_summary(df: DataFrame) -> DataFrame:
     """n, n_var, missing_cells, duplicate_rows, and alerts for constant, unique and mostly missing columns."""
     m, s = missing(df), column_stats(df)

@@ -95,6 +95,13 @@ def learn(df: DataFrame, sample: int = 50) -> dict[str, dict]:
     return out
 
 
+def learned_frame(df: DataFrame) -> DataFrame:
+    """column, dtype, nullable, checks (type, or type=value, joined by ;) of a batch's learned metadata."""
+    say = lambda c: c["type"] if "value" not in c and "values" not in c else f"{c['type']}={'|'.join(c['values']) if 'values' in c else c['value']}"
+    rows = [(n, m["dtype"], m["nullable"], ";".join(map(say, m["checks"]))) for n, m in learn(df).items()]
+    return df.sparkSession.createDataFrame(rows, "column string, dtype string, nullable boolean, checks string")
+
+
 def merge_metadata(old: dict, new: dict) -> dict:
     """Nullable if either was; vocabularies are united; other checks stay as first learned; new columns are added."""
     out = json.loads(json.dumps(old))
@@ -116,10 +123,18 @@ def learned_checks(meta: dict) -> list[entities.Check]:
 
 
 class DynamicSchemas:
-    """Learned schemas by entity: learning until ``threshold`` rows, then established; promotion freezes them."""
+    """Learned schemas by entity: learning until ``threshold`` rows, then established; promotion freezes them. With a
+    catalogue they are kept there, and known again to the next process."""
+
+    def __init__(self, threshold: int = LEARNED_AT, catalog=None):
+        self.threshold, self.catalog, self.rows = threshold, catalog, {}
+        for r in catalog.rows("dynamic_schemas") if catalog else []:
+            self.rows[r["entity"]] = {"schema": json.loads(r["schema_json"]), "status": r["status"], "row_count_observed": r["row_count_observed"]}
 
-    def __init__(self, threshold: int = LEARNED_AT):
-        self.threshold, self.rows = threshold, {}
+    def _keep(self, entity: str) -> None:
+        if self.catalog:
+            r = self.rows[entity]
+            self.catalog.append("dynamic_schemas", {"entity": entity, "status": r["status"], "row_count_observed": r["row_count_observed"], "schema_json": json.dumps(r["schema"], sort_keys=True)})
 
     def observe(self, entity: str, df: DataFrame) -> dict:
         n, old = df.count(), self.rows.get(entity)
@@ -131,12 +146,14 @@ class DynamicSchemas:
         else:
             seen = old["row_count_observed"] + n
             self.rows[entity] = {"schema": merge_metadata(old["schema"], meta), "status": "established" if seen >= self.threshold else "learning", "row_count_observed": seen}
+        self._keep(entity)
         return self.rows[entity]
 
     def promote(self, entity: str) -> bool:
         if entity not in self.rows:
             return False
         self.rows[entity]["status"] = "curated"
+        self._keep(entity)
         return True
 
     def frame(self, spark) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, cleanse, governance, hashing, master, normalize, profile, staging, validate
+from ..operators import classify, cleanse, governance, hashing, link, master, normalize, profile, staging, validate
 from ..sources import files, naming
+from ..sources.store import Store
 from . import entities
 
 
@@ -25,33 +27,32 @@ def with_index(df: DataFrame, name: str = "_row_idx") -> DataFrame:
     return normalize.numbered(raw, "_at", name).withColumn(name, F.col(name) - 1).drop("_at")
 
 
+def fingerprint(df: DataFrame) -> str | None:
+    """A digest of a table's contents whatever the order of its rows and columns; None without rows."""
+    row = hashing.content_fingerprint(df).first()
+    return None if df.isEmpty() else "|".join(map(str, row))
+
+
 class Platform:
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], str] = utc_now):
         self.spark, self.root, self.clock = spark, root, clock
         self.catalog = governance.Catalog(spark, f"{root}/catalog")
-        self.schemas = validate.DynamicSchemas()
-        self.onboarding = classify.Onboarding()
+        self.store = Store(spark)
+        self.schemas = validate.DynamicSchemas(catalog=self.catalog)
+        self.onboarding = classify.Onboarding(catalog=self.catalog)
         self.hashes: dict[str, str] = {}
 
     # tables of the master layer: versioned folders and a pointer
 
-    def _pointer(self, table: str) -> str:
-        return f"{files.local(self.root)}/pointers/{table}"
-
     def read(self, table: str) -> DataFrame | None:
-        if not os.path.exists(self._pointer(table)):
-            return None
-        return self.spark.read.parquet(open(self._pointer(table)).read())
+        rows = self.store.rows(f"{self.root}/pointers/{table}")
+        return self.spark.read.parquet(rows[-1]["path"]) if rows else None
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
-        """Write a new snapshot beside the old one, then switch the pointer: readers see whole tables only."""
-        n = 1 + max([int(x[1:]) for x in os.listdir(f"{files.local(self.root)}/{table}")], default=0) if os.path.isdir(f"{files.local(self.root)}/{table}") else 1
-        path = f"{self.root}/{table}/v{n}"
-        df.write.mode("overwrite").parquet(path)
-        os.makedirs(os.path.dirname(self._pointer(table)), exist_ok=True)
-        with open(self._pointer(table) + ".part", "w") as f:
-            f.write(path)
-        os.replace(self._pointer(table) + ".part", self._pointer(table))
+        """Write a new snapshot beside the old ones, then a new pointer: readers see whole tables only."""
+        path = f"{self.root}/{table}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.store.append(f"{self.root}/pointers/{table}", {"path": path})
         return self.spark.read.parquet(path)
 
     def load(self, path: str, source: str | None = None) -> tuple[str, DataFrame]:
@@ -69,7 +70,7 @@ class Platform:
         name = source or os.path.basename(path)
         out: dict = {"source": name, "target_entity": None, "parse_error": None}
         try:
-            digest = hashing.content_hash(files.from_file(self.spark, path)).first()[0]
+            digest = fingerprint(files.from_file(self.spark, path))
             if digest and self.hashes.get(digest, name) != name:
                 return out | {"status": "duplicate", "duplicate_of": self.hashes[digest]}
             dataset_id, data = self.load(path, name)
@@ -95,7 +96,7 @@ class Platform:
         done = governance.disposition(self.spark.createDataFrame(facts, "parse_error string, target_entity string, rows_inserted long, rows_merged long, fields_enriched long, rows_rejected long")).first()
         out |= {"action": done["action"], "reason_category": done["reason_category"]}
         if dispose_to:
-            governance.move_file(path, f"{dispose_to}/{done['action']}", self.catalog, done["reason_category"] or "", out["parse_error"] or "", self.clock())
+            governance.move_file(self.spark, path, f"{dispose_to}/{done['action']}", self.catalog, done["reason_category"] or "", out["parse_error"] or "", self.clock())
         return out
 
     def ingest(self, dataset_id: str, entity_name: str, source_system: str) -> dict:
@@ -131,9 +132,15 @@ class Platform:
             "ddl": profile.create_table(df, dataset_id),
             "types": cleanse.detect_types(df),
             "entities": normalize.plan_entities(df),
+            "quality": profile.quality(with_index(df), "_row_idx"),
+            "intents": profile.intents(df),
+            "enhancements": profile.enhancements(with_index(df), dataset_id, "_row_idx"),
         }
         version = self.catalog.get(dataset_id)["current_version"]
-        self.catalog.append("analyses", {"analysis_id": f"{dataset_id}.a{len(self.catalog.rows('analyses')) + 1}", "dataset_id": dataset_id, "version_number": version, "payload_json": json.dumps(report, default=str), "run_at": self.clock()})
+        analysis = f"{dataset_id}.a{len(self.catalog.rows('analyses')) + 1}"
+        report["html"] = f"{self.root}/reports/{analysis}-{uuid.uuid4().hex[:8]}.html"
+        self.store.write(report["html"], profile.html_report(f"Profile of {dataset_id}", {"Summary": [report["summary"]], "Columns": report["columns"], "Missing": report["missing"], "Outliers": report["quality"]["outliers"]}))
+        self.catalog.append("analyses", {"analysis_id": analysis, "dataset_id": dataset_id, "version_number": version, "payload_json": json.dumps(report, default=str), "run_at": self.clock()})
         return report
 
     def remediate(self, dataset_id: str, types: dict[str, str] | None = None) -> dict:
@@ -147,3 +154,33 @@ class Platform:
         _, version = self.catalog.register(clean, old["source"], old["filename"], old["source_system"], self.clock(), f"remediated {changes} values")
         self.catalog.append("remediations", {"remediation_id": f"{dataset_id}.r{version}", "dataset_id": dataset_id, "from_version": old["current_version"], "to_version": version, "change_log_json": json.dumps(rows), "total_changes": changes, "total_failures": failures, "applied_at": self.clock()})
         return {"changed": True, "version": version, "log": rows}
+
+    def normalize(self, dataset_id: str, target) -> dict:
+        """Split a dataset into its entities and bundle them as CSV in a ZIP at ``target``."""
+        made = normalize.normalize_all({dataset_id: with_index(self.catalog.load(dataset_id))}, "_row_idx").get(dataset_id)
+        if made is None:
+            return {"materialized": False}
+        folder = f"{self.root}/normalized/{dataset_id}-{uuid.uuid4().hex[:8]}"
+        columns = normalize.export_tables(made[1], folder)
+        normalize.bundle(self.store, folder, columns, target)
+        return {"materialized": True, "tables": columns, "ddl": normalize.ddl(self.catalog.load(dataset_id), made[0], dataset_id)}
+
+    def normalize_landings(self) -> list[str]:
+        """Write the entities of every landing table as norm_ tables beside it; their names."""
+        layers, out = f"{self.root}/layers", []
+        tables = {n: with_index(self.spark.read.parquet(f"{layers}/{n}").drop("_landing_source_system", "_landing_ingested_at")) for n in self.store.names(layers) if n.startswith("landing_")}
+        for name, (_, made) in normalize.normalize_all(tables, "_row_idx").items():
+            for entity, df in made.items():
+                out.append(f"norm_{name.removeprefix('landing_')}__{entity.lower()}")
+                df.write.mode("overwrite").parquet(f"{layers}/{out[-1]}")
+        return out
+
+    def resolve(self, dataset_a: str, dataset_b: str | None = None, threshold: float = 0.7) -> DataFrame:
+        """Matches across two datasets, or within one."""
+        a = with_index(self.catalog.load(dataset_a))
+        b = with_index(self.catalog.load(dataset_b)) if dataset_b else None
+        return link.resolve_entities(a, b, "_row_idx", threshold)[0]
+
+    def review(self, entity: str, threshold: float = 0.95) -> DataFrame:
+        """Clusters of alike active rows in an entity's master table."""
+        return link.fuzzy_duplicates(self.read(entities.REGISTRY[entity].table), entity, entities.REGISTRY[entity].key, threshold)

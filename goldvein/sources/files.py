@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ENCODING_PROBE = 1 << 20
-
+from .store import Store
 
 def local(path: str) -> str:
     return path[7:] if path.startswith("file://") else path
@@ -21,7 +20,7 @@ def from_file(spark: SparkSession, path: str) -> DataFrame:
     """A scan chosen by extension. Missing: FileNotFoundError; other extension: ValueError; unreadable: RuntimeError."""
     ext = os.path.splitext(path)[1].lower()
     scans = {".csv": read_csv, ".tsv": read_tsv, ".xlsx": read_xlsx, ".xls": read_xlsx, ".json": read_json, ".parquet": lambda s, p: s.read.parquet(p)}
-    if "://" not in path and not os.path.exists(path):
+    if not Store(spark).exists(path):
         raise FileNotFoundError(path)
     if ext not in scans:
         raise ValueError(f"unsupported file type {ext!r}")
@@ -31,16 +30,11 @@ def from_file(spark: SparkSession, path: str) -> DataFrame:
         raise RuntimeError(f"can't read {path}: {e}") from e
 
 
-def encoding_of(path: str) -> str:
-    """UTF-8 if the head of the file decodes as that, else Latin-1, which always does."""
-    try:
-        with open(local(path), "rb") as f:
-            f.read(ENCODING_PROBE).decode("utf-8-sig")
-    except UnicodeDecodeError as e:
-        return "UTF-8" if e.end >= ENCODING_PROBE - 3 else "ISO-8859-1"
-    except OSError:
-        pass  # a store that only Spark reads: the default holds
-    return "UTF-8"
+def text_facts(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """(all lines are UTF-8, a line has an odd number of quotes), over the whole file: tasks read its bytes by splits."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    row = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("odd")).first()
+    return row["utf8"] is not False, bool(row["odd"])
 
 
 def strings(df: DataFrame) -> DataFrame:
@@ -48,14 +42,17 @@ def strings(df: DataFrame) -> DataFrame:
     return df.fillna("")
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    df = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=True, escape='"', encoding=encoding_of(path))
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None) -> DataFrame:
+    """All columns as text. UTF-8 if the whole file is, else Latin-1, which always fits. A field may hold line breaks
+    only if some line has an odd number of quotes; any other file is read by splits."""
+    utf8, odd = text_facts(spark, path)
+    df = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=odd, escape='"', encoding=encoding or ("UTF-8" if utf8 else "ISO-8859-1"))
     first = df.columns[0] if df.columns else ""
-    return strings(df.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else df)
+    return strings(df.withColumnRenamed(first, first.lstrip("\ufeff")) if first.startswith("\ufeff") else df)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return strings(spark.read.csv(path, header=True, sep="\t", inferSchema=False, multiLine=True, escape='"', encoding="UTF-8"))
+    return read_csv(spark, path, "\t", "UTF-8")
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -158,7 +155,7 @@ def export(df: DataFrame, path: str, kind: str) -> None:
 def layers(spark: SparkSession, root: str) -> DataFrame:
     """layer, table, rows, columns of every table under a warehouse folder."""
     found = []
-    for name in sorted(os.listdir(local(root))) if os.path.isdir(local(root)) else []:
+    for name in Store(spark).names(root):
         layer = name.split("_")[0]
         if layer in ("landing", "stg", "master", "norm"):
             df = spark.read.parquet(f"{root}/{name}")
