@@ -69,30 +69,3 @@ def worker_cache(name: str, make):
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that columns beside them (whatever their names) can't clash with ours."""
     return df.select(*[df[f"`{c}`"] for c in columns])
-
-
-class Memo:
-    """Values by key, learned in batches; bounded: the older of two generations goes when the younger is full."""
-
-    def __init__(self, learn, most: int):
-        self.learn, self.most, self.young, self.old = learn, most, {}, {}
-
-    def many(self, lists: list[list]) -> list[list]:
-        """The values of each list of keys."""
-        keys = set().union(*lists)
-        if len(self.young) + len(keys) > self.most:
-            self.old, self.young = self.young, {}
-        new = []
-        for k in keys - self.young.keys():
-            value = self.old.get(k)
-            if value is None:
-                new.append(k)
-            else:
-                self.young[k] = value
-        if new:
-            self.young.update(zip(new, self.learn(new)))
-        return [list(map(self.young.__getitem__, ks)) for ks in lists]
-
-
-def slices(items: list, n: int):
-    return (items[i : i + n] for i in range(0, len(items), n))

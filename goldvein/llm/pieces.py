@@ -3,13 +3,14 @@
 ``parse_model`` reads the model protobuf by its public field numbers. ``build`` makes a tokenizers ``Tokenizer`` from
 it: the normaliser (character map, white-space rules), the metaspace marker, BPE merges or unigram scores, and byte
 fallback. Where no piece holds a marker after another character (so nothing merges across the start of a word), a
-text is encoded word by word and every distinct word only once per worker; else it goes through whole. Words are
-encoded in batches on the library's threads. Each distinct word (or text) is checked against the sentencepiece
-library once: ``parity`` is false where the two differ, and the sentencepiece ids are used there.
+text is cut into words, and the distinct words of a slice of texts that the worker doesn't know yet (see ``idcache``) are
+encoded; else texts go through whole. New words are joined by ``TOGETHER``, the library encodes the rows on its
+threads, and the ids are cut where a piece begins with the marker. All ids are the tokenizers library's. Each is compared with the sentencepiece library's: ``parity`` is false for a text where the two differ.
 
 Decoding goes from the ids alone: pieces are joined, byte pieces become bytes, markers become spaces.
 
-Null text: treated as empty, no ids. Empty table: no rows. Repeated rows: each is encoded. Other columns are ignored.
+Null text: treated as empty, no ids. Empty table: no rows. Repeated rows: each is encoded. Other columns, whatever
+their names, are ignored. A very long text is a slice of its own and is encoded whole.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, only, slices, worker_cache
+from . import tokens
+from .common import bounded, only, worker_cache
+from .idcache import IdCache, gathered
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_WORDS, TOGETHER = 250_000, 400
+TOGETHER = 100
 
 
 @dataclass
@@ -132,26 +135,65 @@ class Codec:
         self.tok = build(self.model)
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=blob)
         self.apart = words_are_apart(self.model)
-        # whole texts (where words aren't apart) are looked up only within their batch
-        self.memo = Memo(self._learn, CACHE_WORDS if self.apart else 0)
-        self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.encode() for p, _, kind in self.model.pieces]
-        self.raw[self.model.unk_id] = " ⁇ ".encode()
+        self.cache = IdCache(self._learn, "<u4")
+        raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.encode() for p, _, kind in self.model.pieces]
+        raw[self.model.unk_id] = " ⁇ ".encode()
+        if self.model.escape_whitespaces:
+            raw = [x.replace(MARK.encode(), b" ") if kind != BYTE else x for x, (_, _, kind) in zip(raw, self.model.pieces)]
+        self.raw_lens = np.array([len(x) for x in raw], np.int64)
+        self.raw_starts = np.cumsum(self.raw_lens) - self.raw_lens
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.prefix = self.model.add_dummy_prefix
 
-    def _peer_ids(self, words: list[str], first: bool) -> list[list[int]]:
-        """sentencepiece's ids; a word that isn't first is encoded behind a line feed, whose ids go again."""
+    def _mine(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _peers(self, texts: list[str], first: bool) -> list[np.ndarray]:
+        """sentencepiece's ids; a text that isn't a whole one is encoded behind a line feed, whose ids go again."""
         if first:
-            return self.peer.encode(words, num_threads=2)
+            return [np.array(x, "<u4") for x in self.peer.encode(texts, num_threads=2)]
         skip = len(self.peer.encode("\n"))
-        return [x[skip:] for x in self.peer.encode(["\n" + w for w in words], num_threads=2)]
+        return [np.array(x[skip:], "<u4") for x in self.peer.encode(["\n" + t for t in texts], num_threads=2)]
 
-    def _learn(self, words: list[str]) -> list[tuple[bytes, bool]]:
-        mine = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        if self.apart:
-            peers = self._peer_ids(words, False)
-        else:
-            peers = self._peer_ids([w[1:] if self.prefix and w else w for w in words], True)
-        return [(np.asarray(b, dtype="<u4").tobytes(), a == b) for a, b in zip(mine, peers)]
+    def _learn(self, words: list[str]) -> list[tuple[np.ndarray, bool]]:
+        if not self.apart:
+            peers = self._peers([w[1:] if self.prefix and w else w for w in words], True)
+            return [(a, np.array_equal(a, b)) for a, b in zip(self._mine(words), peers)]
+        out: list = [None] * len(words)
+        # words with one marker, at their start: their ids begin at the pieces that begin with it
+        plain = [i for i, w in enumerate(words) if w[:1] == " " and not w.startswith((" ", MARK), 1)] if self.model.escape_whitespaces else []
+        rows = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        joined = ["".join([words[i] for i in row]) for row in rows]
+        alone = set(range(len(words))).difference(plain)
+        for row, a, b in zip(rows, self._mine(joined), self._peers(joined, False)):
+            at = np.flatnonzero(self.marked[a])
+            if len(at) != len(row) or not np.array_equal(a, b):
+                alone.update(row)
+                continue
+            for i, x, y in zip(row, at.tolist(), [*at[1:].tolist(), len(a)]):
+                out[i] = (a[x:y], True)
+        rest = sorted(alone)
+        for i, a, b in zip(rest, self._mine([words[i] for i in rest]), self._peers([words[i] for i in rest], False)):
+            out[i] = (a, np.array_equal(a, b))
+        return out
+
+    def _words(self, texts):
+        """(words behind each text's end, the words of all texts with their dictionary) of an array of texts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.apart and self.prefix:
+            odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, MARK)))
+            if not pc.any(odd).as_py():
+                pieces = pc.split_pattern(texts, " ")
+                some = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+                counts = np.where(some, np.diff(pieces.offsets.to_numpy()), 0)
+                coded = pieces.filter(pa.array(some)).flatten().dictionary_encode()
+                return np.cumsum(counts), coded.indices.to_numpy(zero_copy_only=False), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string()))
+        each = [self.words(t) for t in texts.to_numpy(zero_copy_only=False).tolist()]
+        coded = pa.array([w for ws in each for w in ws], pa.large_string()).dictionary_encode()
+        return np.cumsum([len(ws) for ws in each]), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
     def words(self, text: str) -> list[str]:
         if self.prefix and text:
@@ -160,23 +202,26 @@ class Codec:
             return [text] if text else []
         return re.findall(rf"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+", text)
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """(ids as little-endian u32 bytes, whether both libraries agree) of each text."""
-        out = []
-        for some in slices(texts, TOGETHER):
-            for got in self.memo.many([self.words(t) for t in some]):
-                out.append((b"".join([x[0] for x in got]), all([x[1] for x in got])))
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-        if self.model.escape_whitespaces:
-            text = text.replace(MARK, " ")
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end of each text's ids, all ids, whether both libraries agree) of an array of texts without nulls."""
+        ends, codes, words = self._words(texts)
+        start, n, same = self.cache.get(words)
+        each = n[codes]
+        done, odd = np.concatenate([[0], np.cumsum(each)]), np.concatenate([[0], np.cumsum(~same[codes])])
+        return done[ends], gathered(self.cache.ids, start[codes], each), np.diff(odd[ends], prepend=0) == 0
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of some ids."""
+        lens = self.raw_lens[ids]
+        done = np.cumsum(lens)
+        data = self.raw[np.repeat(self.raw_starts[ids] - done + lens, lens) + np.arange(done[-1] if len(done) else 0)]
+        text = data.tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 def encode_frame(docs: DataFrame, model_file: str, keep_ids: bool = False) -> DataFrame:
     """Per row: doc_id, n_ids, ids_crc32 (little-endian u32), decoded_crc32 (UTF-8), round_trip, parity; and ids."""
+    bounded(docs.sparkSession)
 
     def run(batches):
         import os
@@ -186,20 +231,22 @@ def encode_frame(docs: DataFrame, model_file: str, keep_ids: bool = False) -> Da
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         codec = worker_cache(f"pieces:{model_file}", lambda: Codec(open(model_file, "rb").read()))
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            coded = codec.encode(texts)
-            back = [codec.decode(ids) for ids, _ in coded]
-            columns = {
-                "doc_id": b.column(0),
-                "n_ids": pa.array([len(ids) // 4 for ids, _ in coded], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(ids) for ids, _ in coded], pa.int64()),
-                "decoded_crc32": pa.array([zlib.crc32(t.encode()) for t in back], pa.int64()),
-                "round_trip": pa.array([a == c for a, c in zip(texts, back)], pa.bool_()),
-                "parity": pa.array([p for _, p in coded], pa.bool_()),
-            }
-            if keep_ids:
-                columns["ids"] = pa.array([np.frombuffer(ids, "<u4").astype(np.int32) for ids, _ in coded], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(columns)
+            for at, texts in tokens.slices(b.column(1)):
+                ends, ids, parity = codec.encode(texts)
+                cuts = [0, *ends.tolist()]
+                back = [codec.decode(ids[x:y]) for x, y in zip(cuts, cuts[1:])]
+                n = len(texts)
+                columns = {
+                    "doc_id": b.column(0).slice(at, n),
+                    "n_ids": pa.array(np.diff(ends, prepend=0)),
+                    "ids_crc32": pa.array([zlib.crc32(ids[x:y].tobytes()) for x, y in zip(cuts, cuts[1:])], pa.int64()),
+                    "decoded_crc32": pa.array([zlib.crc32(t.encode()) for t in back], pa.int64()),
+                    "round_trip": pa.array([a == c for a, c in zip(texts.to_numpy(zero_copy_only=False).tolist(), back)], pa.bool_()),
+                    "parity": pa.array(parity, pa.bool_()),
+                }
+                if keep_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean, parity boolean"
     return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema + ", ids array<int>" * keep_ids)
