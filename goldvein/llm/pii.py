@@ -1,21 +1,27 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction (operator 10), in DataFrame functions alone.
 
 Base kinds (email, ip, card, phone) are found leftmost and non-overlapping per kind. A pattern's matches are marked in
-the text and split off; their places are the summed lengths (in code points) of the pieces before. The patterns are
+the text and split off; their places are running sums of the lengths (in code points) of the pieces. The patterns are
 written so that Java's engine takes linear time: runs are possessive and start only at a run's start or where the
-last match ended.
+last match ended. Running values are taken in blocks of ``BLOCK``, so a text of very many matches takes little more
+than linear time.
 
 Bootstrapping. Seeds are the base entities. A lexical pattern is the pair of words before (L) or after (R) an
-identifier. Candidates are tokens of ``LEAST_CHARS`` and more characters with ``LEAST_DIGITS`` and more digits outside
-base spans. A pattern must stand beside ``LEAST_SEEDS`` different seeds, whatever the size of the corpus, and beside a
-candidate, as others can add none. Such patterns are counted over all words of the corpus, so ordinary words in the
-place of an identifier count against them. Then ``ROUNDS`` times: a pattern's
-confidence is the summed score of its instances' occurrences over all its occurrences; a candidate's score is the
-best confidence of its patterns (seeds keep 1). Candidates beside a pattern of confidence ``ACCEPT`` or more are added
-as kind ``context``. All counts cover all documents; the pattern-instance graph stays in tables.
+identifier, both whole within ``REACH`` characters; there is none where a word reaches further. Candidates are tokens of
+``LEAST_CHARS`` and more characters with ``LEAST_DIGITS`` and more digits in the text without base spans. Then
+``ROUNDS`` times: a pattern's confidence is the summed score of the known strings beside it, by occurrence, over all
+occurrences of the pair in the corpus, so ordinary words in the place of an identifier count against it. Patterns of
+confidence ``ACCEPT`` and more beside ``LEAST_SEEDS`` different known strings, whatever the size of the corpus, are
+accepted; candidates beside them become known, with the pattern's confidence as score (seeds have 1), and are the seeds
+of further patterns in the next round. Candidates beside a pattern accepted at last are added as kind ``context``.
+
+All counts cover all documents; the pattern-instance graph stays in tables. A pair is counted over the whole corpus
+only if its occurrences in documents with an identifier, of which there can only be more, leave its confidence a
+chance; this drops no pattern that could be accepted.
 
 Nulls and ties: a null text is an empty one. Rows that share a doc_id are told apart by a row number in the written
-table. Empty table: no rows. U+0001 in a text is read as U+0002, which no pattern matches either.
+table. Other columns, whatever their names, are left alone. Empty table: no rows. U+0001 in a text is read as U+0002,
+which no pattern matches either.
 """
 
 from __future__ import annotations
@@ -39,6 +45,7 @@ TOKEN = r"(?<![^\s])[^\s0-9]*+[0-9][^\s]*+"
 LEAST_CHARS, LEAST_DIGITS = 6, 4
 LEAST_SEEDS, ROUNDS, ACCEPT = 3, 3, 0.6
 REACH = 120
+BLOCK, PIECE = 128, 8_192
 
 
 def pieces(text: Column, pattern: str, hint: str) -> Column:
@@ -47,12 +54,36 @@ def pieces(text: Column, pattern: str, hint: str) -> Column:
     return F.when(text.rlike(hint), marked).otherwise(F.array(text))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, op) -> Column:
+    """Running values of an array that isn't empty: within blocks, from the value of the blocks before."""
+    at = lambda n: F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
+    def with_blocks(v, blocks):
+        bases = F.transform(at(F.size(v)), lambda b: F.aggregate(F.slice(blocks, F.lit(1), b), zero, op))
+
+        def item(base):
+            block = lambda i: F.floor(i / BLOCK).cast("int")
+            return F.transform(v, lambda _, i: F.aggregate(F.slice(v, block(i) * BLOCK + 1, i % BLOCK + 1), F.get(base, block(i)), op))
+
+        return let(bases, item)
+
+    return let(values, lambda v: let(F.transform(at(F.size(v)), lambda b: F.aggregate(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), zero, op)), lambda blocks: with_blocks(v, blocks)))
+
+
+SPAN = "struct<start:int,end:int,s:string,at:int>"
+
+
 def found(parts: Column) -> Column:
-    """array<struct<start, end, s>> of the odd pieces."""
+    """array<struct<start, end, s, at>> of the odd pieces; ``at`` is a piece's place."""
     lens = F.transform(parts, lambda p: F.length(p))
-    start = lambda i: F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, n: a + n)
-    item = lambda i: F.struct(start(i).alias("start"), (start(i) + F.get(lens, i)).alias("end"), F.get(parts, i).alias("s"))
-    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), item)).otherwise(F.array().cast("array<struct<start:int,end:int,s:string>>"))
+    item = lambda ends, i: F.struct((F.get(ends, i) - F.length(F.get(parts, i))).alias("start"), F.get(ends, i).alias("end"), F.get(parts, i).alias("s"), i.alias("at"))
+    spans = let(running(lens, F.lit(0), lambda a, n: a + n), lambda ends: F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), lambda i: item(ends, i)))
+    return F.when(F.size(parts) > 1, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def luhn(digits: Column) -> Column:
@@ -77,6 +108,11 @@ def checker(kind: str):
     return lambda x: valid(kind, x["s"])
 
 
+def blanked(kind: str):
+    """Of pieces by place: those that are valid matches become line feeds, as many as characters."""
+    return lambda p, i: F.when((i % 2 == 1) & valid(kind, p), F.repeat(F.lit("\n"), F.length(p))).otherwise(p)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
@@ -86,85 +122,104 @@ def pair(w: Column) -> Column:
     return F.when(F.size(w) == 2, F.xxhash64(F.get(w, F.lit(0)), F.get(w, F.lit(1))))
 
 
-def contexts(text: Column, x: Column) -> Column:
-    """The span's lexical patterns: hashes of the two words before and after; whole words within REACH characters."""
-    before = words(F.substring(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))))
-    after = words(F.substring(text, x["end"] + 1, F.lit(REACH)))
-    left = pair(F.when(F.size(before) >= 2, F.slice(before, -2, 2)).otherwise(before))
-    right = pair(F.slice(after, 1, 2))
-    return F.struct(left.alias("left"), right.alias("right"))
+def contexts(parts: Column, at: Column) -> tuple[Column, Column]:
+    """A piece's lexical patterns: hashes of the two words before and after it, from its neighbours."""
+    inside, blank = r"[\p{L}\p{N}]+", F.lit("")
+    before = F.concat(F.coalesce(F.get(parts, at - 2), blank), F.get(parts, at - 1))
+    after = F.concat(F.get(parts, at + 1), F.coalesce(F.get(parts, at + 2), blank))
+    # a word that reaches over the end may be cut: it makes no pattern
+    before = F.when(F.length(before) > REACH, F.regexp_replace(F.substring(before, -REACH, REACH), f"^{inside}", "")).otherwise(before)
+    after = F.when(F.length(after) > REACH, F.regexp_replace(F.substring(after, 1, REACH), f"{inside}$", "")).otherwise(after)
+    left = let(words(before), lambda w: pair(F.when(F.size(w) >= 2, F.slice(w, -2, 2)).otherwise(w)))
+    return left, pair(F.slice(words(after), 1, 2))
 
 
 ITEM = "struct<start:int,end:int,s:string,left:bigint,right:bigint>"
 
 
-def with_context(text: Column, spans: Column) -> Column:
+def with_context(parts: Column, spans: Column) -> Column:
     def item(x):
-        c = contexts(text, x)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["s"]).alias("s"), c["left"].alias("left"), c["right"].alias("right"))
+        left, right = contexts(parts, x["at"])
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["s"]).alias("s"), left.alias("left"), right.alias("right"))
+
+    return F.when(F.size(spans) > 0, F.transform(spans, item)).otherwise(F.array().cast(f"array<{ITEM}>"))
 
-    return F.transform(spans, item)
 
+def pairs(text: Column) -> Column:
+    """The hashes of all neighbouring words."""
+    both = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
+    return let(words(text), lambda w: F.when(F.size(w) > 1, both(w)))
 
-def extract(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """row, the carried columns, one array of spans per base kind, seeds and candidates with contexts; written."""
-    d = only(docs, *dict.fromkeys([*carry, "text"]))
-    d = d.withColumn("_row", F.monotonically_increasing_id()).withColumn("_t", F.translate(F.coalesce("text", F.lit("")), "\x01", "\x02"))
+
+def extract(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
+    """row, the carried columns, one array of spans per base kind, seeds and candidates with contexts, and for rows with
+    such the word pairs of the text; written."""
+    d = docs.select(*[c.alias(n) for n, c in carry.items()], F.monotonically_increasing_id().alias("_row"), F.translate(F.coalesce(docs["`text`"], F.lit("")), "\x01", "\x02").alias("_t"))
     t = F.col("_t")
-    d = d.withColumns({f"_p_{k}": pieces(t, PATTERNS[k], HINTS[k]) for k in KINDS} | {"_p_token": pieces(t, TOKEN, r"[0-9]")})
-    d = d.withColumns({f"_{k}": F.filter(found(F.col(f"_p_{k}")), checker(k)) for k in KINDS} | {"_tokens": found(F.col("_p_token"))})
-    base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    d = d.withColumn("_base", base)
+    d = d.withColumns({f"_p_{k}": pieces(t, PATTERNS[k], HINTS[k]) for k in KINDS})
+    d = d.withColumns({f"_{k}": F.filter(found(F.col(f"_p_{k}")), checker(k)) for k in KINDS})
+    any_base = F.size("_email") + F.size("_ip") + F.size("_card") + F.size("_phone") > 0
+    # candidates are looked for where base spans are blanked
+    d = d.withColumns({"_any": any_base, "_rest": t})
+    for k in KINDS:
+        d = d.withColumn("_rest_parts", F.when(F.col("_any"), pieces(F.col("_rest"), PATTERNS[k], HINTS[k])))
+        d = d.withColumn("_rest", F.when(F.col("_any"), F.array_join(F.transform("_rest_parts", blanked(k)), "")).otherwise(F.col("_rest")))
+    d = d.withColumn("_p_token", pieces(F.col("_rest"), TOKEN, r"[0-9]"))
     tokens = F.filter(
-        F.transform(F.col("_tokens"), trimmed),
-        lambda x: (F.length(x["s"]) >= LEAST_CHARS) & (F.length(F.regexp_replace(x["s"], "[^0-9]", "")) >= LEAST_DIGITS)
-        & ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-    )
-    none = F.array().cast(f"array<{ITEM}>")
-    d = d.withColumns({
-        "_seeds": F.when(F.size("_base") > 0, with_context(t, F.col("_base"))).otherwise(none),
-        "_more": F.when(F.size("_tokens") > 0, with_context(t, tokens)).otherwise(none),
-    })
-    return cut(d.select("_row", *carry, *[f"_{k}" for k in KINDS], "_seeds", "_more"), "pii")
+        F.transform(found(F.col("_p_token")), trimmed),
+        lambda x: (F.length(x["s"]) >= LEAST_CHARS) & (F.length(F.regexp_replace(x["s"], "[^0-9]", "")) >= LEAST_DIGITS),
+    )
+    d = d.withColumns({"_tokens": tokens, "_seeds": F.concat(*[with_context(F.col(f"_p_{k}"), F.col(f"_{k}")) for k in KINDS])})
+    d = d.withColumn("_more", with_context(F.col("_p_token"), F.col("_tokens")))
+    d = d.withColumn("_pairs", F.when(F.col("_any") | (F.size("_more") > 0), pairs(t)))
+    return cut(d.select("_row", *carry, *[f"_{k}" for k in KINDS], "_seeds", "_more", "_pairs"), "pii")
 
 
 def trimmed(x: Column) -> Column:
     """A token without outer punctuation."""
     head = F.length(x["s"]) - F.length(F.regexp_replace(x["s"], r"^[^\p{L}\p{N}+]++", ""))
     s = F.regexp_replace(x["s"], r"^[^\p{L}\p{N}+]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
-    return F.struct((x["start"] + head).alias("start"), (x["start"] + head + F.length(s)).alias("end"), s.alias("s"))
+    return F.struct((x["start"] + head).alias("start"), (x["start"] + head + F.length(s)).alias("end"), s.alias("s"), x["at"].alias("at"))
+
+
+def sides(x: str) -> Column:
+    return F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col(f"{x}.left").alias("pattern")), F.struct(F.lit("R").alias("side"), F.col(f"{x}.right").alias("pattern")))).alias("p")
+
+
+def counted(pair_arrays: DataFrame, patterns: DataFrame, name: str) -> DataFrame:
+    """(pattern, name): how often each of the patterns stands in the arrays of one column."""
+    each = pair_arrays.select(F.explode(pair_arrays.columns[0]).alias("pattern"))
+    return each.join(patterns.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias(name))
 
 
 def accepted(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(side, pattern) of the patterns with enough confidence after the rounds."""
-    sides = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("x.left").alias("pattern")), F.struct(F.lit("R").alias("side"), F.col("x.right").alias("pattern")))).alias("p")
-    edge = lambda column: rows.select(F.explode(column).alias("x")).select("x.s", sides).select("p.side", "p.pattern", "s").filter("pattern is not null").groupBy("side", "pattern", "s").agg(F.count("*").alias("n"))
-    seeds, more = cut(edge("_seeds"), "pii-seeds"), cut(edge("_more"), "pii-more")
-    often = cut(seeds.groupBy("side", "pattern").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS).drop("seeds"), "pii-often")
-    # a pattern without a candidate can neither add one nor change another's confidence
-    patterns = cut(often.join(more.select("side", "pattern").distinct(), ["side", "pattern"], "left_semi"), "pii-patterns")
-    # a string that is a seed beside any such pattern keeps its score of 1 where it is a candidate
-    known = seeds.join(often, ["side", "pattern"], "left_semi").select("s").distinct().withColumn("seed", F.lit(True))
-    more = more.join(patterns, ["side", "pattern"], "left_semi").join(known, "s", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
-    # how often each of those word pairs stands in the corpus at all
-    w = words(F.coalesce("text", F.lit("")))
-    pairs = only(docs, "text").select(w.alias("w")).filter("size(w) > 1").select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.xxhash64(a, b))).alias("pattern"))
-    totals = pairs.join(patterns.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
-    edges = cut(seeds.withColumn("seed", F.lit(True)).unionByName(more).join(patterns, ["side", "pattern"]).join(totals, "pattern"), "pii-edges")
-    score = edges.select("s", "seed").distinct().groupBy("s").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    """(side, pattern) of the patterns accepted after the rounds."""
+    of = lambda column, seed: rows.select(F.explode(column).alias("x")).select("x.s", sides("x")).select("p.side", "p.pattern", "s", F.lit(seed).alias("seed"))
+    beside = of("_seeds", True).unionByName(of("_more", False)).filter("pattern is not null")
+    edges = cut(beside.groupBy("side", "pattern", "s").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max(~F.col("seed")).alias("fresh")), "pii-edges")
+    # a pattern without a candidate can add none; one with too few strings is never accepted
+    able = edges.groupBy("side", "pattern").agg(F.count("*").alias("strings"), F.sum("n").alias("n"), F.max("fresh").alias("fresh")).filter(f"fresh and strings >= {LEAST_SEEDS}")
+    able = cut(able.select("side", "pattern", "n"), "pii-able")
+    least = counted(rows.select("_pairs"), able, "least")
+    able = cut(able.join(least, "pattern", "left").filter(f"n >= {ACCEPT} * coalesce(least, 0)").select("side", "pattern"), "pii-patterns")
+    totals = counted(only(docs, "text").select(pairs(F.coalesce("text", F.lit(""))).alias("w")), able, "total")
+    known = edges.groupBy("s").agg(F.max("seed").alias("seed"))  # a string that is a seed anywhere is one everywhere
+    graph = cut(edges.drop("seed", "fresh").join(able, ["side", "pattern"]).join(totals, "pattern").join(known, "s"), "pii-graph")
+    score = graph.filter("seed").select("s", F.lit(1.0).alias("score")).distinct()
+    good = None
     for i in range(ROUNDS):
-        conf = edges.join(score, "s").groupBy("side", "pattern").agg((F.sum(F.col("score") * F.col("n")) / F.max("total")).alias("conf"))
-        conf = cut(conf, "pii-conf")
+        conf = graph.join(score, "s").groupBy("side", "pattern").agg((F.sum(F.col("score") * F.col("n")) / F.max("total")).alias("conf"), F.count("*").alias("strings"))
+        good = cut(conf.filter(f"conf >= {ACCEPT} and strings >= {LEAST_SEEDS}").select("side", "pattern", F.least("conf", F.lit(1.0)).alias("conf")), "pii-good")
         if i + 1 < ROUNDS:
-            score = cut(edges.join(conf, ["side", "pattern"]).groupBy("s").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.least("conf", F.lit(1.0)))).alias("score")), "pii-score")
-    return conf.filter(F.col("conf") >= ACCEPT).select("side", "pattern")
+            reached = graph.join(good, ["side", "pattern"], "left").filter("seed or conf is not null")
+            score = cut(reached.groupBy("s").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("conf"))).alias("score")), "pii-score")
+    return good.select("side", "pattern")
 
 
 def discovered(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(_row, _context): spans of the candidates that stand beside an accepted pattern, by start."""
     good = accepted(rows, docs)
-    c = rows.select("_row", F.explode("_more").alias("x"))
-    c = c.select("_row", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.s").alias("s"), F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("x.left").alias("pattern")), F.struct(F.lit("R").alias("side"), F.col("x.right").alias("pattern")))).alias("p"))
+    c = rows.select("_row", F.explode("_more").alias("x")).select("_row", "x.start", "x.end", "x.s", sides("x"))
     hit = c.select("_row", "start", "end", "s", "p.side", "p.pattern").join(good, ["side", "pattern"], "left_semi")
     return hit.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "s"))).alias("_context"))
 
@@ -173,15 +228,17 @@ def text_of(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
 
 
-def with_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
+def with_spans(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
+    """The extracted rows with ``_context``. Rows without a candidate, nearly all, aren't shuffled."""
     rows = extract(docs, carry)
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    return rows.join(discovered(rows, docs), "_row", "left").withColumn("_context", F.coalesce("_context", none))
+    able = rows.filter("size(_more) > 0").join(discovered(rows, docs), "_row", "left").withColumn("_context", F.coalesce("_context", none))
+    return able.unionByName(rows.filter("size(_more) = 0").withColumn("_context", none))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context for each row."""
-    d = with_spans(docs, ["doc_id"])
+    d = with_spans(docs, {"doc_id": docs["`doc_id`"]})
     base = F.concat(*[text_of(k, F.col(f"_{k}")) for k in KINDS])
     return d.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -192,21 +249,35 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """``text`` with ``spans`` (start, back = -end, tag; sorted, not empty) replaced by their tags, overlapping ones by
+    the first one's. The text is cut into pieces of ``PIECE`` characters first, as a place in it is found by counting."""
+    n = F.length(text)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor(n / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+
+    def between(p, a, b):
+        i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        near = F.substring(F.get(p, i), a % PIECE + 1, b - a)
+        far = F.concat(F.substring(F.get(p, i), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(p, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.get(p, j), F.lit(1), b % PIECE))
+        return F.when(i == j, near).otherwise(far)
+
+    def done(p, reach, heads):
+        """heads: the places of spans that begin beyond all before them; reach: the furthest end so far."""
+        before = lambda k: F.when(k == 0, 0).otherwise(F.get(reach, F.get(heads, k) - 1))
+        one = lambda h, k: F.concat(between(p, before(k), F.get(spans, h)["start"]), F.get(spans, h)["tag"])
+        return F.concat(F.array_join(F.transform(heads, one), ""), between(p, F.get(reach, F.size(reach) - 1), n))
+
+    ends = F.transform(spans, lambda x: -x["back"])
+    heads = lambda reach: F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1)))
+    return let(cuts, lambda p: let(running(ends, F.lit(0), lambda a, b: F.greatest(a, b)), lambda reach: let(heads(reach), lambda h: done(p, reach, h))))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in its text replaced by its kind in angle brackets; overlapping spans become one, named
     after the first. Texts without a span, null ones included, stay as they are."""
     names = docs.columns
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_doc"), docs["text"].alias("text"))
-    d = with_spans(packed, ["_doc", "text"])
+    d = with_spans(docs, {"_doc": F.struct(*[docs[f"`{c}`"] for c in names])})
     tagged = lambda k: F.transform(F.col(f"_{k}"), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit(f"<{k.upper()}>").alias("tag")))
-    spans = F.sort_array(F.concat(*[tagged(k) for k in (*KINDS, "context")]))
-    none = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def add(a, x):
-        end = -x["back"]
-        plain = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), x["tag"])
-        return F.struct(F.when(x["start"] >= a["at"], plain).otherwise(a["out"]).alias("out"), F.greatest(a["at"], end).alias("at"))
-
-    done = F.aggregate(spans, none, add, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    d = d.withColumn("_new", F.when(F.size(spans) > 0, done).otherwise(F.col("text")))
+    d = d.select("_doc", F.col("_doc.text").alias("_text"), F.sort_array(F.concat(*[tagged(k) for k in (*KINDS, "context")])).alias("_spans"))
+    d = d.withColumn("_new", F.when(F.size("_spans") > 0, replaced(F.col("_text"), F.col("_spans"))).otherwise(F.col("_text")))
     return d.select(*[F.col("_new").alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in names])
