@@ -54,7 +54,7 @@ def plan_entities(df: DataFrame) -> list[dict]:
     """Entity groups: repeated low-cardinality anchors with what they determine, by falling reduction. Decided on the
     driver from one row per column and pair of columns."""
     rows = df.count()
-    if rows < LEAST_ROWS:
+    if rows < LEAST_ROWS or len(df.columns) < 2:
         return []
     share = {(r.determinant, r.dependent): r.holding / r.groups if r.groups else 0.0 for r in fd_matrix(df).collect()}
     distinct = {r["column"]: r["distinct_values"] + (r["nulls"] > 0) for r in profile.column_stats(df).collect()}

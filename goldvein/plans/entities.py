@@ -7,6 +7,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: staging columns of the five staged entities
 STAGING = {
     "Customers": "customer_id full_name email phone country city address status".split(),
@@ -204,6 +207,12 @@ def entity_for_file(name: str) -> str | None:
     return next((e for words, e in FILE_RULES if any(w in low for w in words.split())), None)
 
 
+def file_entity(name: Column) -> Column:
+    """``entity_for_file`` of a column of names."""
+    low = F.lower(name)
+    return F.coalesce(*[F.when(low.rlike("|".join(words.split())), F.lit(e)) for words, e in FILE_RULES])
+
+
 def entity_for_key(column: str, source: str = "") -> str:
     canon = column.lower().strip()
     if canon in ENTITY_OF_KEY:

@@ -263,11 +263,6 @@ def type_autodetect(spark, sf_dir):
     return cleanse.type_shares(given(spark, sf_dir, "dirty"), "row_idx")
 
 
-@query()
-def value_clusters(spark, sf_dir):
-    return cleanse.similar_values(table(spark, sf_dir, "part"), "p_name", 85.0)
-
-
 # profiling ------------------------------------------------------------------------------------------------------------
 
 
@@ -339,11 +334,6 @@ def name_email_consistency(spark, sf_dir):
     return profile.name_email_issues(d, "row_idx", "customer_name", "e")
 
 
-@query()
-def fuzzy_pairs(spark, sf_dir):
-    return profile.fuzzy_rows(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_name", "s_nationkey"], 95)
-
-
 @query(f"""with c as (select "column", value, count(*) as n from (select "column", case when trim(value) <> '' then value end as value from ({cells_sql('dirty', ['row_idx', 'cust_id', 'customer_name', 'email_addr', 'phone_nr', 'ctry', 'stat', 'amt'])})) group by 1, 2),
     s as (select "column", sum(n) as rows, coalesce(sum(n) filter (where value is not null), 0) as filled, count(value) as d from c group by 1 having sum(n) >= 50)
     select "column", 'NOT NULL' as "constraint" from s where filled * 100 >= rows * 99 union all select "column", 'UNIQUE' from s where filled > 100 and d * 100 >= filled * 99""", "dirty")
@@ -500,7 +490,7 @@ def master_summary(spark, sf_dir):
 
 @query(GOLD + " select customer_id, full_name, email from g where contains(lower(concat_ws('|', customer_id, full_name, email, phone, city, country, status)), '5@') order by customer_id desc limit 50", "batch_a batch_b")
 def master_search(spark, sf_dir):
-    return master.search(gold(spark, sf_dir)[1].master, "5@", [F.desc("customer_id")], pool=None).select("customer_id", "full_name", "email")
+    return master.search(gold(spark, sf_dir)[1].master, "5@", [F.desc("customer_id")]).select("customer_id", "full_name", "email")
 
 
 @query(GOLD + " select customer_id, full_name from g order by customer_id desc limit 50", "batch_a batch_b")
@@ -523,11 +513,6 @@ def id_format(spark, sf_dir):
     return d.withColumn("like_id", fx.looks_like_id(F.col("v")))
 
 
-@query()
-def id_columns(spark, sf_dir):
-    return crossfile.id_columns(given(spark, sf_dir, "batch_a"), "row_idx")
-
-
 PAIR = {"orders": ["o_custkey", "o_orderkey"], "customer": ["c_custkey", "c_nationkey"]}
 
 
@@ -538,12 +523,6 @@ def column_overlaps(spark, sf_dir):
     return crossfile.overlaps({d: table(spark, sf_dir, d) for d in PAIR}, PAIR)
 
 
-@query()
-def column_groups(spark, sf_dir):
-    groups = crossfile.column_groups({d: table(spark, sf_dir, d) for d in PAIR}, PAIR)
-    return crossfile.classify_groups(spark, groups)
-
-
 @query("""select c_custkey as id, c, share, case when regexp_matches(lower(c), '_no|_number|_ref|invoice|bill|order|receipt|transaction|txn') and share >= 0.05 and share <= 0.6 then 'primary_key_match'
     when (regexp_matches(lower(c), 'customer|client|vendor|supplier|product|user|account') and lower(c) like '%id' and share > 0.6) or share > 0.9 then 'foreign_key_link' else 'uncertain' end as class
     from (select c_custkey, case c_custkey % 3 when 0 then 'Invoice_No' when 1 then 'customer_id' else 'colour' end as c, (c_custkey % 101) / 100.0::double as share from customer)""")
@@ -619,12 +598,6 @@ def dedup_within(spark, sf_dir):
     return link.dedup_within(contact_rows(spark, sf_dir), 0.85, names=False)
 
 
-@query()
-def link_names_token_set(spark, sf_dir):
-    c = contact_rows(spark, sf_dir)
-    return link.link_across(c.filter("row % 2 = 0"), c.filter("row % 2 = 1"), 0.7, prune_blank_blocks=True)
-
-
 @query()
 def party_lookup(spark, sf_dir):
     names = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Acme "), F.substring("s_name", 10, 20)).alias("name"))
@@ -720,8 +693,11 @@ def current_versions(spark, sf_dir):
 
 
 def queries():
+    from . import platform_queries  # noqa: F401  it registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql():
+    queries()
     return dict(SQL)

@@ -149,7 +149,7 @@ def export(df: DataFrame, path: str, kind: str) -> None:
     if kind not in ("csv", "json", "parquet"):
         raise ValueError(f"unsupported export format {kind!r}")
     writer = df.write.mode("overwrite")
-    writer.csv(path, header=True, quoteAll=True) if kind == "csv" else writer.json(path) if kind == "json" else writer.parquet(path)
+    writer.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if kind == "csv" else writer.json(path) if kind == "json" else writer.parquet(path)
 
 
 def layers(spark: SparkSession, root: str) -> DataFrame:

@@ -40,7 +40,10 @@ class Store:
         fs.delete(p, True)
 
     def move(self, path: str, target: str) -> None:
+        """Missing: FileNotFoundError."""
         fs, p = self._at(path)
+        if not fs.exists(p):
+            raise FileNotFoundError(path)
         there, q = self._at(target)
         moved = fs.rename(p, q) if fs.getUri().equals(there.getUri()) else self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, there, q, True, self.conf)
         if not moved:
