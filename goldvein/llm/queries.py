@@ -81,8 +81,11 @@ select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
   case when page_id <> first_id then first_id end as refers_to
 from d left join firsts using (digest)"""
 
-JACCARD_SQL = r"""
-with recursive w as (select doc_id, [y for y in [regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') for x in regexp_split_to_array(text, '\s+')] if y <> ''] as ws from documents),
+#: What ``tokens`` takes for white space and for outer punctuation.
+WHITE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+OUTER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{2000}-\x{207F}\x{20A0}-\x{20BF}\x{3000}-\x{3011}]+"
+JACCARD_SQL = rf"""
+with recursive w as (select doc_id, [y for y in [regexp_replace(lower(x), '^{OUTER}|{OUTER}$', '', 'g') for x in regexp_split_to_array(text, '{WHITE}')] if y <> ''] as ws from documents),
 s as (select distinct doc_id, array_to_string(ws[i + 1 : i + least(5, len(ws))], ' ') as sh from (select doc_id, ws, unnest(range(len(ws) - least(5, len(ws)) + 1)) as i from w where len(ws) > 0)),
 sets as (select doc_id, md5(string_agg(sh, '|' order by sh)) as node, count(*) as size from s group by doc_id),
 nodes as (select node, min(doc_id) as rep, count(*) as copies, min(size) as size from sets group by node),
