@@ -6,12 +6,13 @@ stand on lines of their own), is hash-joined to the digests of known licences. T
 expressions, or from any table (licence, text) given instead; its size is known to Spark, which broadcasts it if small
 and shuffles otherwise.
 
-Result, one row per doc_id: text_licence (the licence whose whole text the document is, else null; the smallest name
-if several rows or names match), line_licences (distinct names found on lines, sorted, comma-joined, '' if none),
+Result, one row for each different pair of doc_id and text: text_licence (the licence whose whole text the document is,
+else null; the smallest name if several match), line_licences (distinct names found on lines, sorted, comma-joined, '' if none),
 n_licence_lines (lines matched, repeats counted).
 
 Nulls and ties: a null text has no canonical form and matches nothing, as does one without letters or digits. Rows
-that share a doc_id (or a null one) give one row. Empty table: no rows. Other columns are ignored.
+that repeat both doc_id and text give one row; null doc_ids are ids like any other. Very long texts are taken whole.
+Empty table: no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -101,18 +102,18 @@ def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFr
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, text_licence, line_licences, n_licence_lines."""
+    """doc_id, text_licence, line_licences, n_licence_lines: one row for each different pair of doc_id and text."""
     table = known_digests(docs.sparkSession, known)
-    canon = only(docs, "doc_id", "text").select("doc_id", canonical(F.col("text")).alias("canon"))
+    canon = only(docs, "doc_id", "text").select("doc_id", F.md5("text").alias("text_key"), canonical(F.col("text")).alias("canon"))
     text = F.array(F.struct(F.lit(UNITS_TEXT).alias("kind"), F.sha2(whole(F.col("canon")), 256).alias("digest")))
     lines = F.transform(F.split("canon", "\n"), lambda x: F.struct(F.lit(UNITS_LINE).alias("kind"), F.sha2(F.trim(x), 256).alias("digest")))
-    units = canon.select("doc_id", F.explode(F.when(F.col("canon").isNull() | (F.col("canon") == ""), F.array(F.struct(F.lit(UNITS_TEXT).alias("kind"), F.lit(None).cast("string").alias("digest")))).otherwise(F.concat(text, lines))).alias("u"))
-    found = units.select("doc_id", "u.kind", "u.digest").join(table, "digest", "left").filter(f"kind = {UNITS_TEXT} or licence is not null")
-    return found.groupBy("doc_id").agg(
+    units = canon.select("doc_id", "text_key", F.explode(F.when(F.col("canon").isNull() | (F.col("canon") == ""), F.array(F.struct(F.lit(UNITS_TEXT).alias("kind"), F.lit(None).cast("string").alias("digest")))).otherwise(F.concat(text, lines))).alias("u"))
+    found = units.select("doc_id", "text_key", "u.kind", "u.digest").join(table, "digest", "left").filter(f"kind = {UNITS_TEXT} or licence is not null")
+    return found.groupBy("doc_id", "text_key").agg(
         F.min(F.when(F.col("kind") == UNITS_TEXT, F.col("licence"))).alias("text_licence"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == UNITS_LINE, F.col("licence")))), ",").alias("line_licences"),
-        F.sum(F.col("kind").cast("long")).alias("n_licence_lines"),
-    )
+        F.expr(f"cast(count_if(kind = {UNITS_LINE}) div count_if(kind = {UNITS_TEXT}) as bigint)").alias("n_licence_lines"),  # rows that repeat both have a text unit each
+    ).drop("text_key")
 
 
 def oracle_sql() -> str:
@@ -129,11 +130,11 @@ def oracle_sql() -> str:
     flat = lambda x: f"replace({x}, chr(10), ' ')"
     return f"""
     with known as (select sha256({flat(canon('text'))}) as digest, min(licence) as licence from (values {rows}) t(licence, text) group by 1),
-    canon as (select doc_id, {canon('text')} as c from documents),
-    units as (select doc_id, 0 as kind, case when c <> '' then sha256({flat('c')}) end as digest from canon
-      union all select doc_id, 1, sha256(trim(x)) from (select doc_id, unnest(string_split(c, chr(10))) as x from canon where c <> '')),
-    found as (select doc_id, kind, licence from units left join known using (digest) where kind = 0 or licence is not null)
+    canon as (select doc_id, md5(text) as text_key, {canon('text')} as c from (select distinct doc_id, text from documents)),
+    units as (select doc_id, text_key, 0 as kind, case when c <> '' then sha256({flat('c')}) end as digest from canon
+      union all select doc_id, text_key, 1, sha256(trim(x)) from (select doc_id, text_key, unnest(string_split(c, chr(10))) as x from canon where c <> '')),
+    found as (select doc_id, text_key, kind, licence from units left join known using (digest) where kind = 0 or licence is not null)
     select doc_id, min(case when kind = 0 then licence end) as text_licence,
       coalesce(string_agg(distinct case when kind = 1 then licence end, ',' order by case when kind = 1 then licence end), '') as line_licences,
       cast(sum(kind) as bigint) as n_licence_lines
-    from found group by doc_id"""
+    from found group by doc_id, text_key"""
