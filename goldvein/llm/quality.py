@@ -1,17 +1,19 @@
 """Quality rules with adaptive thresholds (operator 2).
 
 Per row, measures of the whole text: words are runs of anything but ASCII white space. Shares of symbols, capitals,
-repeated lines and repeated 5-word windows, and the mean word length, are held against fences of the row's own
-language and source instead of fixed cutoffs. The fences come from quantile sketches: counts per logarithmic bin
+repeated lines, words in repeated 5-word windows, and exclamation and question marks, and the mean word length, are held
+against fences of the row's own language and source instead of fixed cutoffs; word length from below too. The fences come from quantile sketches: counts per logarithmic bin
 (relative error ``1 / BINS_PER_E``), which are exact under merging and don't depend on order or partitioning. The
 sketches of all (language, source) pairs are merged into those of languages and of the whole; a pair with fewer than
 ``LEAST_ROWS`` rows uses its language's fences, and that, if small too, the whole's. A fence never passes
 ``WIDEST`` times its language's, so a source that is mostly junk can't declare junk normal.
 
-A fence is ``max(floor, median + SPREAD * max(third quartile - median, REL * median))``.
+A fence is ``max(floor, median + SPREAD * max(third quartile - median, REL * median))``, the one from below
+``min(median - floor, median - SPREAD * max(median - first quartile, REL * median))``.
 
 Nulls and ties: a null text has no words; a null language or source is a group like any other; repeated rows count as
-often as they come. Empty table: no rows. Documents without words fail the base rules.
+often as they come. Empty table: no rows. Documents without words fail the base rules. Very long texts are measured
+whole. Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, worker_cache
+from .common import bounded, cut, only
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -29,7 +31,9 @@ LEAST_ROWS, SPREAD, REL, WIDEST = 300, 12.0, 0.02, 2.0
 #: measure -> tolerance: a fence is never below it, as most groups have no symbol or repeated line at all
 #: (millionths; word length in thousandths of a character). Small, so that a group's quantiles decide where they aren't
 #: zero; a line that comes twice among three is tolerated, as the sketch of a group mostly without any can't judge it.
-FLOORS = {"symbol_ppm": 1_000, "upper_ppm": 1_000, "dup_line_ppm": 350_000, "word_mil": 100, "mark_ppm": 1_000}
+FLOORS = {"symbol_ppm": 1_000, "upper_ppm": 1_000, "dup_line_ppm": 350_000, "word_mil": 100, "mark_ppm": 1_000, "repeat_ppm": 180_000}
+#: the measures held from below too
+LOW = ("word_mil",)
 
 
 def measure(text: str) -> tuple[int, ...]:
@@ -82,6 +86,7 @@ def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
                 [b.column(c) for c in carry] + [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))], [*carry, *COUNTS]
             )
 
+    bounded(docs.sparkSession)
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"{c} long" for c in COUNTS])
     return only(docs, *dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
@@ -97,6 +102,7 @@ def scored(rows: DataFrame) -> DataFrame:
         "dup_line_ppm": per("n_dup_lines", "n_lines", 1_000_000),
         "word_mil": per("word_chars", "n_words", 1_000),
         "mark_ppm": per("n_marks", "word_chars", 1_000_000),
+        "repeat_ppm": per("n_repeat_words", "n_words", 1_000_000),
     })
 
 
@@ -108,7 +114,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def fences(sk: DataFrame) -> DataFrame:
-    """(lang, source, one column per measure): the fence of each pair, from its sketch or those merged above it."""
+    """(lang, source, max_ and for LOW min_ columns): the fences of each pair, from its sketch or those merged above it."""
     merged = (
         sk.withColumn("level", F.lit(2)).unionByName(sk.withColumns({"source": F.lit(None).cast("string"), "level": F.lit(1)}))
         .unionByName(sk.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "level": F.lit(0)}))
@@ -120,27 +126,33 @@ def fences(sk: DataFrame) -> DataFrame:
         f"aggregate(bins, named_struct('seen', 0L, 'at', cast(null as int)), (a, x) -> named_struct('seen', a.seen + x.n, 'at', case when a.at is null and a.seen + x.n >= total * {q} then x.bin else a.at end)).at"
     )
     value = lambda c: F.expr(f"exp({c} / {float(BINS_PER_E)}) - 1")
-    q = of.withColumns({"m": quantile(0.5), "u": quantile(0.75)}).withColumns({"m": value("m"), "u": value("u")})
+    q = of.withColumns({"d": quantile(0.25), "m": quantile(0.5), "u": quantile(0.75)}).withColumns({c: value(c) for c in "dmu"})
     floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), F.col("measure"))
     q = q.withColumn("fence", F.greatest(floor.cast("double"), F.col("m") + SPREAD * F.greatest(F.col("u") - F.col("m"), REL * F.col("m"))))
+    q = q.withColumn("low", F.least(F.col("m") - floor, F.col("m") - SPREAD * F.greatest(F.col("m") - F.col("d"), REL * F.col("m"))))
     wide = lambda level: q.filter(F.col("level") == level)
     pair, lang, whole = wide(2).alias("p"), wide(1).alias("l"), wide(0).alias("w")
     both = (
         pair.join(lang, F.expr("p.lang <=> l.lang and p.measure = l.measure")).join(whole, F.expr("p.measure = w.measure"))
         .withColumn("above", F.expr(f"case when l.total >= {LEAST_ROWS} then l.fence else w.fence end"))
+        .withColumn("below", F.expr(f"case when l.total >= {LEAST_ROWS} then l.low else w.low end"))
         .withColumn("use", F.expr(f"case when p.total >= {LEAST_ROWS} then least(p.fence, {WIDEST} * above) else above end"))
+        .withColumn("use_low", F.expr(f"case when p.total >= {LEAST_ROWS} then greatest(p.low, below / {WIDEST}) else below end"))
     )
-    return both.groupBy("p.lang", "p.source").pivot("p.measure", list(FLOORS)).agg(F.max("use")).select(
-        F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[F.col(m).alias(f"max_{m}") for m in FLOORS]
+    return both.groupBy("p.lang", "p.source").pivot("p.measure", list(FLOORS)).agg(F.max("use").alias("max"), F.max("use_low").alias("min")).select(
+        F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *[F.col(f"{m}_max").alias(f"max_{m}") for m in FLOORS], *[F.col(f"{m}_min").alias(f"min_{m}") for m in LOW]
     )
 
 
+#: a condition on a row beside its pair's fences
+INSIDE = " and ".join([*(f"({m} <= max_{m} or max_{m} is null)" for m in FLOORS), *(f"({m} >= min_{m} or min_{m} is null)" for m in LOW)])
+
+
 def judged(rows: DataFrame) -> DataFrame:
     """``rows`` (scored, written) with the fences of their pair and ``kept``. One row per pair joins: small beside the
     rows, so Spark broadcasts it by its size or splits a hot pair of a shuffled join."""
     limits = fences(sketches(rows))
-    inside = " and ".join(f"({m} <= max_{m} or max_{m} is null)" for m in FLOORS)
-    return rows.join(limits, F.expr("lang <=> f_lang and source <=> f_source"), "left").withColumn("kept", F.expr(f"not base_failed and {inside}"))
+    return rows.join(limits, F.expr("lang <=> f_lang and source <=> f_source"), "left").withColumn("kept", F.expr(f"not base_failed and {INSIDE}"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -159,6 +171,5 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     rows = cut(scored(measures(docs, ["lang", "source"])), "quality")
     limits = fences(sketches(rows))
     again = scored(measures(packed, ["row", "lang", "source"]))
-    inside = " and ".join(f"({m} <= max_{m} or max_{m} is null)" for m in FLOORS)
-    kept = again.join(limits, F.expr("lang <=> f_lang and source <=> f_source"), "left").filter(f"not base_failed and {inside}")
+    kept = again.join(limits, F.expr("lang <=> f_lang and source <=> f_source"), "left").filter(f"not base_failed and {INSIDE}")
     return kept.select("row.*")

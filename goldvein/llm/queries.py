@@ -103,12 +103,12 @@ from documents d left join sets using (doc_id) left join nodes using (node) left
 
 def quality_sql() -> str:
     m = list(quality.FLOORS)
-    per = {"symbol_ppm": ("n_symbols", "word_chars", 1_000_000), "upper_ppm": ("n_upper", "word_chars", 1_000_000), "dup_line_ppm": ("n_dup_lines", "n_lines", 1_000_000), "word_mil": ("word_chars", "n_words", 1_000), "mark_ppm": ("n_marks", "word_chars", 1_000_000)}
+    per = {"symbol_ppm": ("n_symbols", "word_chars", 1_000_000), "upper_ppm": ("n_upper", "word_chars", 1_000_000), "dup_line_ppm": ("n_dup_lines", "n_lines", 1_000_000), "word_mil": ("word_chars", "n_words", 1_000), "mark_ppm": ("n_marks", "word_chars", 1_000_000), "repeat_ppm": ("n_repeat_words", "n_words", 1_000_000)}
     shares = ", ".join(f"case when {b} > 0 then {a} * {unit} // {b} else 0 end as {n}" for n, (a, b, unit) in per.items())
     floor = "case measure " + " ".join(f"when '{n}' then {v}" for n, v in quality.FLOORS.items()) + " end"
     letters = lambda keep: f"length(regexp_replace(t, '[^{keep}]', '', 'g'))"
     long = " union all ".join(f"select lang, source, '{n}' as measure, {n} as v from r where not base_failed" for n in m)
-    use = lambda n: f"(select f from used u where u.lang is not distinct from r.lang and u.source is not distinct from r.source and u.measure = '{n}')"
+    use = lambda n, f="f": f"(select {f} from used u where u.lang is not distinct from r.lang and u.source is not distinct from r.source and u.measure = '{n}')"
     white = r"[^\x20\x09-\x0D]"
     return f"""
 with d as (select doc_id, lang, source, coalesce(text, '') as t from documents),
@@ -124,11 +124,11 @@ r as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_fail
 sk as (select lang, source, measure, cast(round(ln(1 + v) * {quality.BINS_PER_E}) as int) as bin, count(*) as n from ({long}) group by all),
 lv as (select 2 as level, lang, source, measure, bin, n from sk union all select 1, lang, null, measure, bin, sum(n) from sk group by all union all select 0, null, null, measure, bin, sum(n) from sk group by all),
 cum as (select *, sum(n) over (partition by level, lang, source, measure order by bin) as upto, sum(n) over (partition by level, lang, source, measure) as total from lv),
-q as (select level, lang, source, measure, min(total) as total, exp(min(bin) filter (where upto >= 0.5 * total) / {float(quality.BINS_PER_E)}) - 1 as m, exp(min(bin) filter (where upto >= 0.75 * total) / {float(quality.BINS_PER_E)}) - 1 as u from cum group by 1, 2, 3, 4),
-f as (select *, greatest({floor}, m + {quality.SPREAD} * greatest(u - m, {quality.REL} * m)) as fence from q),
-above as (select p.lang, p.source, p.measure, p.total, p.fence, case when l.total >= {quality.LEAST_ROWS} then l.fence else w.fence end as over_it from f p join f l on l.level = 1 and l.lang is not distinct from p.lang and l.measure = p.measure join f w on w.level = 0 and w.measure = p.measure where p.level = 2),
-used as (select lang, source, measure, case when total >= {quality.LEAST_ROWS} then least(fence, {quality.WIDEST} * over_it) else over_it end as f from above)
-select doc_id, {', '.join(f'cast({n} as bigint) as {n}' for n in quality.COUNTS)}, base_failed, {', '.join(f'cast({n} as bigint) as {n}' for n in m)}, not base_failed and {' and '.join(f'coalesce({n} <= {use(n)}, true)' for n in m)} as kept from r"""
+q as (select level, lang, source, measure, min(total) as total, exp(min(bin) filter (where upto >= 0.5 * total) / {float(quality.BINS_PER_E)}) - 1 as m, exp(min(bin) filter (where upto >= 0.75 * total) / {float(quality.BINS_PER_E)}) - 1 as u, exp(min(bin) filter (where upto >= 0.25 * total) / {float(quality.BINS_PER_E)}) - 1 as d from cum group by 1, 2, 3, 4),
+f as (select *, greatest({floor}, m + {quality.SPREAD} * greatest(u - m, {quality.REL} * m)) as fence, least(m - {floor}, m - {quality.SPREAD} * greatest(m - d, {quality.REL} * m)) as low from q),
+above as (select p.lang, p.source, p.measure, p.total, p.fence, case when l.total >= {quality.LEAST_ROWS} then l.fence else w.fence end as over_it, p.low, case when l.total >= {quality.LEAST_ROWS} then l.low else w.low end as under_it from f p join f l on l.level = 1 and l.lang is not distinct from p.lang and l.measure = p.measure join f w on w.level = 0 and w.measure = p.measure where p.level = 2),
+used as (select lang, source, measure, case when total >= {quality.LEAST_ROWS} then least(fence, {quality.WIDEST} * over_it) else over_it end as f, case when total >= {quality.LEAST_ROWS} then greatest(low, under_it / {quality.WIDEST}) else under_it end as g from above)
+select doc_id, {', '.join(f'cast({n} as bigint) as {n}' for n in quality.COUNTS)}, base_failed, {', '.join(f'cast({n} as bigint) as {n}' for n in m)}, not base_failed and {' and '.join([*(f'coalesce({n} <= {use(n)}, true)' for n in m), *(f'coalesce({n} >= {use(n, "g")}, true)' for n in quality.LOW)])} as kept from r"""
 
 
 def oracle_sql():

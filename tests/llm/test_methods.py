@@ -4,6 +4,7 @@ import math
 import pathlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -68,16 +69,52 @@ def test_jaccard_join(spark, near_rows):
     assert sorted(map(tuple, got), key=key) == sorted(brute_classes(near_rows), key=key)
 
 
-def test_jaccard_blocks(spark, near_rows, monkeypatch):
-    """Components cut into many blocks give the same result."""
+@pytest.mark.parametrize("sparse", [0, math.inf])
+def test_jaccard_blocks(spark, near_rows, monkeypatch, sparse):
+    """Components cut into many blocks, or taken bucket by bucket, give the same result."""
     monkeypatch.setattr(jaccard, "BLOCK_MASS", 150)
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 2)
+    monkeypatch.setattr(jaccard, "SPARSE", sparse)
     test_jaccard_join(spark, near_rows)
 
 
 def test_keep_one(spark, near_rows):
-    kept = [r.doc_id for r in jaccard.keep_one(spark.createDataFrame(near_rows, "doc_id long, text string")).collect()]
-    classes = {c for i, c, _ in brute_classes(near_rows)}
-    assert sorted(k for k in kept if k is not None) == sorted(c for c in classes if c is not None) and kept.count(None) == 1
+    """One row of each class stays, with all its columns, also where doc_ids are null or stand for several texts."""
+    rows = [(i, t, k) for k, (i, t) in enumerate([*near_rows, (0, "another text under a used number"), (7, near_rows[40][1]), (None, "alone without a number"), (None, "alone without a number"), (None, None)])]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, node long")).collect()
+    sets, root = [shingle_set(t) for _, t, _ in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-12:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i, (doc_id, text, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append((doc_id is None, doc_id or 0, text))
+    least = sorted(min(g)[:2] for g in groups.values())
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == least and len({find(r.node) for r in kept}) == len(kept)
+
+
+def test_jaccard_recall(spark):
+    """Near copies around the threshold: every pair at 0.8 and above in the same class."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        for k in range(3):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(100)] = f"w{rng.randrange(5000)}"
+            rows.append((3 * g + k, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    pairs = [(i, j) for g in range(150) for i in range(3 * g, 3 * g + 3) for j in range(3 * g, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 300 and all(got[i] == got[j] for i, j in pairs)
 
 
 def test_pruning_bound():
@@ -242,6 +279,68 @@ def test_contextual_pii_in_many_seeds(spark):
     assert got == {20_000: "context:12:26"}
 
 
+def plain_contexts(texts):
+    """Context spans by bootstrapping in plain Python, for texts whose identifiers stand two words and more apart."""
+    from .test_contracts import pii_spans
+
+    found, pair_counts = [], Counter()
+    for d, text in enumerate(texts):
+        words = [m[0].lower() for m in re.finditer(r"[^\W_]+", text)]
+        pair_counts.update(zip(words, words[1:]))
+        base = [(a, b) for _, a, b in pii_spans(text)]
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9][A-Za-z0-9-]*", text) if len(m[0]) >= 6 and sum(c.isdigit() for c in m[0]) >= 4 and not any(a < m.end() and m.start() < b for a, b in base)]
+        for seed, spans in ((True, base), (False, tokens)):
+            for a, b in spans:
+                before, after = re.findall(r"[^\W_]+", text[:a].lower())[-2:], re.findall(r"[^\W_]+", text[b:].lower())[:2]
+                for side, w in (("L", before), ("R", after)):
+                    if len(w) == 2:
+                        found.append((d, a, b, text[a:b].lower(), side, tuple(w), seed))
+    known = {s: 1.0 for *_, s, _, _, seed in found if seed}
+    seeds, good = set(known), {}
+    for _ in range(pii.ROUNDS):
+        good = {}
+        for side, w in {(x[4], x[5]) for x in found}:
+            here = [x[3] for x in found if x[4:6] == (side, w) and x[3] in known]
+            conf = sum(known[s] for s in here) / pair_counts[w]
+            if conf >= pii.ACCEPT and len(set(here)) >= pii.LEAST_SEEDS:
+                good[side, w] = min(conf, 1.0)
+        for _, _, _, s, side, w, _ in found:
+            if (side, w) in good and s not in seeds:
+                known[s] = max(known.get(s, 0), good[side, w])
+    return {(d, a, b) for d, a, b, _, side, w, seed in found if not seed and (side, w) in good}
+
+
+def test_contexts_against_plain_rounds(spark):
+    rng = random.Random(3)
+    filler = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "write", "call", "to", "at", "me", "now"]
+    ids = lambda i: rng.choice([f"u{i}@mail.example.com", f"v{i}@mail.example.com", f"w{i}@mail.example.com", f"10.0.{i % 7}.{i % 5}", f"10.0.{i % 7}.{i % 9}", f"ID-{4000 + i % 9}", f"K{90000 + i % 6}", f"ID-{4000 + i % 9}", f"u{i}@mail.example.com"] + ["plainword"] * (i % 5 == 0))
+    lead = ["reach via", "member no", "contact under"]
+    texts = [" ".join(f"{' '.join(rng.choices(filler, k=rng.randint(2, 4)))} {rng.choice(lead)} {ids(rng.randrange(60))} {' '.join(rng.choices(filler, k=2))}" for _ in range(rng.randint(1, 4))) for _ in range(200)]
+    want = plain_contexts(texts)
+    got = pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, int(a), int(b)) for r in got for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "context"} == want and len(want) > 20
+
+
+def test_patterns_from_found_identifiers(spark):
+    """Seeds teach a pattern, what it finds teaches another, and that one finds an identifier no seed stands near."""
+    rows = [(i, f"please write to user{i}@mail.example.com today") for i in range(6)]
+    rows += [(10 + i, f"please write to QX-{5000 + i} today") for i in range(4)] + [(20 + i, f"our member number QX-{5000 + i} is valid") for i in range(4)]
+    rows += [(30, "his member number ZZ-77881 is new"), (31, "the order line ZZ-99112 is new")]
+    got = {r.doc_id: r.n_context for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[30] == 1 and got[31] == 0 and all(got[i] == 1 for i in (*range(10, 14), *range(20, 24)))
+
+
+def test_pii_in_long_texts(spark):
+    """Many thousand matches in one text, and a neighbour word longer than the reach."""
+    text = " ".join(f"1.2.3.{i % 256} card 4349000490986231 at x{i}@y.com" for i in range(5_000))
+    long = "w" * 500 + " q " + "a@b.cc " + "v" * 500
+    rows = spark.createDataFrame([(1, text), (2, long)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.scan(rows).collect()}
+    assert (got[1].n_ip, got[1].n_card, got[1].n_email) == (5_000, 5_000, 5_000) and got[2].n_email == 1
+    red = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    assert red[1] == " ".join(["<IP> card <CARD> at <EMAIL>"] * 5_000) and red[2] == long.replace("a@b.cc", "<EMAIL>")
+
+
 def test_markov_runs_without_digits_and_parts(spark):
     """Letters-only keys are scored, and the parts of a run beside a base span; words, rules and dates aren't taken."""
     rows = [(1, "key QwXzVbKpLmTgRjHd end"), (2, "x7Gk29fLq0PzR4tW-0641917ea4e9feb9-PzR4tWvBn81x"), (3, "internationalization of getErrorMessageFromRequest"), (4, "-" * 40 + " " + "=" * 40 + " 2024-01-05-12-33-11 XMLHttpRequestFactory"), (5, "commit-0641917ea4e9feb9"), (6, None)]
@@ -272,12 +371,24 @@ def test_group_quantiles_decide(spark):
     assert set(range(1000, 1400)) <= kept and not kept & {5000, 5001} and len(kept) > 780
 
 
+def test_no_single_cutoff_does_it(spark):
+    """Short words go where long ones are usual, and long ones where short ones are: either way a row of one source has
+    the value that the other source keeps."""
+    rng = random.Random(6)
+    text = lambda size: " ".join("".join(rng.choices("abcdefgh", k=max(1, size + rng.randint(-1, 1)))) for _ in range(200))
+    rows = [(i, text(4), "en", "chat") for i in range(400)] + [(1000 + i, text(9), "en", "law") for i in range(400)] + [(5000, text(9), "en", "chat"), (5001, text(4), "en", "law")]
+    kept = {r.doc_id for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).filter("kept").collect()}
+    assert kept == set(range(400)) | set(range(1000, 1400))
+
+
 def test_licence_texts(spark):
     mit = licences.KNOWN[0][1]
     rows = [(1, mit), (2, mit.upper().replace("2024 A", "1999 SOMEBODY ELSE")), (3, mit.replace("sublicense", "sub-licence").replace(",", " ,")), (4, mit + " more"), (5, "prose\nLicenced under the MIT Licence.\nprose"), (6, None), (7, ""), (7, "All rights reserved"), (None, "!!")]
-    got = {r.doc_id: (r.text_licence, r.line_licences, r.n_licence_lines) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i][0] for i in (1, 2, 3, 4)] == ["MIT", "MIT", "MIT", None] and got[5] == (None, "MIT", 1)
-    assert got[6] == (None, "", 0) and got[7] == ("Proprietary", "Proprietary", 1) and got[None] == (None, "", 0)
+    rows += [(None, "All rights reserved"), (9, " ".join(["word"] * 200_000) + "\n" + mit)]
+    got = {(r.doc_id, r.text_licence, r.line_licences, r.n_licence_lines) for r in licences.scan(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, licence string")).collect()}
+    by = {r[0]: r[1:] for r in got}
+    assert [by[i][0] for i in (1, 2, 3, 4, 9)] == ["MIT", "MIT", "MIT", None, None] and by[5] == (None, "MIT", 1) and by[6] == (None, "", 0) and len(got) == len(rows)
+    assert {(7, None, "", 0), (7, "Proprietary", "Proprietary", 1), (None, None, "", 0), (None, "Proprietary", "Proprietary", 1)} <= got
 
 
 def test_whole_long_licences(spark):

@@ -41,13 +41,15 @@ def fences(rows):
     def fence(key, name):
         b = sorted(bins[key, name])
         at = lambda p: math.exp(b[math.ceil(p * len(b)) - 1] / q.BINS_PER_E) - 1
-        return len(b), max(q.FLOORS[name], at(0.5) + q.SPREAD * max(at(0.75) - at(0.5), q.REL * at(0.5)))
+        m = at(0.5)
+        return len(b), max(q.FLOORS[name], m + q.SPREAD * max(at(0.75) - m, q.REL * m)), min(m - q.FLOORS[name], m - q.SPREAD * max(m - at(0.25), q.REL * m))
 
     def limit(lang, source, name):
-        n, f = fence((lang, source), name)
-        k, g = fence((lang, None, 1), name)
-        above = g if k >= q.LEAST_ROWS else fence((None, None, 0), name)[1]
-        return min(f, q.WIDEST * above) if n >= q.LEAST_ROWS else above
+        n, high, low = fence((lang, source), name)
+        k, *over = fence((lang, None, 1), name)
+        above, below = over if k >= q.LEAST_ROWS else fence((None, None, 0), name)[1:]
+        high, low = (min(high, q.WIDEST * above), max(low, below / q.WIDEST)) if n >= q.LEAST_ROWS else (above, below)
+        return low if name in q.LOW else -1, high
 
     return limit
 
@@ -66,12 +68,12 @@ def kept_rows(rows):
         lines, chars = [x for x in t.split("\n") if re.search(white, x)], sum(map(len, w))
         m = {
             "symbol_ppm": len(re.findall(r"[#*$%&|<>]", t)) * 10**6 // chars, "upper_ppm": len(re.findall("[A-Z]", t)) * 10**6 // chars, "dup_line_ppm": (len(lines) - len(set(lines))) * 10**6 // len(lines),
-            "word_mil": chars * 1000 // len(w), "mark_ppm": len(re.findall("[!?]", t)) * 10**6 // chars,
+            "word_mil": chars * 1000 // len(w), "mark_ppm": len(re.findall("[!?]", t)) * 10**6 // chars, "repeat_ppm": len(hit) * 10**6 // len(w),
         }
         facts.append((r[2], r[3], m))
         out.append(r)
     limit = fences(facts)
-    return [r for r, (lang, source, m) in zip(out, facts) if all(v <= limit(lang, source, n) for n, v in m.items())]
+    return [r for r, (lang, source, m) in zip(out, facts) if all(limit(lang, source, n)[0] <= v <= limit(lang, source, n)[1] for n, v in m.items())]
 
 
 def holds(text, item):
