@@ -32,6 +32,8 @@ from .common import only
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_DOCS, SAMPLE_WORDS, DRAWN, SEED = 2_000, 50_000, 4_000, 7
 LEAST_LENGTH, MARGIN, BACK_OFF = 16, 1.45, 10
+#: longer strings are no training samples, so what leaves the executors is bounded in bytes too
+LONGEST_SAMPLE = 256
 ALPHABET = "^$abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -111,7 +113,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     key = F.xxhash64("doc_id")
     top = docs.select(key.alias("h")).orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     sample = only(docs, "doc_id", "text").filter((key <= F.lit(top)) & F.col("text").isNotNull()).orderBy(key, F.xxhash64("text")).limit(sample_docs)
-    # only words and matched values leave the executors: at most SAMPLE_WORDS of each label
+    # only words and matched values leave the executors: at most SAMPLE_WORDS of each label, of LONGEST_SAMPLE characters
 
     def labelled(batches):
         import pyarrow as pa
@@ -123,6 +125,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
                 rows += [(1, text[s:e]) for k, s, e in spans if k != "assign"]
                 rows += [(1, v) for _, _, v in assigns(text) if len(v) >= 12]
                 rows += [(0, w) for w in set(WORD.findall(text))]
+            rows = [r for r in rows if len(r[1]) <= LONGEST_SAMPLE]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows])], ["label", "s"])
 
     rows = sample.mapInArrow(labelled, "label int, s string").distinct()
@@ -141,21 +144,31 @@ def suspicious(s: str, llr: dict) -> bool:
     return sum(map(llr.__getitem__, zip(framed, framed[1:]))) > MARGIN * (max(len(s), LEAST_LENGTH) + 1)
 
 
-def parts(start: int, end: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """What the base spans, in order of their starts, leave of a run."""
-    out = []
-    for _, a, b in base:
-        if a >= end:
-            break
-        if a > start:
-            out.append((start, a))
-        start = max(start, b)
-    return out + [(start, end)] if start < end else out
+def covered(spans: list[tuple[str, int, int]]) -> list[list[int]]:
+    """The stretches that some span covers, in order."""
+    out: list[list[int]] = []
+    for _, a, b in sorted(spans, key=lambda x: x[1:]):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def markov_spans(text: str, base: list[tuple[str, int, int]], llr: dict) -> list[tuple[str, int, int]]:
-    base = sorted(base, key=lambda x: x[1:])
-    return [("markov", a, b) for m in CANDIDATE.finditer(text) for a, b in parts(*m.span(), [x for x in base if x[2] > m.start()]) if suspicious(text[a:b], llr)]
+    """Of each run what the base spans leave, if it is suspicious; one pass over runs and spans."""
+    out, taken, i = [], covered(base), 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        k = i
+        while start < end:
+            a, b = taken[k] if k < len(taken) else (end, end)
+            if start < min(a, end) and suspicious(text[start : min(a, end)], llr):
+                out.append(("markov", start, min(a, end)))
+            start, k = max(start, b) if a < end else end, k + 1
+    return out
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
