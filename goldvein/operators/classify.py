@@ -15,20 +15,20 @@ SURE, KEY_SHARE = 50, 0.9
 ID_ENDS = ("_id", "_no", "_number", "_num", "_code", "_sku")
 # Entity, key patterns, telling columns, statuses, columns that add, columns that speak against it.
 FINGERPRINTS = [
-    ("SalesOrders", ["^SO-[0-9]+$", "^ORD-[0-9]+$", "^O-[0-9]+$"], "order_id qty quantity product_id total_amt", "Open|Shipped|Delivered|Cancelled|Returned", "", ""),
-    ("Invoices", ["^(INV|BILL)-([0-9]{4}-)?[0-9]+$"], "invoice_no invoice_id due_date bill_type", "Paid|Unpaid|Open|Overdue|Pending|Cancelled|Refunded|Draft", "invoice", "qty quantity product_id"),
-    ("Shipments", ["^SHP-[0-9]+$", "^TRK-?[0-9]+$"], "ship_id tracking_no shipped_dt carrier", "Shipped|Delivered|In Transit|Processing|Returned", "", ""),
-    ("Customers", ["^C-[0-9]{4,6}$"], "customer_id full_name email", "Active|Inactive|Pending|Suspended", "", "invoice_no invoice_id bill_type order order_id order_number product_id product_sku product_name product_category quantity qty unit_price total total_amt tax discount payment_method shipped_dt ship_id"),
-    ("Vendors", ["^V-[0-9]{4,6}$"], "vendor_id vendor_name contact_phone", "Active|Inactive", "", "full_name invoice_no order order_id order_number product_sku quantity qty"),
-    ("Employees", ["^E-[0-9]{4,6}$", "^EMP-[0-9]+$"], "employee_id emp_id department_code salary", "Active|Inactive|Terminated|On Leave", "", ""),
-    ("Products", ["^SKU-[A-Z0-9-]+$", "^P-[0-9]+$"], "sku product_name msrp category", "", "", ""),
-    ("Payments", ["^PMT-[0-9]+$"], "pmt_id pmt_amt reference_no payment_method", "", "", ""),
-    ("Opportunities", ["^OPP-[0-9]+$"], "opp_id opp_name close_dt owner_emp_id", "", "", ""),
-    ("Contracts", ["^CT-[0-9]+$"], "contract_id contract_value end_dt", "", "", ""),
-    ("Accounts", ["^A-[0-9]{4,6}$"], "acct_id account_name annual_revenue employee_count", "", "", ""),
-    ("Locations", ["^LOC-[0-9]+$"], "loc_id city country", "", "", ""),
-    ("Departments", ["^D-[0-9]+$"], "department_code dept_name cost_center", "", "", ""),
-    ("Inventory", ["^INVT-[0-9]+$"], "inv_item_id last_count_dt quantity", "", "", ""),
+    ("SalesOrders", ["^SO-[0-9]+$", "^ORD-[0-9]+$", "^O-[0-9]+$"], ["order_id", "qty", "quantity", "product_id", "total_amt"], ["Open", "Shipped", "Delivered", "Cancelled", "Returned"], [], []),
+    ("Invoices", ["^(INV|BILL)-([0-9]{4}-)?[0-9]+$"], ["invoice_no", "invoice_id", "due_date", "bill_type"], ["Paid", "Unpaid", "Open", "Overdue", "Pending", "Cancelled", "Refunded", "Draft"], ["invoice"], ["qty", "quantity", "product_id"]),
+    ("Shipments", ["^SHP-[0-9]+$", "^TRK-?[0-9]+$"], ["ship_id", "tracking_no", "shipped_dt", "carrier"], ["Shipped", "Delivered", "In Transit", "Processing", "Returned"], [], []),
+    ("Customers", ["^C-[0-9]{4,6}$"], ["customer_id", "full_name", "email"], ["Active", "Inactive", "Pending", "Suspended"], [], ["invoice_no", "invoice_id", "bill_type", "order", "order_id", "order_number", "product_id", "product_sku", "product_name", "product_category", "quantity", "qty", "unit_price", "total", "total_amt", "tax", "discount", "payment_method", "shipped_dt", "ship_id"]),
+    ("Vendors", ["^V-[0-9]{4,6}$"], ["vendor_id", "vendor_name", "contact_phone"], ["Active", "Inactive"], [], ["full_name", "invoice_no", "order", "order_id", "order_number", "product_sku", "quantity", "qty"]),
+    ("Employees", ["^E-[0-9]{4,6}$", "^EMP-[0-9]+$"], ["employee_id", "emp_id", "department_code", "salary"], ["Active", "Inactive", "Terminated", "On Leave"], [], []),
+    ("Products", ["^SKU-[A-Z0-9-]+$", "^P-[0-9]+$"], ["sku", "product_name", "msrp", "category"], [], [], []),
+    ("Payments", ["^PMT-[0-9]+$"], ["pmt_id", "pmt_amt", "reference_no", "payment_method"], [], [], []),
+    ("Opportunities", ["^OPP-[0-9]+$"], ["opp_id", "opp_name", "close_dt", "owner_emp_id"], [], [], []),
+    ("Contracts", ["^CT-[0-9]+$"], ["contract_id", "contract_value", "end_dt"], [], [], []),
+    ("Accounts", ["^A-[0-9]{4,6}$"], ["acct_id", "account_name", "annual_revenue", "employee_count"], [], [], []),
+    ("Locations", ["^LOC-[0-9]+$"], ["loc_id", "city", "country"], [], [], []),
+    ("Departments", ["^D-[0-9]+$"], ["department_code", "dept_name", "cost_center"], [], [], []),
+    ("Inventory", ["^INVT-[0-9]+$"], ["inv_item_id", "last_count_dt", "quantity"], [], [], []),
 ]
 
 
@@ -61,11 +61,11 @@ def scores(df: DataFrame, file_name: str | None = None) -> list[tuple[str, int]]
     out = []
     for entity, patterns, telling, vocabulary, adds, against in FINGERPRINTS:
         hit = any(vs and sum(bool(re.match(p, v)) for v in vs) > 0.8 * len(vs) for vs in firsts.values() for p in patterns)
-        score = 50 * hit + min(30, 10 * sum(any(t in c for c in low) for t in telling.split()))
-        words = set(vocabulary.split("|")) - {""}
+        score = 50 * hit + min(30, 10 * sum(any(t in c for c in low) for t in telling))
+        words = set(vocabulary)
         if words and seen:
             score += 15 if seen <= words else 5 if seen & words else 0
-        score += 5 * sum(any(t in c for c in low) for t in adds.split()) - 20 * sum(any(t in c for c in low) for t in against.split())
+        score += 5 * sum(any(t in c for c in low) for t in adds) - 20 * sum(any(t in c for c in low) for t in against)
         out.append((entity, score))
     if file_name and (hint := next((e for w, e in entities.FILE_HINTS.items() if w in file_name.lower()), None)):
         out = [(e, s + 10 if e == hint and s > 20 else s) for e, s in out]
@@ -97,7 +97,7 @@ def route(df: DataFrame, file_name: str) -> tuple[str | None, str]:
 
 LEAST_ROWS, LEAST_COLUMNS, MOST_A_DAY = 10, 3, 5
 NAME = re.compile("^[A-Z][a-zA-Z]{2,30}$")
-FORBIDDEN = frozenset("Unknown Data Table Entity Record Records File Test Temp Misc Other None Null".split())
+FORBIDDEN = frozenset(["Unknown", "Data", "Table", "Entity", "Record", "Records", "File", "Test", "Temp", "Misc", "Other", "None", "Null"])
 
 
 def signature(columns: list[str]) -> str:

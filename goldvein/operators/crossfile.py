@@ -11,12 +11,12 @@ from ..functions import text as fx
 from . import profile
 
 # Fixed values.
-ID_TOKENS = frozenset("id no number num code ref reference key sku uuid guid invoice bill receipt account acct order transaction txn contract passport license licence plate vin imei emirates_id national_id tax_id vat".split())
-ID_PARTS = "invoice bill receipt passport plate sku vin".split()
-NOT_IDS = "_at _time _date _on name title description notes address city country region amount total price cost balance status type category valid verified opt_out active enabled".split()
+ID_TOKENS = frozenset(["id", "no", "number", "num", "code", "ref", "reference", "key", "sku", "uuid", "guid", "invoice", "bill", "receipt", "account", "acct", "order", "transaction", "txn", "contract", "passport", "license", "licence", "plate", "vin", "imei", "emirates_id", "national_id", "tax_id", "vat"])
+ID_PARTS = ["invoice", "bill", "receipt", "passport", "plate", "sku", "vin"]
+NOT_IDS = ["_at", "_time", "_date", "_on", "name", "title", "description", "notes", "address", "city", "country", "region", "amount", "total", "price", "cost", "balance", "status", "type", "category", "valid", "verified", "opt_out", "active", "enabled"]
 ID_ENDS = ("_id", "_no", "_code", "_ref", "_key", "_number")
-KEY_HINTS = "_no _number _ref invoice bill order receipt transaction txn".split()
-LINK_HINTS = "customer client vendor supplier product user account".split()
+KEY_HINTS = ["_no", "_number", "_ref", "invoice", "bill", "order", "receipt", "transaction", "txn"]
+LINK_HINTS = ["customer", "client", "vendor", "supplier", "product", "user", "account"]
 DISTINCT_SHARE, FORMAT_SHARE, LEAST_OVERLAP, SURE_OVERLAP = 0.95, 0.7, 0.10, 0.30
 
 

@@ -144,12 +144,12 @@ def best_party(names: DataFrame, parties: DataFrame, cutoff: float = 80) -> Data
 
 # What is compared and blocked on, by entity; spellings of the compared columns.
 BLUEPRINTS = {
-    "Customers": ("full_name email phone country", "country"), "Employees": ("full_name email phone department_code", "country"), "Vendors": ("vendor_name contact_email contact_phone", "country"),
-    "Invoices": ("invoice_no customer_id amount", "customer_id"), "Products": ("product_name sku category", "category"),
+    "Customers": (["full_name", "email", "phone", "country"], "country"), "Employees": (["full_name", "email", "phone", "department_code"], "country"), "Vendors": (["vendor_name", "contact_email", "contact_phone"], "country"),
+    "Invoices": (["invoice_no", "customer_id", "amount"], "customer_id"), "Products": (["product_name", "sku", "category"], "category"),
 }
 SPELLINGS = {
-    "employee_id": "emp_no emp_id employee_id", "full_name": "full_nm full_name emp_full_name contact_nm customer_name", "email": "work_email email_addr email", "phone": "mobile_nr phone_nr phone",
-    "department_code": "dept_cd dept department_code", "country": "ctry country location", "customer_id": "customer_id cust_id cust_key",
+    "employee_id": ["emp_no", "emp_id", "employee_id"], "full_name": ["full_nm", "full_name", "emp_full_name", "contact_nm", "customer_name"], "email": ["work_email", "email_addr", "email"], "phone": ["mobile_nr", "phone_nr", "phone"],
+    "department_code": ["dept_cd", "dept", "department_code"], "country": ["ctry", "country", "location"], "customer_id": ["customer_id", "cust_id", "cust_key"],
 }
 BLOCKS = ["department_code", "country", "status"]
 #: share of true matches at each level, highest level first: parameters, as no labels exist to train them
@@ -176,7 +176,7 @@ def level(kind: str, a: Column, b: Column) -> Column:
 
 def canonical(df: DataFrame) -> DataFrame:
     """Known spellings to the compared names; the first of two that meet is kept."""
-    of = {s: c for c, ss in SPELLINGS.items() for s in ss.split()}
+    of = {s: c for c, ss in SPELLINGS.items() for s in ss}
     chosen: dict[str, str] = {}
     for c in df.columns:
         chosen.setdefault(of.get(c.lower(), c), c)
@@ -250,7 +250,7 @@ def fuzzy_duplicates(master: DataFrame, entity: str, index: str, threshold: floa
         raise ValueError(f"no blueprint for {entity!r}")
     columns, block = BLUEPRINTS[entity]
     rows = master.filter(F.col("archived_at").isNull()) if "archived_at" in master.columns else master
-    found = dedupe(rows, index, [c for c in columns.split() if c in rows.columns], block if block in rows.columns else rows.columns[0], threshold, u=u)[1]
+    found = dedupe(rows, index, [c for c in columns if c in rows.columns], block if block in rows.columns else rows.columns[0], threshold, u=u)[1]
     sizes = found.groupBy("component").agg(F.count("*").alias("size")).filter("size > 1")
     return found.join(sizes, "component").select(F.col("component").alias("cluster"), "id", "size")
 
@@ -265,7 +265,7 @@ def link_tables(a: DataFrame, b: DataFrame, index: str, entity: str, threshold:
     """Pairs of two tables on their common compared columns; needs two of them, else ValueError."""
     a, b = canonical(a), canonical(b)
     both = [c for c in a.columns if c in b.columns]
-    columns = [c for c in BLUEPRINTS[entity][0].split() if c in both]
+    columns = [c for c in BLUEPRINTS[entity][0] if c in both]
     columns += [c for c in ("employee_id", "customer_id", "country") if c in both and c not in columns]
     if len(columns) < 2:
         raise ValueError(f"not enough common columns: {columns}")

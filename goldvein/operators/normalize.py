@@ -17,13 +17,13 @@ from . import master, profile
 
 HOLDS, LEAST_ROWS, REPEATED = 0.98, 20, 0.5
 # Fixed values.
-STOP = frozenset("id name number no code ref type status 1 2 3 first last the a an".split())
+STOP = frozenset(["id", "name", "number", "no", "code", "ref", "type", "status", "1", "2", "3", "first", "last", "the", "a", "an"])
 MEANINGS = [
-    ("customer phone", "Customers"), ("contact phone", "Customers"), ("contact address", "Customers"), ("customer address", "Customers"), ("product msrp", "Products"), ("product price", "Products"), ("product code", "Products"),
-    ("order date", "Orders"), ("order status", "Orders"), ("month qtr", "Calendar"), ("month year", "Calendar"), ("city country", "Locations"), ("city state", "Locations"), ("address postal", "Addresses"),
-    ("vendor phone", "Vendors"), ("supplier phone", "Suppliers"), ("employee department", "Employees"), ("owner email", "Owners"),
+    (["customer", "phone"], "Customers"), (["contact", "phone"], "Customers"), (["contact", "address"], "Customers"), (["customer", "address"], "Customers"), (["product", "msrp"], "Products"), (["product", "price"], "Products"), (["product", "code"], "Products"),
+    (["order", "date"], "Orders"), (["order", "status"], "Orders"), (["month", "qtr"], "Calendar"), (["month", "year"], "Calendar"), (["city", "country"], "Locations"), (["city", "state"], "Locations"), (["address", "postal"], "Addresses"),
+    (["vendor", "phone"], "Vendors"), (["supplier", "phone"], "Suppliers"), (["employee", "department"], "Employees"), (["owner", "email"], "Owners"),
 ]
-KINDS = [("customer client", "Customers"), ("vendor supplier", "Vendors"), ("product sku msrp", "Products"), ("order", "Orders"), ("address postal zip", "Addresses"), ("city country state region territory", "Locations"), ("employee staff", "Employees"), ("month year quarter qtr", "Calendar")]
+KINDS = [(["customer", "client"], "Customers"), (["vendor", "supplier"], "Vendors"), (["product", "sku", "msrp"], "Products"), (["order"], "Orders"), (["address", "postal", "zip"], "Addresses"), (["city", "country", "state", "region", "territory"], "Locations"), (["employee", "staff"], "Employees"), (["month", "year", "quarter", "qtr"], "Calendar")]
 TEXT_NAMES = ("phone", "mobile", "fax", "zip", "postal", "code")
 
 
@@ -83,7 +83,7 @@ def entity_name(columns: list[str]) -> str:
     """By meaning, by a shared token, by kind, else from the first tokens."""
     low = [c.lower() for c in columns]
     for words, name in MEANINGS:
-        if all(any(w in c for c in low) for w in words.split()):
+        if all(any(w in c for c in low) for w in words):
             return name
     split = [[t for t in re.split(r"[_\W]+", c) if t and t not in STOP] for c in low]
     firsts = Counter(t[0] for t in split if t).most_common(1)
@@ -93,7 +93,7 @@ def entity_name(columns: list[str]) -> str:
     if top and top[0][1] >= 2:
         return plural(top[0][0]).capitalize()
     joined = " ".join(low)
-    if kind := next((name for words, name in KINDS if any(w in joined for w in words.split())), None):
+    if kind := next((name for words, name in KINDS if any(w in joined for w in words)), None):
         return kind
     tokens = list(dict.fromkeys(t for ts in split for t in ts if len(t) >= 3))[:2]
     return "_".join(t.capitalize() for t in tokens) or "Entity_" + "_".join(c[:4] for c in columns[:2])

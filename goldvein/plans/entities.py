@@ -12,98 +12,98 @@ from pyspark.sql import functions as F
 
 #: staging columns of the five staged entities
 STAGING = {
-    "Customers": "customer_id full_name email phone country city address status".split(),
-    "Vendors": "vendor_id vendor_name contact_email contact_phone country status".split(),
-    "Products": "sku product_name category price msrp supplier_id stock".split(),
-    "Invoices": "invoice_no customer_id amount currency invoice_date due_date status description".split(),
-    "Employees": "employee_id full_name email phone department_code department_name country hire_date status manager_id salary".split(),
+    "Customers": ["customer_id", "full_name", "email", "phone", "country", "city", "address", "status"],
+    "Vendors": ["vendor_id", "vendor_name", "contact_email", "contact_phone", "country", "status"],
+    "Products": ["sku", "product_name", "category", "price", "msrp", "supplier_id", "stock"],
+    "Invoices": ["invoice_no", "customer_id", "amount", "currency", "invoice_date", "due_date", "status", "description"],
+    "Employees": ["employee_id", "full_name", "email", "phone", "department_code", "department_name", "country", "hire_date", "status", "manager_id", "salary"],
 }
 #: canonical staging column <- source spellings
 STAGING_ALIASES = {
-    "customer_id": "cust_nr cust_id cust_key cust_no id customer lead_id",
-    "employee_id": "emp_no emp_id",
-    "vendor_id": "vendor_nr vendor_code supplier_id",
-    "invoice_no": "bill_no invoice_id order_number order_id",
-    "sku": "prod_code product_id product_sku product_code",
-    "full_name": "full_nm name contact_nm emp_full_name name1 customer_name",
-    "vendor_name": "company_nm vendor_nm company_name",
-    "product_name": "product_nm desc1 description",
-    "email": "work_email email_addr email_adr",
-    "phone": "mobile_nr phone_nr tel_nr",
-    "contact_phone": "contact_tel",
-    "country": "ctry ctry_cd country_code land customer_country shipping_country",
-    "city": "stadt customer_city shipping_city",
-    "address": "shipping_address addr",
-    "department_code": "dept_cd dept",
-    "department_name": "dept_nm",
-    "hire_date": "hire_dt",
-    "salary": "annual_sal salary_usd",
-    "status": "status_cd stat order_status payment_status",
-    "manager_id": "mgr_id",
-    "amount": "amount amt opp_amt total",
-    "price": "unit_price",
-    "invoice_date": "crt_dt order_dt order_date crdat",
-    "due_date": "due_dt",
-    "category": "category cat product_category",
+    "customer_id": ["cust_nr", "cust_id", "cust_key", "cust_no", "id", "customer", "lead_id"],
+    "employee_id": ["emp_no", "emp_id"],
+    "vendor_id": ["vendor_nr", "vendor_code", "supplier_id"],
+    "invoice_no": ["bill_no", "invoice_id", "order_number", "order_id"],
+    "sku": ["prod_code", "product_id", "product_sku", "product_code"],
+    "full_name": ["full_nm", "name", "contact_nm", "emp_full_name", "name1", "customer_name"],
+    "vendor_name": ["company_nm", "vendor_nm", "company_name"],
+    "product_name": ["product_nm", "desc1", "description"],
+    "email": ["work_email", "email_addr", "email_adr"],
+    "phone": ["mobile_nr", "phone_nr", "tel_nr"],
+    "contact_phone": ["contact_tel"],
+    "country": ["ctry", "ctry_cd", "country_code", "land", "customer_country", "shipping_country"],
+    "city": ["stadt", "customer_city", "shipping_city"],
+    "address": ["shipping_address", "addr"],
+    "department_code": ["dept_cd", "dept"],
+    "department_name": ["dept_nm"],
+    "hire_date": ["hire_dt"],
+    "salary": ["annual_sal", "salary_usd"],
+    "status": ["status_cd", "stat", "order_status", "payment_status"],
+    "manager_id": ["mgr_id"],
+    "amount": ["amount", "amt", "opp_amt", "total"],
+    "price": ["unit_price"],
+    "invoice_date": ["crt_dt", "order_dt", "order_date", "crdat"],
+    "due_date": ["due_dt"],
+    "category": ["category", "cat", "product_category"],
 }
-ALIAS_OF = {spelling: canon for canon, spellings in STAGING_ALIASES.items() for spelling in spellings.split()}
+ALIAS_OF = {spelling: canon for canon, spellings in STAGING_ALIASES.items() for spelling in spellings}
 
 #: master table, primary key, canonical column <- aliases in order of preference
 MASTERS = {
     "Customers": ("master_customers", "customer_id", {
-        "customer_id": "customer_id cust_id cust_no custno id client_id crm_id", "full_name": "full_name name name1 customer_name client_name fullname", "email": "email mail e_mail email_address email_adr",
-        "phone": "phone mobile telephone cell contact_phone phone_nr", "city": "city town", "country": "country country_name country_code nation", "address": "address addressline1 street address_line_1",
-        "status": "status state active", "created_at": "created_at created registration_date signup_date"}),
+        "customer_id": ["customer_id", "cust_id", "cust_no", "custno", "id", "client_id", "crm_id"], "full_name": ["full_name", "name", "name1", "customer_name", "client_name", "fullname"], "email": ["email", "mail", "e_mail", "email_address", "email_adr"],
+        "phone": ["phone", "mobile", "telephone", "cell", "contact_phone", "phone_nr"], "city": ["city", "town"], "country": ["country", "country_name", "country_code", "nation"], "address": ["address", "addressline1", "street", "address_line_1"],
+        "status": ["status", "state", "active"], "created_at": ["created_at", "created", "registration_date", "signup_date"]}),
     "Vendors": ("master_vendors", "vendor_id", {
-        "vendor_id": "vendor_id vendor_code supplier_id id", "vendor_name": "vendor_name name company_name supplier_name", "contact_phone": "contact_phone phone telephone mobile",
-        "country": "country country_name nation", "status": "status active state"}),
+        "vendor_id": ["vendor_id", "vendor_code", "supplier_id", "id"], "vendor_name": ["vendor_name", "name", "company_name", "supplier_name"], "contact_phone": ["contact_phone", "phone", "telephone", "mobile"],
+        "country": ["country", "country_name", "nation"], "status": ["status", "active", "state"]}),
     "Products": ("master_products", "sku", {
-        "sku": "sku product_code item_code product_sku prod_code", "product_name": "product_name name title description", "category": "category product_category type product_line", "price": "price unit_price cost",
-        "msrp": "msrp list_price retail_price", "supplier_id": "supplier_id vendor_id supplier", "stock": "stock quantity inventory qty"}),
+        "sku": ["sku", "product_code", "item_code", "product_sku", "prod_code"], "product_name": ["product_name", "name", "title", "description"], "category": ["category", "product_category", "type", "product_line"], "price": ["price", "unit_price", "cost"],
+        "msrp": ["msrp", "list_price", "retail_price"], "supplier_id": ["supplier_id", "vendor_id", "supplier"], "stock": ["stock", "quantity", "inventory", "qty"]}),
     "Invoices": ("master_invoices", "invoice_no", {
-        "invoice_no": "invoice_no invoice_number bill_no bill_nr order_number receipt_no invoice_id", "customer_id": "customer_id client_id cust_id", "amount": "amount total line_total total_amount value amt",
-        "due_date": "due_date due payment_due", "invoice_date": "invoice_date issue_date order_date date", "status": "status payment_status state", "description": "description notes memo item_description",
-        "bill_to_name": "bill_to_name billed_to customer_name", "vendor": "vendor vendor_name supplier from", "line_item_count": "line_item_count", "line_items_sum": "line_items_sum", "line_items_json": "line_items_json"}),
+        "invoice_no": ["invoice_no", "invoice_number", "bill_no", "bill_nr", "order_number", "receipt_no", "invoice_id"], "customer_id": ["customer_id", "client_id", "cust_id"], "amount": ["amount", "total", "line_total", "total_amount", "value", "amt"],
+        "due_date": ["due_date", "due", "payment_due"], "invoice_date": ["invoice_date", "issue_date", "order_date", "date"], "status": ["status", "payment_status", "state"], "description": ["description", "notes", "memo", "item_description"],
+        "bill_to_name": ["bill_to_name", "billed_to", "customer_name"], "vendor": ["vendor", "vendor_name", "supplier", "from"], "line_item_count": ["line_item_count"], "line_items_sum": ["line_items_sum"], "line_items_json": ["line_items_json"]}),
     "Employees": ("master_employees", "employee_id", {
-        "employee_id": "employee_id emp_id emp_no empno empid id", "full_name": "full_name name full_nm fullname employee_name", "email": "email mail work_email email_address e_mail", "phone": "phone mobile mobile_nr telephone phone_nr cell",
-        "department_code": "department_code dept_cd dept_code department_id", "department_name": "department_name dept_nm dept_name department", "country": "country ctry land land_code country_code",
-        "hire_date": "hire_date hire_dt start_date joined crdat", "status": "status state employment_status", "manager_id": "manager_id mgr_id manager reports_to", "salary": "salary salary_usd annual_salary comp pay"}),
+        "employee_id": ["employee_id", "emp_id", "emp_no", "empno", "empid", "id"], "full_name": ["full_name", "name", "full_nm", "fullname", "employee_name"], "email": ["email", "mail", "work_email", "email_address", "e_mail"], "phone": ["phone", "mobile", "mobile_nr", "telephone", "phone_nr", "cell"],
+        "department_code": ["department_code", "dept_cd", "dept_code", "department_id"], "department_name": ["department_name", "dept_nm", "dept_name", "department"], "country": ["country", "ctry", "land", "land_code", "country_code"],
+        "hire_date": ["hire_date", "hire_dt", "start_date", "joined", "crdat"], "status": ["status", "state", "employment_status"], "manager_id": ["manager_id", "mgr_id", "manager", "reports_to"], "salary": ["salary", "salary_usd", "annual_salary", "comp", "pay"]}),
     "Accounts": ("master_accounts", "acct_id", {
-        "acct_id": "acct_id account_id acc_id", "account_name": "account_name acct_name name company_name", "annual_revenue": "annual_revenue revenue yearly_revenue arr", "employee_count": "employee_count emp_count headcount num_employees",
-        "industry": "industry sector vertical", "country": "country ctry country_code", "status": "status state account_status"}),
+        "acct_id": ["acct_id", "account_id", "acc_id"], "account_name": ["account_name", "acct_name", "name", "company_name"], "annual_revenue": ["annual_revenue", "revenue", "yearly_revenue", "arr"], "employee_count": ["employee_count", "emp_count", "headcount", "num_employees"],
+        "industry": ["industry", "sector", "vertical"], "country": ["country", "ctry", "country_code"], "status": ["status", "state", "account_status"]}),
     "Contracts": ("master_contracts", "contract_id", {
-        "contract_id": "contract_id ct_id contract_no", "acct_id": "acct_id account_id customer_acct_id", "contract_value": "contract_value value amount contract_amt", "start_dt": "start_dt start_date started effective_date",
-        "end_dt": "end_dt end_date expires expiration_date", "status": "status contract_status state"}),
+        "contract_id": ["contract_id", "ct_id", "contract_no"], "acct_id": ["acct_id", "account_id", "customer_acct_id"], "contract_value": ["contract_value", "value", "amount", "contract_amt"], "start_dt": ["start_dt", "start_date", "started", "effective_date"],
+        "end_dt": ["end_dt", "end_date", "expires", "expiration_date"], "status": ["status", "contract_status", "state"]}),
     "Departments": ("master_departments", "department_code", {
-        "department_code": "department_code dept_code dept_cd dept_id", "dept_name": "dept_name department_name name", "cost_center": "cost_center cc cost_cd cost_centre", "manager_emp_id": "manager_emp_id manager_id manager mgr_id"}),
+        "department_code": ["department_code", "dept_code", "dept_cd", "dept_id"], "dept_name": ["dept_name", "department_name", "name"], "cost_center": ["cost_center", "cc", "cost_cd", "cost_centre"], "manager_emp_id": ["manager_emp_id", "manager_id", "manager", "mgr_id"]}),
     "Inventory": ("master_inventory", "inv_item_id", {
-        "inv_item_id": "inv_item_id item_id inventory_id stock_id", "sku": "sku product_sku product_id", "loc_id": "loc_id location_id warehouse_id", "quantity": "quantity qty stock on_hand", "unit_cost": "unit_cost cost cost_price",
-        "last_count_dt": "last_count_dt last_counted count_date"}),
+        "inv_item_id": ["inv_item_id", "item_id", "inventory_id", "stock_id"], "sku": ["sku", "product_sku", "product_id"], "loc_id": ["loc_id", "location_id", "warehouse_id"], "quantity": ["quantity", "qty", "stock", "on_hand"], "unit_cost": ["unit_cost", "cost", "cost_price"],
+        "last_count_dt": ["last_count_dt", "last_counted", "count_date"]}),
     "Locations": ("master_locations", "loc_id", {
-        "loc_id": "loc_id location_id site_id warehouse_id", "city": "city town", "country": "country ctry country_code", "acct_id": "acct_id account_id", "address": "address street addr"}),
+        "loc_id": ["loc_id", "location_id", "site_id", "warehouse_id"], "city": ["city", "town"], "country": ["country", "ctry", "country_code"], "acct_id": ["acct_id", "account_id"], "address": ["address", "street", "addr"]}),
     "Opportunities": ("master_opportunities", "opp_id", {
-        "opp_id": "opp_id opportunity_id deal_id", "opp_name": "opp_name opportunity_name deal_name name", "acct_id": "acct_id account_id", "owner_emp_id": "owner_emp_id owner owner_id sales_rep rep_id",
-        "amount": "amount value deal_size opp_amount", "status": "status stage opp_stage", "close_dt": "close_dt close_date expected_close closed_dt"}),
+        "opp_id": ["opp_id", "opportunity_id", "deal_id"], "opp_name": ["opp_name", "opportunity_name", "deal_name", "name"], "acct_id": ["acct_id", "account_id"], "owner_emp_id": ["owner_emp_id", "owner", "owner_id", "sales_rep", "rep_id"],
+        "amount": ["amount", "value", "deal_size", "opp_amount"], "status": ["status", "stage", "opp_stage"], "close_dt": ["close_dt", "close_date", "expected_close", "closed_dt"]}),
     "Payments": ("master_payments", "pmt_id", {
-        "pmt_id": "pmt_id payment_id pay_id", "pmt_amt": "pmt_amt amount payment_amount pay_amt", "reference_no": "reference_no ref_no ref reference", "pmt_dt": "pmt_dt payment_date paid_dt pay_date",
-        "invoice_no": "invoice_no invoice_id bill_no", "customer_id": "customer_id cust_id", "method": "method payment_method pay_method"}),
+        "pmt_id": ["pmt_id", "payment_id", "pay_id"], "pmt_amt": ["pmt_amt", "amount", "payment_amount", "pay_amt"], "reference_no": ["reference_no", "ref_no", "ref", "reference"], "pmt_dt": ["pmt_dt", "payment_date", "paid_dt", "pay_date"],
+        "invoice_no": ["invoice_no", "invoice_id", "bill_no"], "customer_id": ["customer_id", "cust_id"], "method": ["method", "payment_method", "pay_method"]}),
     "Shipments": ("master_shipments", "ship_id", {
-        "ship_id": "ship_id shipment_id shp_id", "invoice_no": "invoice_no order_no order_id", "tracking_no": "tracking_no tracking track_id tracking_number", "shipped_dt": "shipped_dt ship_date shipment_date",
-        "status": "status shipment_status", "carrier": "carrier carrier_name shipper"}),
+        "ship_id": ["ship_id", "shipment_id", "shp_id"], "invoice_no": ["invoice_no", "order_no", "order_id"], "tracking_no": ["tracking_no", "tracking", "track_id", "tracking_number"], "shipped_dt": ["shipped_dt", "ship_date", "shipment_date"],
+        "status": ["status", "shipment_status"], "carrier": ["carrier", "carrier_name", "shipper"]}),
     "SalesOrders": ("master_sales_orders", "order_id", {
-        "order_id": "order_id order_number order_no ord_id", "customer_id": "customer_id cust_id", "product_id": "product_id product_sku sku", "amount": "amount unit_price price", "quantity": "quantity qty",
-        "total_amt": "total_amt total total_amount", "order_date": "order_date ord_date date invoice_date", "status": "status order_status"}),
+        "order_id": ["order_id", "order_number", "order_no", "ord_id"], "customer_id": ["customer_id", "cust_id"], "product_id": ["product_id", "product_sku", "sku"], "amount": ["amount", "unit_price", "price"], "quantity": ["quantity", "qty"],
+        "total_amt": ["total_amt", "total", "total_amount"], "order_date": ["order_date", "ord_date", "date", "invoice_date"], "status": ["status", "order_status"]}),
 }
 
 #: status vocabularies
-PARTY = "Active|Inactive|Terminated|On Leave|Pending|Suspended|Unknown".split("|")
+PARTY = ["Active", "Inactive", "Terminated", "On Leave", "Pending", "Suspended", "Unknown"]
 STATUSES = {
     "Customers": PARTY, "Vendors": PARTY, "Employees": PARTY, "Accounts": PARTY,
-    "Invoices": "Paid|Unpaid|Open|Pending|Overdue|Cancelled|Refunded|Draft|Unknown".split("|"),
-    "Shipments": "Shipped|Delivered|In Transit|Processing|Returned|Lost|Cancelled|Unknown".split("|"),
-    "Opportunities": "Open|Won|Lost|In Progress|Qualified|Proposal|Negotiation|Closed|Closed-Won|Closed-Lost|Prospect|Unknown".split("|"),
-    "Contracts": "Active|Expired|Terminated|Pending|Cancelled|Renewed|Draft|Unknown".split("|"),
-    "SalesOrders": "Open|Shipped|Delivered|Cancelled|Returned|Pending|Processing|Unknown".split("|"),
+    "Invoices": ["Paid", "Unpaid", "Open", "Pending", "Overdue", "Cancelled", "Refunded", "Draft", "Unknown"],
+    "Shipments": ["Shipped", "Delivered", "In Transit", "Processing", "Returned", "Lost", "Cancelled", "Unknown"],
+    "Opportunities": ["Open", "Won", "Lost", "In Progress", "Qualified", "Proposal", "Negotiation", "Closed", "Closed-Won", "Closed-Lost", "Prospect", "Unknown"],
+    "Contracts": ["Active", "Expired", "Terminated", "Pending", "Cancelled", "Renewed", "Draft", "Unknown"],
+    "SalesOrders": ["Open", "Shipped", "Delivered", "Cancelled", "Returned", "Pending", "Processing", "Unknown"],
 }
 #: entity-specific renaming of generic statuses at ingest
 STATUS_RENAMES = {"Invoices": {"Active": "Open", "Inactive": "Paid"}, "Shipments": {"Active": "Shipped", "Inactive": "Delivered"}}
@@ -168,7 +168,7 @@ class Entity:
 
 
 def built_in() -> dict[str, Entity]:
-    return {n: Entity(n, t, k, {c: a.split() for c, a in f.items()}, SCHEMAS[n]) for n, (t, k, f) in MASTERS.items()}
+    return {n: Entity(n, t, k, {c: list(a) for c, a in f.items()}, SCHEMAS[n]) for n, (t, k, f) in MASTERS.items()}
 
 
 REGISTRY: dict[str, Entity] = built_in()
@@ -179,38 +179,38 @@ def register(entity: Entity) -> None:
 
 
 #: keyword -> entity, first hit wins
-LANDING_RULES = [("customer client contact", "audit", "Customers"), ("vendor supplier", "", "Vendors"), ("product sku", "", "Products"), ("invoice bill order", "shipment", "Invoices"), ("employee staff", "", "Employees"), ("customer_audit", "", "Customers")]
+LANDING_RULES = [(["customer", "client", "contact"], "audit", "Customers"), (["vendor", "supplier"], "", "Vendors"), (["product", "sku"], "", "Products"), (["invoice", "bill", "order"], "shipment", "Invoices"), (["employee", "staff"], "", "Employees"), (["customer_audit"], "", "Customers")]
 FILE_RULES = [
-    ("customer contact client audit", "Customers"), ("vendor supplier", "Vendors"), ("product sku catalog quarterly", "Products"), ("invoice bill billing receipt", "Invoices"), ("order sales_order", "SalesOrders"),
-    ("employee staff personnel hr", "Employees"), ("account", "Accounts"), ("contract", "Contracts"), ("department dept", "Departments"), ("inventor", "Inventory"), ("location address site", "Locations"),
-    ("opportunit", "Opportunities"), ("payment", "Payments"), ("shipment shipping", "Shipments"),
+    (["customer", "contact", "client", "audit"], "Customers"), (["vendor", "supplier"], "Vendors"), (["product", "sku", "catalog", "quarterly"], "Products"), (["invoice", "bill", "billing", "receipt"], "Invoices"), (["order", "sales_order"], "SalesOrders"),
+    (["employee", "staff", "personnel", "hr"], "Employees"), (["account"], "Accounts"), (["contract"], "Contracts"), (["department", "dept"], "Departments"), (["inventor"], "Inventory"), (["location", "address", "site"], "Locations"),
+    (["opportunit"], "Opportunities"), (["payment"], "Payments"), (["shipment", "shipping"], "Shipments"),
 ]
 FILE_HINTS = {
     "order": "SalesOrders", "sales": "SalesOrders", "invoice": "Invoices", "bill": "Invoices", "shipment": "Shipments", "ship": "Shipments", "customer": "Customers", "vendor": "Vendors", "supplier": "Vendors", "employee": "Employees",
     "product": "Products", "payment": "Payments", "opportun": "Opportunities", "contract": "Contracts", "account": "Accounts", "location": "Locations", "department": "Departments", "inventory": "Inventory",
 }
 KEY_ENTITIES = {
-    "Customers": "customer_id cust_id cust_no", "Vendors": "vendor_id supplier_id vendor_code", "Products": "sku product_id prod_code", "Employees": "employee_id emp_id emp_no", "Invoices": "invoice_no invoice_id bill_no order_id order_number",
-    "Departments": "dept_cd dept_id department_code", "Accounts": "acct_id account_id", "Contracts": "contract_id", "Locations": "loc_id location_id", "Opportunities": "opp_id", "Payments": "pmt_id payment_id", "Shipments": "ship_id",
-    "Inventory": "inv_item_id", "Warehouses": "warehouse_id", "Managers": "manager_id",
+    "Customers": ["customer_id", "cust_id", "cust_no"], "Vendors": ["vendor_id", "supplier_id", "vendor_code"], "Products": ["sku", "product_id", "prod_code"], "Employees": ["employee_id", "emp_id", "emp_no"], "Invoices": ["invoice_no", "invoice_id", "bill_no", "order_id", "order_number"],
+    "Departments": ["dept_cd", "dept_id", "department_code"], "Accounts": ["acct_id", "account_id"], "Contracts": ["contract_id"], "Locations": ["loc_id", "location_id"], "Opportunities": ["opp_id"], "Payments": ["pmt_id", "payment_id"], "Shipments": ["ship_id"],
+    "Inventory": ["inv_item_id"], "Warehouses": ["warehouse_id"], "Managers": ["manager_id"],
 }
-ENTITY_OF_KEY = {k: e for e, ks in KEY_ENTITIES.items() for k in ks.split()}
+ENTITY_OF_KEY = {k: e for e, ks in KEY_ENTITIES.items() for k in ks}
 
 
 def entity_for_landing(name: str) -> str | None:
     low = name.lower()
-    return next((e for words, but, e in LANDING_RULES if any(w in low for w in words.split()) and not (but and but in low)), None)
+    return next((e for words, but, e in LANDING_RULES if any(w in low for w in words) and not (but and but in low)), None)
 
 
 def entity_for_file(name: str) -> str | None:
     low = name.lower()
-    return next((e for words, e in FILE_RULES if any(w in low for w in words.split())), None)
+    return next((e for words, e in FILE_RULES if any(w in low for w in words)), None)
 
 
 def file_entity(name: Column) -> Column:
     """``entity_for_file`` of a column of names."""
     low = F.lower(name)
-    return F.coalesce(*[F.when(low.rlike("|".join(words.split())), F.lit(e)) for words, e in FILE_RULES])
+    return F.coalesce(*[F.when(low.rlike("|".join(words)), F.lit(e)) for words, e in FILE_RULES])
 
 
 def entity_for_key(column: str, source: str = "") -> str:

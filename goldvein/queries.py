@@ -414,12 +414,12 @@ def validate_split(spark, sf_dir):
     return good.agg(F.count("*").alias("valid")).crossJoin(bad.agg(F.count("*").alias("rejected")))  # one row each
 
 
-@query()
+@query("select 'Leads' as entity, case when count(*) >= 100 then 'established' else 'learning' end as status, count(*) as row_count_observed, cast(100 as int) as threshold from dirty", "dirty")
 def dynamic_schema(spark, sf_dir):
     d, schemas = given(spark, sf_dir, "dirty"), validate.DynamicSchemas()
     schemas.observe("Leads", d.filter("row_idx % 2 = 0"))
     schemas.observe("Leads", d.filter("row_idx % 2 = 1"))
-    return schemas.frame(spark)
+    return schemas.frame(spark).drop("schema_json")
 
 
 @query(" union all ".join(f"""select '{c}' as "column", count({c}) as filled, count(distinct {c}) as distinct_values, {str(c.endswith(('_id', '_no', '_code'))).lower()} as id_like from dirty having count({c}) > 0 and count(distinct {c}) >= 0.9 * count({c})""" for c in ["row_idx", "cust_id", "customer_name", "email_addr", "phone_nr", "ctry", "stat", "amt"]), "dirty")
