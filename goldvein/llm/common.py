@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -12,9 +13,12 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 4_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where that is unset, local sessions (tests) get one of our
+    own; a cluster's machines share none, so there it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset")
         folder = "file://" + tempfile.mkdtemp(prefix="goldvein-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -27,8 +31,19 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def own_folder(spark: SparkSession) -> str:
+    """What this application writes aside, of which results still read until ``release``."""
+    return f"{work_dir(spark)}/goldvein-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables and files written aside by this application; results not yet stored elsewhere go with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

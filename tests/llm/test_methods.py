@@ -445,6 +445,16 @@ def test_whole_long_licences(spark):
     assert got == {i: n if n != "AGPL-3.0" else None for i, n in enumerate(names)} and {"Apache-2.0", "GPL-3.0", "MPL-2.0"} <= set(names)
 
 
+def test_release(spark):
+    from goldvein.llm import common
+
+    kept = common.cut(spark.range(5), "x")
+    path = common.own_folder(spark).removeprefix("file://")
+    assert kept.count() == 5 and pathlib.Path(path).is_dir()
+    common.release(spark)
+    assert not pathlib.Path(path).exists()
+
+
 def test_perfect_hash():
     import numpy as np
 
