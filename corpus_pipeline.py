@@ -1,4 +1,8 @@
-"""A corpus pipeline in five stages; each stage's result is written as Parquet and read again as the next one's docs."""
+"""A corpus pipeline in five stages; each stage's result is written as Parquet and read again as the next one's docs.
+
+All stages take nulls in any column, empty and very long texts, repeated rows and further columns, whatever their names;
+an empty table stays empty. A null or empty text has no words and goes in the first stage; each operator's docstring
+says what the others do with one. Ties: of equal or near documents the smallest doc_id stays, null ids last."""
 
 from __future__ import annotations
 
