@@ -111,6 +111,23 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
 
 
+def test_extra_columns_and_odd_rows(spark, tmp_path):
+    """Columns named like those the operators make, repeated rows, null ids, and a very long text."""
+    rows, bench = corpus()
+    rows = [(*r, f"k{i}", i, "w", None, "t", "c") for i, r in enumerate([*rows, rows[0], (None, rows[1][1] + " more words than before here", "en", "s0", 0), (500, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17_000)), "en", "s1", 0)])]
+    names = "doc_id long, text string, lang string, source string, n_chars long, row string, tk long, node string, _row string, _doc string, n_words string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+        assert {r.row for r in got.select("row").collect()} <= {r[5] for r in rows}
+    last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in last]
+    assert len(ids) == len(set(ids)) and {130, 0} <= set(ids) and all(r.parity and r.round_trip for r in last)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
