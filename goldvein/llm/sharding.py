@@ -103,15 +103,21 @@ def split(rows: DataFrame, shards: int = SHARDS, parts: int = PARTS):
 
 
 def merged(bounds, counts, total: int, shards: int, parts: int):
-    out_b, out_c, at = [], [], 0
+    """Neighbours become one where neither is to be cut again. A range that is keeps both its bounds, tight as they are
+    beside empty ranges, so that each round narrows it."""
+    out_b, out_c, at, before = [], [], 0, False
     for low, (n, size) in zip(bounds, counts):
-        a, b = at - (out_c[-1][1] if out_c else 0), at + size
-        near = any(a <= t * total / shards <= b for t in range(1, shards))
-        if out_c and (n == 0 or out_c[-1][0] == 0 or not near and (out_c[-1][1] + size) * parts <= total):
+        start = at - (out_c[-1][1] if out_c else 0)
+        near = lambda a, b: any(a <= t * total / shards <= b for t in range(1, shards))
+        again = n > 1 and (size * parts > total or near(at, at + size))
+        empty = out_c and (n == 0 or out_c[-1][0] == 0)
+        small = out_c and not near(start, at + size) and (out_c[-1][1] + size) * parts <= total
+        if out_c and not again and not before and (empty or small):
             out_c[-1] = (out_c[-1][0] + n, out_c[-1][1] + size)
         else:
             out_b.append(low)
             out_c.append((n, size))
+            before = again
         at += size
     return out_b, out_c
 

@@ -113,6 +113,22 @@ def test_shards(docs, doc_rows):
     assert order == sorted(order, key=lambda x: (x is not None, x or 0))
 
 
+def test_shards_of_hot_ids_in_many_rounds(spark):
+    """One id with a third of the rows, ids far apart, nulls, and a bound on ranges that takes many rounds."""
+    rng = np.random.default_rng(4)
+    ids = [7] * 1_000 + [None] * 200 + [int(x) for x in rng.integers(-(2**40), 2**40, 1_800)]
+    rows = [(i, "x" * int(n), "clash") for i, n in zip(ids, rng.integers(0, 60, len(ids)))]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, range string"), 12).collect()
+    total, by = sum(r["size"] for r in got), {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+    assert len(got) == len(rows) and sorted(by) == list(range(12))
+    for rs in by.values():
+        assert sorted(r.slot for r in rs) == list(range(len(rs))) and abs(sum(r["size"] for r in rs) - total / 12) <= 61
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order, key=lambda x: (x is not None, x or 0))
+
+
 def test_warc(spark):
     html = ["x" * 200, "x" * 200, "y", "y", None, "", "é" * 60, "x" * 200, "z" * 99, "z" * 99, "q" * 100, "q" * 100, "a\r\n\r\nb" * 40]
     rows = [(i, f"http://e/{i}\r\nX: y" if i % 3 else None, h, "clash") for i, h in enumerate(html)] + [(None, "u", "x" * 200, ""), (0, "u", "x" * 200, "")]
