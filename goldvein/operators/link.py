@@ -12,6 +12,8 @@ from ..functions import similarity
 from . import graph
 
 STRONG, EMAIL, PHONE, CAP, MOST = 0.9, 0.98, 0.97, 0.55, 500
+#: what is compared; rows of a class that are paired as one unit
+VALUES, UNIT = ["name", "email", "phone"], 256
 # Parts of column names that tell a signal, and parts that speak against it.
 SIGNALS = {
     "email": (["email", "mail", "e_mail"], ["opt_out", "_at", "_time", "_date", "valid"]),
@@ -99,12 +101,50 @@ def scored(pairs: DataFrame, threshold: float, names: bool = True) -> DataFrame:
     return out.select("row_a", "row_b", "probability", level.alias("confidence"), F.size("_s").alias("signals"))
 
 
+def classes(a: DataFrame) -> DataFrame:
+    """(key, rows): the distinct row ids of equal name, email and phone. Each id is in a struct, so that a null stays."""
+    return a.groupBy(F.struct(*VALUES).alias("key")).agg(F.collect_set(F.struct("row")).alias("rows"))
+
+
+def class_links(a: DataFrame, b: DataFrame | None, threshold: float, names: bool = True, prune_blank_blocks: bool = False, signals: tuple[str, ...] = ("name", "email", "phone")) -> DataFrame:
+    """``scored`` pairs of classes (row_a, row_b are their keys): rows of equal values score alike, so each pair of
+    values is scored once, however many rows have them. With ``b`` None: pairs within ``a``, row_a <= row_b."""
+    keyed = lambda d: d.select(F.struct(*VALUES).alias("row"), *VALUES).distinct()
+    x, y = keyed(a), None if b is None else keyed(b)
+    pairs = sharing(x, y, threshold, names, prune_blank_blocks, signals)
+    if b is None:
+        pairs = pairs.unionByName(x.select(*[F.col(c).alias(f"{c}_{s}") for s in "ab" for c in x.columns]))
+    return scored(pairs, threshold, names)
+
+
+def expanded(links: DataFrame, a: DataFrame, b: DataFrame | None) -> DataFrame:
+    """The pairs of rows of ``class_links``. Classes are cut into units of ``UNIT`` rows, and the pairs of units are dealt
+    evenly, so no class makes a task long; the pairs within them come from two nested loops, without a join."""
+
+    def units(d: DataFrame, s: str) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.size("rows"), F.lit(UNIT))
+        return classes(d).select(F.col("key").alias(f"row_{s}"), F.posexplode(F.transform(starts, lambda i: F.slice("rows", i, UNIT))).alias(f"_u_{s}", f"_rows_{s}"))
+
+    met = links.join(units(a, "a"), "row_a").join(units(a if b is None else b, "b"), "row_b")
+    if b is None:
+        own = F.col("row_a") == F.col("row_b")
+        met = met.filter(~own | (F.col("_u_a") <= F.col("_u_b"))).withColumn("_own", own & (F.col("_u_a") == F.col("_u_b")))
+    rest = ["probability", "confidence", "signals"]
+    met = met.select("_rows_a", "_rows_b", *rest, *(["_own"] if b is None else [])).repartition(4 * a.sparkSession.sparkContext.defaultParallelism)
+    x, y = F.col("_a.row"), F.col("_b.row")
+    pairs = met.withColumn("_a", F.explode("_rows_a")).withColumn("_b", F.explode("_rows_b"))
+    if b is None:
+        pairs = pairs.filter((x < y) | (~F.col("_own") & (x > y)))
+        x, y = F.least(x, y), F.greatest(x, y)
+    return pairs.select(x.alias("row_a"), y.alias("row_b"), *rest)
+
+
 def link_across(a: DataFrame, b: DataFrame, threshold: float = 0.7, prune_blank_blocks: bool = False, names: bool = True) -> DataFrame:
     return scored(sharing(a, b, threshold, names, prune_blank_blocks), threshold, names)
 
 
 def dedup_within(a: DataFrame, threshold: float = 0.85, prune_blank_blocks: bool = False, names: bool = True) -> DataFrame:
-    return scored(sharing(a, None, threshold, names, prune_blank_blocks), threshold, names)
+    return expanded(class_links(a, None, threshold, names, prune_blank_blocks), a, None)
 
 
 def resolve_entities(a: DataFrame, b: DataFrame | None, index: str, threshold: float = 0.7) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
