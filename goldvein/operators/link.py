@@ -140,7 +140,7 @@ def expanded(links: DataFrame, a: DataFrame, b: DataFrame | None) -> DataFrame:
 
 
 def link_across(a: DataFrame, b: DataFrame, threshold: float = 0.7, prune_blank_blocks: bool = False, names: bool = True) -> DataFrame:
-    return scored(sharing(a, b, threshold, names, prune_blank_blocks), threshold, names)
+    return expanded(class_links(a, b, threshold, names, prune_blank_blocks), a, b)
 
 
 def dedup_within(a: DataFrame, threshold: float = 0.85, prune_blank_blocks: bool = False, names: bool = True) -> DataFrame:

@@ -23,3 +23,14 @@ def test_dedup_within_copies(spark):
     got = [tuple(r) for r in link.dedup_within(c, 0.85, names=False).select("row_a", "row_b").collect()]
     full = [(i, "x") for i in range(700)] + [(i, "y") for i in range(700, 730)] + [(5, "y")]
     assert sorted(got) == sorted((min(a, b), max(a, b)) for (a, _), (b, _) in combinations(full, 2) if a != b)
+
+
+def test_link_across_copies(spark):
+    """A row id that is null, and ids that both sides have, stay; blank rows meet nobody."""
+    a, b = contacts(spark, [*copies(), (None, "ann", "a@x.com", "")]), contacts(spark, [(1, "x", "a@x.com", ""), (2, "x", "a@x.com", ""), (3, "", "", "")])
+    got = [tuple(r) for r in link.link_across(a, b, 0.5, names=False).select("row_a", "row_b", "probability").collect()]
+    ids = [*range(750), 5, None]
+    key = lambda t: (t[0] is None, t[0] or 0, *t[1:])
+    assert sorted(got, key=key) == sorted([(i, j, 0.55) for i in ids for j in (1, 2)], key=key)
+    plan = link.link_across(a, b, 0.5, names=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan, "values, not rows, are to be joined"
