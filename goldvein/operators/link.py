@@ -165,6 +165,20 @@ def top(matches: DataFrame, most: int = MOST) -> DataFrame:
     return matches.orderBy(F.desc("probability"), "row_a", "row_b").limit(most)
 
 
+def top_within(a: DataFrame, threshold: float = 0.85, prune_blank_blocks: bool = False, names: bool = True, most: int = MOST) -> DataFrame:
+    """``top`` of ``dedup_within``, with only the pairs that it can hold. A lead is a probability and a row with a later
+    partner at it. Each lead has a pair, and its pairs come before those of later leads: the first ``most`` leads do."""
+    links = class_links(a, None, threshold, names, prune_blank_blocks)
+    rest = ["probability", "confidence", "signals"]
+    back = links.filter("row_a <> row_b").select(F.col("row_b").alias("row_a"), F.col("row_a").alias("row_b"), *rest)
+    rows = a.select(F.struct(*VALUES).alias("key"), "row").distinct()
+    last = rows.groupBy(F.col("key").alias("row_b")).agg(F.max("row").alias("_last"))
+    leads = links.unionByName(back).join(last, "row_b").join(rows.withColumnsRenamed({"key": "row_a", "row": "_a"}), "row_a").filter("_a < _last")
+    first = leads.select("probability", "_a").distinct().orderBy(F.desc("probability"), "_a").limit(most)
+    pairs = leads.join(first, ["probability", "_a"]).join(rows.withColumnsRenamed({"key": "row_b", "row": "_b"}), "row_b").filter("_a < _b")
+    return top(pairs.select(F.col("_a").alias("row_a"), F.col("_b").alias("row_b"), *rest), most)
+
+
 def summary(matches: DataFrame) -> DataFrame:
     return matches.groupBy("confidence").agg(F.count("*").alias("matches"))
 

@@ -98,7 +98,7 @@ def match_summary(spark, sf_dir):
 
 @query(PAIR_SQL.format("x.\"row\" < y.\"row\"", 0.85) + " order by probability desc, row_a, row_b limit 500", "contacts")
 def match_top(spark, sf_dir):
-    return link.top(link.dedup_within(contact_rows(spark, sf_dir), 0.85, names=False))
+    return link.top_within(contact_rows(spark, sf_dir), 0.85, names=False)
 
 
 @query("""select * from (values ('plain', 'name', 'customer_name'), ('plain', 'email', 'email_addr'), ('plain', 'phone', 'phone_nr'), ('fuller', 'name', 'Full_Name'), ('fuller', 'email', 'e_mail'), ('fuller', 'phone', 'cell'), ('odd', 'name', 'contact')) t(header, signal, "column")""")

@@ -34,3 +34,14 @@ def test_link_across_copies(spark):
     assert sorted(got, key=key) == sorted([(i, j, 0.55) for i in ids for j in (1, 2)], key=key)
     plan = link.link_across(a, b, 0.5, names=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" in plan, "values, not rows, are to be joined"
+
+
+def test_top_within_copies(spark):
+    """The report's head is that of all pairs, and comes without them."""
+    c = contacts(spark, [*copies(), (751, "cy", "c@x.com", "+971507654321"), (752, "cy", "c@x.com", "+971507654321"), (751, "ann", "", "+971507654321")])
+    for threshold, names, most in ((0.85, False, 500), (0.85, False, 1), (0.7, True, 999), (0.5, False, 300_000)):
+        want = link.top(link.dedup_within(c, threshold, names=names), most)
+        assert [tuple(r) for r in link.top_within(c, threshold, names=names, most=most).collect()] == [tuple(r) for r in want.collect()]
+    many = contacts(spark, [(i, "", "a@x.com", "+971501234567") for i in range(200_000)])
+    got = [(r.row_a, r.row_b) for r in link.top_within(many, 0.85, names=False).collect()]
+    assert got == [(0, i) for i in range(1, 501)]
