@@ -239,7 +239,8 @@ def canonical(df: DataFrame) -> DataFrame:
 
 def u_shares(df: DataFrame, columns: list[str], index: str, salts: int = 4, buckets: int | None = None) -> dict[str, list[float]]:
     """Share of unrelated pairs at each level. Rows meet in random buckets: a sample of all pairs whose size follows
-    the rows (about ``salts`` * 64 pairs each), which is what the share needs; exact columns use value frequencies."""
+    the rows (about ``salts`` * 64 pairs each), which is what the share needs; exact columns use value frequencies. Pairs are counted by their values, so a pair of values is
+    compared once."""
     n = df.count()
     out = {}
     for c in columns:
@@ -255,7 +256,9 @@ def u_shares(df: DataFrame, columns: list[str], index: str, salts: int = 4, buck
         a, b = (salted.select(*[F.col(c).alias(f"{c}_{s}") for c in (index, *rest)], "_salt", "_b") for s in "ab")
         pairs = a.join(b, ["_salt", "_b"]).filter(F.col(f"{index}_a") < F.col(f"{index}_b"))
         for c in rest:
-            got = {r["l"]: r["n"] for r in pairs.select(level(kind_of(c), F.col(f"{c}_a"), F.col(f"{c}_b")).alias("l")).filter("l is not null").groupBy("l").agg(F.count("*").alias("n")).collect()}
+            x, y = F.col(f"{c}_a"), F.col(f"{c}_b")
+            met = pairs.filter(x.isNotNull() & y.isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
+            got = {r["l"]: r["n"] for r in met.select(level(kind_of(c), x, y).alias("l"), "n").groupBy("l").agg(F.sum("n").alias("n")).collect()}
             total = sum(got.values()) or 1
             out[c] = [max(got.get(i, 0) / total, 1e-6) for i in range(len(M[kind_of(c)]))]
     return out
@@ -279,12 +282,13 @@ def prior_share(rule_pairs: int, all_pairs: float, recall: float) -> float:
     return min(max(rule_pairs / recall / max(all_pairs, 1.0), 1e-9), 1 - 1e-9)
 
 
-def blocked(a: DataFrame, b: DataFrame | None, index: str, block: str, columns: list[str]) -> DataFrame:
+def blocked(a: DataFrame, b: DataFrame | None, index: str, block: str, columns: list[str], other: str | None = None) -> DataFrame:
+    """Pairs that agree on ``block``. With ``b`` None: within ``a``, ``index`` of the one below ``other`` (``index``) of the second."""
     cols = list(dict.fromkeys([index, *columns]))
     l = a.select(F.col(block).alias("_k"), *[F.col(c).alias(f"{c}_a") for c in cols])
     r = (b if b is not None else a).select(F.col(block).alias("_k"), *[F.col(c).alias(f"{c}_b") for c in cols])
     p = l.join(r, "_k").drop("_k")
-    return p.filter(F.col(f"{index}_a") < F.col(f"{index}_b")) if b is None else p
+    return p.filter(F.col(f"{index}_a") < F.col(f"{other or index}_b")) if b is None else p
 
 
 def dedupe(df: DataFrame, index: str, columns: list[str], block: str, threshold: float = 0.95, recall: float = 0.7, u=None) -> tuple[DataFrame, DataFrame]:
@@ -292,9 +296,20 @@ def dedupe(df: DataFrame, index: str, columns: list[str], block: str, threshold:
     u = u or u_shares(df, columns, index)
     n = df.count()
     strict = df.filter(F.col(columns[0]).isNotNull() & F.col(columns[1]).isNotNull()).groupBy(columns[0], columns[1]).agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0
-    pairs = probability(blocked(df, None, index, block, columns), columns, u, prior_share(strict, n * (n - 1) / 2, recall)).filter(F.col("match_probability") >= threshold)
-    edges = pairs.select(F.col(f"{index}_a").alias("a"), F.col(f"{index}_b").alias("b"))
-    return pairs, graph.components(df.select(F.col(index).alias("id")), edges)
+    # rows of equal values are one class; a pair of classes stands for its rows a < b, of which there is one if _min_a < _max_b
+    cols = list(dict.fromkeys([block, *columns]))
+    rows = df.select(F.struct(*cols).alias("_key"), F.col(index).alias("_row")).filter("_row is not null")
+    sets = rows.groupBy("_key").agg(F.min("_row").alias("_min"), F.max("_row").alias("_max")).select("*", *[F.col(f"_key.{c}").alias(c) for c in cols])
+    met = blocked(sets, None, "_min", block, ["_key", "_max", *columns], "_max")
+    links = graph.kept(probability(met, columns, u, prior_share(strict, n * (n - 1) / 2, recall)).filter(F.col("match_probability") >= threshold))
+    a, b = (rows.select(F.col("_key").alias(f"_key_{s}"), F.col("_row").alias(f"{index}_{s}")) for s in "ab")
+    own = [f"{c}_{s}" for s in "ab" for c in dict.fromkeys([index, *columns])]
+    bare = links.drop(f"{index}_a", f"{index}_b")
+    pairs = bare.join(a, "_key_a").join(b, "_key_b").filter(F.col(f"{index}_a") < F.col(f"{index}_b")).select(*own, "match_weight", "match_probability")
+    # any pair a < b of two classes is joined by a - max(b) - min(a) - b, each of which is a pair too
+    up = a.join(bare, "_key_a").select(F.col(f"{index}_a").alias("a"), F.col("_max_b").alias("b"))
+    down = b.join(bare, "_key_b").select(F.col("_min_a").alias("a"), F.col(f"{index}_b").alias("b"))
+    return pairs, graph.components(df.select(F.col(index).alias("id")), up.unionByName(down).filter("a < b"))
 
 
 def fuzzy_duplicates(master: DataFrame, entity: str, index: str, threshold: float = 0.95, u=None) -> DataFrame:

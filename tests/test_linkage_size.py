@@ -45,3 +45,26 @@ def test_top_within_copies(spark):
     many = contacts(spark, [(i, "", "a@x.com", "+971501234567") for i in range(200_000)])
     got = [(r.row_a, r.row_b) for r in link.top_within(many, 0.85, names=False).collect()]
     assert got == [(0, i) for i in range(1, 501)]
+
+
+def test_dedupe_copies(spark, monkeypatch):
+    """Clusters and pairs are those of scoring every two rows; no two rows of a class of copies are scored."""
+    from pyspark.sql import functions as F
+
+    from goldvein.operators import graph
+
+    values = [("ann lee", "ann@x.com", "1"), ("ann leigh", "ann@x.com", "1"), ("bob", "bob@x.com", "1"), (None, "ann@x.com", "1"), ("zoe", None, "2"), ("ann lee", "ann@x.com", "2"), ("carl", "c@x.com", None)]
+    rows = [(i, *values[i % 97 % 7]) for i in range(2000)] + [(None, *values[0]), (3, *values[5])]
+    df = spark.createDataFrame(rows, "row long, full_name string, email string, phone string")
+    columns, u = ["full_name", "email", "phone"], {"full_name": [0.2, 0.01, 0.01, 0.1, 0.68], "email": [0.3, 0.01, 0.01, 0.1, 0.58], "phone": [0.5, 0.5]}
+    strict = df.filter("full_name is not null and email is not null").groupBy("full_name", "email").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    prior = link.prior_share(strict, 2002 * 2001 / 2, 0.7)
+    seen, real = [], link.probability
+    monkeypatch.setattr(link, "probability", lambda pairs, *rest: (seen.append(pairs.count()), real(pairs, *rest))[1])
+    for threshold in (0.3, 0.6, 0.85):
+        want = real(link.blocked(df, None, "row", "phone", columns), columns, u, prior).filter(F.col("match_probability") >= threshold)
+        pairs, groups = link.dedupe(df, "row", columns, "phone", threshold, u=u)
+        of = {r.id: r.component for r in graph.components(df.select(F.col("row").alias("id")), want.selectExpr("row_a as a", "row_b as b")).collect()}
+        assert {r.id: r.component for r in groups.collect()} == of
+        assert pairs.columns == want.columns and pairs.exceptAll(want).isEmpty() and want.exceptAll(pairs).isEmpty() and not want.isEmpty()
+    assert max(seen) <= 50
