@@ -68,3 +68,14 @@ def test_dedupe_copies(spark, monkeypatch):
         assert {r.id: r.component for r in groups.collect()} == of
         assert pairs.columns == want.columns and pairs.exceptAll(want).isEmpty() and want.exceptAll(pairs).isEmpty() and not want.isEmpty()
     assert max(seen) <= 50
+
+
+def test_link_names_copies(spark):
+    """Names weigh too: each pair of classes by what its values score, blank blocks pruned."""
+    a, b = contacts(spark, copies()), contacts(spark, [(i, "ann", "a@x.com", "") for i in range(300)])
+    got = link.link_across(a, b, 0.7, prune_blank_blocks=True)
+    counts = {tuple(r) for r in got.groupBy("probability", "signals").count().collect()}
+    assert counts == {(1.0, 2, 720 * 300)}
+    want = link.scored(link.sharing(a, b, 0.7, prune_blank_blocks=True), 0.7)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString(), "values, not rows, are to be scored"
