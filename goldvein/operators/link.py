@@ -157,7 +157,7 @@ def resolve_entities(a: DataFrame, b: DataFrame | None, index: str, threshold: f
     x = prepared(a, index, *[left[s] if s in both else None for s in ("name", "email", "phone")])
     y = None if b is None else prepared(b, index, *[right[s] if s in both else None for s in ("name", "email", "phone")])
     names = "name" in both
-    return scored(sharing(x, y, threshold, names, signals=both), threshold, names), {s: (left[s], right[s]) for s in both}
+    return expanded(class_links(x, y, threshold, names, signals=both), x, y), {s: (left[s], right[s]) for s in both}
 
 
 def top(matches: DataFrame, most: int = MOST) -> DataFrame:

@@ -79,3 +79,16 @@ def test_link_names_copies(spark):
     want = link.scored(link.sharing(a, b, 0.7, prune_blank_blocks=True), 0.7)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString(), "values, not rows, are to be scored"
+
+
+def test_resolve_copies(spark):
+    """Within one table and across two, also where a name alone is enough (threshold 0.5)."""
+    frame = lambda rows: spark.createDataFrame(rows, "row long, full_name string, email string, phone string")
+    a, b = frame([r for r in copies() if r[0] % 4 < 2 or r[0] >= 720]), frame([(i, "Ann", "A@x.com", None) for i in range(300)])
+    for other, threshold in ((None, 0.7), (b, 0.7), (None, 0.5), (b, 0.5)):
+        got = link.resolve_entities(a, other, "row", threshold)[0]
+        x, y = (None if d is None else link.prepared(d, "row", "full_name", "email", "phone") for d in (a, other))
+        want = link.scored(link.sharing(x, y, threshold), threshold)
+        key = lambda d: sorted(map(tuple, d.collect()))
+        assert key(got) == sorted(set(key(want))) and got.count() > 10_000
+        assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString(), "values, not rows, are to be scored"
