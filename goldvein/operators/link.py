@@ -183,6 +183,18 @@ def summary(matches: DataFrame) -> DataFrame:
     return matches.groupBy("confidence").agg(F.count("*").alias("matches"))
 
 
+def summary_within(a: DataFrame, threshold: float = 0.85, prune_blank_blocks: bool = False, names: bool = True) -> DataFrame:
+    """``summary`` of ``dedup_within`` from the sizes of classes, without its pairs; a row id that two classes share is
+    no pair of its own."""
+    rows = a.filter("row is not null").select(F.struct(*VALUES).alias("key"), "row").distinct()
+    x, y = (rows.select(F.col("key").alias(f"row_{s}"), "row") for s in "ab")
+    n, m = (rows.groupBy(F.col("key").alias(f"row_{s}")).agg(F.count("*").alias(f"_n_{s}")) for s in "ab")
+    twice = x.join(y, "row").filter("row_a < row_b").groupBy("row_a", "row_b").agg(F.count("*").alias("_twice"))
+    met = class_links(a, None, threshold, names, prune_blank_blocks).join(n, "row_a").join(m, "row_b").join(twice, ["row_a", "row_b"], "left")
+    pairs = F.when(F.col("row_a") == F.col("row_b"), F.expr("_n_a * (_n_a - 1) div 2")).otherwise(F.col("_n_a") * F.col("_n_b") - F.coalesce("_twice", F.lit(0)))
+    return met.withColumn("_pairs", pairs).filter("_pairs > 0").groupBy("confidence").agg(F.sum("_pairs").alias("matches"))
+
+
 def best_party(names: DataFrame, parties: DataFrame, cutoff: float = 80) -> DataFrame:
     """name, party, score: the best weighted ratio from ``cutoff`` on; ties go to the smallest party name.
 

@@ -93,7 +93,7 @@ SUMMED = PAIR_SQL.format("x.\"row\" < y.\"row\"", 0.85).rsplit("\n    select ",
 
 @query(f"{SUMMED[0]} select confidence, count(*) as matches from (select {SUMMED[1]}) group by 1", "contacts")
 def match_summary(spark, sf_dir):
-    return link.summary(link.dedup_within(contact_rows(spark, sf_dir), 0.85, names=False))
+    return link.summary_within(contact_rows(spark, sf_dir), 0.85, names=False)
 
 
 @query(PAIR_SQL.format("x.\"row\" < y.\"row\"", 0.85) + " order by probability desc, row_a, row_b limit 500", "contacts")

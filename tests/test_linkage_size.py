@@ -92,3 +92,13 @@ def test_resolve_copies(spark):
         key = lambda d: sorted(map(tuple, d.collect()))
         assert key(got) == sorted(set(key(want))) and got.count() > 10_000
         assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString(), "values, not rows, are to be scored"
+
+
+def test_summary_within_copies(spark):
+    """Counts are those of all pairs, and come without them."""
+    c = contacts(spark, [*copies(), (None, "ann", "a@x.com", ""), (760, "cy", "c@x.com", "+971507654321")])
+    for threshold, names in ((0.85, False), (0.7, True), (0.5, False), (0.5, True)):
+        want = link.summary(link.dedup_within(c, threshold, names=names))
+        assert sorted(map(tuple, link.summary_within(c, threshold, names=names).collect())) == sorted(map(tuple, want.collect()))
+    many = contacts(spark, [(i, "", "a@x.com", "+971501234567") for i in range(200_000)])
+    assert [tuple(r) for r in link.summary_within(many, 0.85, names=False).collect()] == [("high", 200_000 * 199_999 // 2)]
