@@ -5,9 +5,13 @@ filters. Values are 0 to 100 (Jaro-Winkler 0 to 1); a null on either side gives
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
+
+HITS = ArrayType(StructType().add("x", StringType()).add("y", StringType()).add("score", DoubleType()))
 
 
 def masks(a: str) -> dict[str, int]:
@@ -115,6 +119,104 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + same * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
+# Lists of texts: what characters and tokens two texts have in common bounds each measure from above. The bounds of all
+# pairs are computed at once; only pairs that can reach the cutoff are measured, and these exactly.
+
+SLACK = 1e-6
+
+
+def bags(texts: list[str]) -> np.ndarray:
+    """How often each text has each character; characters are told apart by 6 bits, which can only raise a bound."""
+    out = np.zeros((64, len(texts)), np.int32)
+    for i, t in enumerate(texts):
+        for c in t:
+            out[ord(c) & 63, i] += 1
+    return out.astype(np.uint8 if out.max(initial=0) < 256 else np.int32)
+
+
+def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For all pairs, the characters in common: no subsequence in common is longer."""
+    out = np.zeros((x.shape[1], y.shape[1]), np.int32)
+    for a, b in zip(x, y):
+        if a.any() and b.any():
+            out += np.minimum(a[:, None], b[None, :])
+    return out
+
+
+def alike(xs: list[str], ys: list[str], threshold: float):
+    """(i, j, Indel ratio) of all pairs from ``threshold`` on."""
+    lengths = np.add.outer([len(x) for x in xs], [len(y) for y in ys])
+    can = 200.0 * common(bags(xs), bags(ys)) >= (threshold - SLACK) * lengths
+    for i in np.flatnonzero(can.any(1)):
+        x, of_x = xs[i], masks(xs[i])
+        for j in np.flatnonzero(can[i]):
+            n = len(x) + len(ys[j])
+            score = 200.0 * lcs(x, ys[j], of_x) / n if n else 100.0
+            if score >= threshold:
+                yield int(i), int(j), score
+
+
+def weighted_bound(xs: list[str], ys: list[str]) -> np.ndarray:
+    """An upper bound of ``weighted`` for all pairs."""
+    forms = (lambda t: t, lambda t: " ".join(sorted(t.split())), lambda t: " ".join(sorted(set(t.split()))))
+    size, met = [], []
+    last = None
+    for f in forms:
+        a, b = [f(x) for x in xs], [f(y) for y in ys]
+        if (a, b) != last:
+            of = common(bags(a), bags(b)).astype(float)
+            lengths = np.array([len(t) for t in a], float)[:, None], np.array([len(t) for t in b], float)[None, :]
+        last = a, b
+        met.append(of)
+        size.append(lengths)
+    whole = [200 * m / np.maximum(u + v, 1) for m, (u, v) in zip(met, size)]
+    part = [200 * m / np.maximum(np.minimum(u, v) + m, 1) for m, (u, v) in zip(met, size)]
+    shared = np.zeros(met[0].shape)  # length of the tokens in common, each with a blank
+    places: dict[str, list[int]] = {}
+    for j, y in enumerate(ys):
+        for t in set(y.split()):
+            places.setdefault(t, []).append(j)
+    holders: dict[str, list[int]] = {}
+    for i, x in enumerate(xs):
+        for t in set(x.split()) & places.keys():
+            holders.setdefault(t, []).append(i)
+    for t, rows in holders.items():
+        shared[np.ix_(rows, places[t])] += len(t) + 1
+    s, (u, v) = np.maximum(shared - 1, 0), size[2]
+    tokens = np.maximum(whole[2], 200 * s / np.maximum(s + np.minimum(u, v), 1))
+    u, v = size[0]
+    r = np.maximum(u, v) / np.maximum(np.minimum(u, v), 1)
+    p = np.where(r <= 8, 0.9, 0.6)
+    near = np.maximum(whole[0], 0.95 * np.maximum(whole[1], tokens))
+    far = np.maximum(whole[0], p * np.maximum(part[0], 0.95 * np.maximum(np.maximum(part[1], part[2]), np.where(s > 0, 100.0, 0))))
+    return np.where(r < 1.5, near, far)
+
+
+def best_weighted(xs: list[str], ys: list[str], cutoff: float):
+    """(i, j, weighted ratio): for each x the best y from ``cutoff`` on, of equal ones the smallest."""
+    bound = weighted_bound(xs, ys) + SLACK
+    for i in np.flatnonzero((bound >= cutoff).any(1)):
+        best, at = cutoff, None
+        for j in sorted(np.flatnonzero(bound[i] >= cutoff), key=lambda j: -bound[i, j]):
+            if bound[i, j] < best:
+                break
+            score = weighted(xs[i], ys[j])
+            if score > best or score == best and (at is None or ys[j] < ys[at]):
+                best, at = score, j
+        if at is not None:
+            yield int(i), int(at), best
+
+
+def list_function(measure):
+    """Hits (x, y, score) of ``measure`` over two columns of text lists."""
+
+    @F.pandas_udf(HITS)
+    def score(a: pd.Series, b: pd.Series, cutoff: pd.Series) -> pd.Series:
+        return pd.Series([[{"x": x[i], "y": y[j], "score": s} for i, j, s in measure(list(x), list(y), c)] for x, y, c in zip(a, b, cutoff)], dtype="object")
+
+    return score
+
+
 def arrow_function(measure):
     @F.pandas_udf(DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -134,3 +236,12 @@ partial_ratio = arrow_function(partial)
 token_set_ratio = arrow_function(token_set)
 weighted_ratio = arrow_function(weighted)
 jaro_winkler_similarity = arrow_function(jaro_winkler)
+alike_in_lists = list_function(alike)
+best_weighted_in_lists = list_function(best_weighted)
+
+
+def lists(texts: DataFrame, column: str, most: int = 512) -> DataFrame:
+    """(n, part, texts): distinct texts by length, in lists of about ``most``, dealt by hash."""
+    t = texts.select(F.col(column).alias("_t"), F.length(column).alias("n"))
+    sizes = t.groupBy("n").agg(F.ceil(F.count("*") / most).alias("_parts"))
+    return t.join(sizes, "n").groupBy("n", F.expr("pmod(xxhash64(_t), _parts)").alias("part")).agg(F.collect_list("_t").alias("texts"))

@@ -198,11 +198,12 @@ def summary_within(a: DataFrame, threshold: float = 0.85, prune_blank_blocks: bo
 def best_party(names: DataFrame, parties: DataFrame, cutoff: float = 80) -> DataFrame:
     """name, party, score: the best weighted ratio from ``cutoff`` on; ties go to the smallest party name.
 
-    Each distinct name meets every party at any size, as no block by parts of the text holds all pairs at the cutoff.
-    The names are dealt to the cores, and Spark chooses by size whether the parties are broadcast."""
-    n = names.select("name").filter("trim(name) <> ''").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism, "name")
-    p = parties.select(F.col("name").alias("party")).filter("trim(party) <> ''").distinct()
-    hits = n.crossJoin(p).withColumn("score", similarity.weighted_ratio("name", "party")).filter(F.col("score") >= cutoff)
+    Lists of names meet lists of parties, as no block by parts of the text holds all pairs at the cutoff. Bounds of all
+    pairs come from arrays of counts; a pair is measured where its bound leaves it a chance to be a name's best."""
+    n = similarity.lists(names.select("name").filter("trim(name) <> ''").distinct(), "name").select(F.col("texts").alias("_names"))
+    p = similarity.lists(parties.select(F.col("name").alias("party")).filter("trim(party) <> ''").distinct(), "party").select(F.col("texts").alias("_parties"))
+    met = n.crossJoin(p).repartition(4 * names.sparkSession.sparkContext.defaultParallelism)
+    hits = met.select(F.inline(similarity.best_weighted_in_lists("_names", "_parties", F.lit(float(cutoff))))).withColumnsRenamed({"x": "name", "y": "party"})
     return hits.groupBy("name").agg(F.min_by("party", F.struct(-F.col("score"), "party")).alias("party"), F.max("score").alias("score"))
 
 
