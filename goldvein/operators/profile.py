@@ -195,16 +195,19 @@ def name_email_issues(df: DataFrame, key: str, name: str, email: str, cutoff: fl
 
 
 def fuzzy_rows(df: DataFrame, key: str, columns: list[str], threshold: float = 85) -> DataFrame:
-    """Pairs of rows (a < b by key) whose joined lower-case texts are alike: distinct texts are scored once, within
-    the lengths that can reach the threshold. All rows take part."""
+    """Pairs of rows (a < b by key) whose joined lower-case texts are alike: distinct texts are scored once, in
+    lists of the lengths that can reach the threshold, where their common characters can too. All rows take part."""
     text = F.lower(F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
     rows = df.select(F.col(key).alias("k"), text.alias("t"))
     texts = rows.select("t").distinct()
     low = threshold / (200.0 - threshold)
-    a = texts.select(F.col("t").alias("x"), F.explode(F.sequence(F.ceil(F.length("t") * low).cast("int"), F.floor(F.length("t") / low).cast("int"))).alias("n"))
-    b = texts.select(F.col("t").alias("y"), F.length("t").alias("n"))
-    alike = a.join(b, "n").filter("x < y").withColumn("score", similarity.indel_ratio("x", "y")).filter(F.col("score") >= threshold)
-    both = alike.select("x", "y", "score").unionByName(alike.select(F.col("y").alias("x"), F.col("x").alias("y"), "score")).unionByName(texts.select(F.col("t").alias("x"), F.col("t").alias("y"), F.lit(100.0).alias("score")))
+    lists = similarity.lists(texts, "t")
+    a = lists.select(F.col("texts").alias("_xs"), F.col("n").alias("_n"), F.col("part").alias("_p"), F.explode(F.sequence(F.ceil(F.col("n") * low).cast("int"), F.floor(F.col("n") / low).cast("int"))).alias("n"))
+    met = a.join(lists, "n").filter("_n < n or _n = n and _p <= part").select("_xs", "texts", F.expr("_n = n and _p = part").alias("_own"))
+    met = met.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    alike = met.select("_own", F.inline(similarity.alike_in_lists("_xs", "texts", F.lit(float(threshold))))).filter("x < y or not _own and x > y")
+    turned = F.inline(F.array(F.struct("x", "y", "score"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), "score")))
+    both = alike.select(turned).unionByName(texts.select(F.col("t").alias("x"), F.col("t").alias("y"), F.lit(100.0).alias("score")))
     left, right = rows.select(F.col("k").alias("a"), F.col("t").alias("x")), rows.select(F.col("k").alias("b"), F.col("t").alias("y"))
     return both.join(left, "x").join(right, "y").filter("a < b").select("a", "b", "score")
 

@@ -33,3 +33,26 @@ def test_party_measures_few(spark, monkeypatch):
     assert len(seen) < 400 * 400 / 20
     got = link.best_party(*(spark.createDataFrame([(t,) for t in ts * 2], "name string") for ts in (xs, ys))).collect()
     assert {(r.name, r.party) for r in got} == set(zip(xs, ys)) and len(got) == 400
+
+
+def test_alike_measures_few(monkeypatch):
+    xs = [f"supplier#{i * 37:09} | {i % 25}" for i in range(600)]
+    seen, real = [], similarity.lcs
+    want = [(i, j, similarity.indel(x, y)) for i, x in enumerate(xs) for j, y in enumerate(xs) if similarity.indel(x, y) >= 95]
+    monkeypatch.setattr(similarity, "lcs", lambda *a: (seen.append(1), real(*a))[1])
+    assert list(similarity.alike(xs, xs, 95)) == want and len(want) > 600
+    assert len(seen) < 600 * 600 / 10
+
+
+def test_fuzzy_rows_in_many_lists(spark):
+    """More texts of one length than a list holds, other lengths, equal texts and nulls: every pair is there once."""
+    from goldvein.operators import profile
+
+    texts = [f"N{i * 7 % 1300:05}" for i in range(1300)] + ["N00007x", "n00007", None, "", "N00014"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = sorted(tuple(r) for r in profile.fuzzy_rows(df, "k", ["t"], 80).collect())
+    low = [(t or "").lower() for t in texts]
+    want = [(a, b, similarity.indel(low[a], low[b])) for a in range(len(low)) for b in range(a + 1, len(low)) if similarity.indel(low[a], low[b]) >= 80]
+    assert got == want and len(want) > 1000
+    plan = profile.fuzzy_rows(df, "k", ["t"], 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan, "lists of texts, not pairs, are to reach Python"
