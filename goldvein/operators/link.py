@@ -119,7 +119,9 @@ def class_links(a: DataFrame, b: DataFrame | None, threshold: float, names: bool
 
 def expanded(links: DataFrame, a: DataFrame, b: DataFrame | None) -> DataFrame:
     """The pairs of rows of ``class_links``. Classes are cut into units of ``UNIT`` rows, and the pairs of units are dealt
-    evenly, so no class makes a task long; the pairs within them come from two nested loops, without a join."""
+    evenly, so no class makes a task long; the pairs within them come from two nested loops, without a join. Spark's
+    generated code holds all that comes of one input row before it hands it on. ``coalesce`` to as many partitions as there
+    are ends that code between the loops, so a unit's rows are held at a time, not the pairs of two units."""
 
     def units(d: DataFrame, s: str) -> DataFrame:
         starts = F.sequence(F.lit(1), F.size("rows"), F.lit(UNIT))
@@ -130,9 +132,11 @@ def expanded(links: DataFrame, a: DataFrame, b: DataFrame | None) -> DataFrame:
         own = F.col("row_a") == F.col("row_b")
         met = met.filter(~own | (F.col("_u_a") <= F.col("_u_b"))).withColumn("_own", own & (F.col("_u_a") == F.col("_u_b")))
     rest = ["probability", "confidence", "signals"]
-    met = met.select("_rows_a", "_rows_b", *rest, *(["_own"] if b is None else [])).repartition(4 * a.sparkSession.sparkContext.defaultParallelism)
-    x, y = F.col("_a.row"), F.col("_b.row")
-    pairs = met.withColumn("_a", F.explode("_rows_a")).withColumn("_b", F.explode("_rows_b"))
+    ids = [F.col(f"_rows_{s}.row").alias(f"_rows_{s}") for s in "ab"]
+    parts = 4 * a.sparkSession.sparkContext.defaultParallelism
+    met = met.select(*ids, *rest, *(["_own"] if b is None else [])).repartition(parts)
+    x, y = F.col("_a"), F.col("_b")
+    pairs = met.withColumn("_a", F.explode("_rows_a")).drop("_rows_a").coalesce(parts).withColumn("_b", F.explode("_rows_b"))
     if b is None:
         pairs = pairs.filter((x < y) | (~F.col("_own") & (x > y)))
         x, y = F.least(x, y), F.greatest(x, y)

@@ -1,5 +1,6 @@
 """Linkage where many rows have equal values: every pair is there, and values are scored once, not once for each pair of rows."""
 
+import re
 from itertools import combinations
 
 from goldvein.operators import link
@@ -81,6 +82,17 @@ def test_link_names_copies(spark):
     assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString(), "values, not rows, are to be scored"
 
 
+def test_pairs_are_not_held(spark):
+    """Generated code ends between the two loops, else it holds all pairs of two units before it hands one on."""
+    ids = [*range(600), None]
+    a, b = contacts(spark, [(i, "ann", "a@x.com", "") for i in ids]), contacts(spark, [(i, "Ann", "A@x.com", "") for i in range(300)])
+    for got, want in ((link.link_across(a, b, 0.7), {(i, j) for i in ids for j in range(300)}), (link.dedup_within(a, 0.7), set(combinations(range(600), 2)))):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"Generate explode|Coalesce|Exchange", plan)[:4] == ["Generate explode", "Coalesce", "Generate explode", "Exchange"]
+        pairs = [(r.row_a, r.row_b) for r in got.collect()]
+        assert len(pairs) == len(want) and set(pairs) == want
+
+
 def test_resolve_copies(spark):
     """Within one table and across two, also where a name alone is enough (threshold 0.5)."""
     frame = lambda rows: spark.createDataFrame(rows, "row long, full_name string, email string, phone string")
