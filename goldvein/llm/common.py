@@ -53,6 +53,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrowed(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df``, which holds no more than ``source`` does, in no more partitions than ``source`` is read in, without a
+    shuffle. Each partition becomes a file, and a local file starts processes (Hadoop's ``chmod``)."""
+    return df.coalesce(max(1, source.rdd.getNumPartitions()))
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a folder or file in the shared store (file, hdfs, s3 ... by scheme)."""
     from pyarrow import fs

@@ -15,7 +15,8 @@ confidence ``ACCEPT`` and more beside ``LEAST_SEEDS`` different known strings, w
 accepted; candidates beside them become known, with the pattern's confidence as score (seeds have 1), and are the seeds
 of further patterns in the next round. Candidates beside a pattern accepted at last are added as kind ``context``.
 
-All counts cover all documents; the pattern-instance graph stays in tables. A pair is counted over the whole corpus
+All counts cover all documents; the pattern-instance graph stays in tables, of no more files than partitions are read
+for them, whatever the number of shuffle partitions. A pair is counted over the whole corpus
 only if its occurrences in documents with an identifier, of which there can only be more, leave its confidence a
 chance; this drops no pattern that could be accepted.
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only
+from .common import cut, narrowed, only
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -196,23 +197,25 @@ def accepted(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(side, pattern) of the patterns accepted after the rounds."""
     of = lambda column, seed: rows.select(F.explode(column).alias("x")).select("x.s", sides("x")).select("p.side", "p.pattern", "s", F.lit(seed).alias("seed"))
     beside = of("_seeds", True).unionByName(of("_more", False)).filter("pattern is not null")
-    edges = cut(beside.groupBy("side", "pattern", "s").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max(~F.col("seed")).alias("fresh")), "pii-edges")
+    edges = beside.groupBy("side", "pattern", "s").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max(~F.col("seed")).alias("fresh"))
+    edges = cut(narrowed(edges, rows), "pii-edges")
+    small = lambda df, name: cut(narrowed(df, edges), name)
     # a pattern without a candidate can add none; one with too few strings is never accepted
     able = edges.groupBy("side", "pattern").agg(F.count("*").alias("strings"), F.sum("n").alias("n"), F.max("fresh").alias("fresh")).filter(f"fresh and strings >= {LEAST_SEEDS}")
-    able = cut(able.select("side", "pattern", "n"), "pii-able")
+    able = small(able.select("side", "pattern", "n"), "pii-able")
     least = counted(rows.select("_pairs"), able, "least")
-    able = cut(able.join(least, "pattern", "left").filter(f"n >= {ACCEPT} * coalesce(least, 0)").select("side", "pattern"), "pii-patterns")
+    able = small(able.join(least, "pattern", "left").filter(f"n >= {ACCEPT} * coalesce(least, 0)").select("side", "pattern"), "pii-patterns")
     totals = counted(only(docs, "text").select(pairs(F.coalesce("text", F.lit(""))).alias("w")), able, "total")
     known = edges.groupBy("s").agg(F.max("seed").alias("seed"))  # a string that is a seed anywhere is one everywhere
-    graph = cut(edges.drop("seed", "fresh").join(able, ["side", "pattern"]).join(totals, "pattern").join(known, "s"), "pii-graph")
+    graph = small(edges.drop("seed", "fresh").join(able, ["side", "pattern"]).join(totals, "pattern").join(known, "s"), "pii-graph")
     score = graph.filter("seed").select("s", F.lit(1.0).alias("score")).distinct()
     good = None
     for i in range(ROUNDS):
         conf = graph.join(score, "s").groupBy("side", "pattern").agg((F.sum(F.col("score") * F.col("n")) / F.max("total")).alias("conf"), F.count("*").alias("strings"))
-        good = cut(conf.filter(f"conf >= {ACCEPT} and strings >= {LEAST_SEEDS}").select("side", "pattern", F.least("conf", F.lit(1.0)).alias("conf")), "pii-good")
+        good = small(conf.filter(f"conf >= {ACCEPT} and strings >= {LEAST_SEEDS}").select("side", "pattern", F.least("conf", F.lit(1.0)).alias("conf")), "pii-good")
         if i + 1 < ROUNDS:
             reached = graph.join(good, ["side", "pattern"], "left").filter("seed or conf is not null")
-            score = cut(reached.groupBy("s").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("conf"))).alias("score")), "pii-score")
+            score = small(reached.groupBy("s").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.col("conf"))).alias("score")), "pii-score")
     return good.select("side", "pattern")
 
 
@@ -233,7 +236,7 @@ def with_spans(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
     rows = extract(docs, carry)
     none = F.array().cast("array<struct<start:int,end:int,s:string>>")
     able = rows.filter("size(_more) > 0").join(discovered(rows, docs), "_row", "left").withColumn("_context", F.coalesce("_context", none))
-    return able.unionByName(rows.filter("size(_more) = 0").withColumn("_context", none))
+    return narrowed(able, rows).unionByName(rows.filter("size(_more) = 0").withColumn("_context", none))
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from goldvein.llm import decontaminate, jaccard, licences, pii, quality, secrets, tokenindex, warc
+from goldvein.llm.common import own_folder
 
 
 def words_of(text):
@@ -330,6 +331,28 @@ def test_patterns_from_found_identifiers(spark):
     assert got[30] == 1 and got[31] == 0 and all(got[i] == 1 for i in (*range(10, 14), *range(20, 24)))
 
 
+def test_contextual_pii_writes_few_files(spark, tmp_path):
+    """Small tables don't become a file for each of many shuffle partitions: local files start processes."""
+    rows = [(i, f"please write to user{i}@mail.example.com today or {i} call member{i} x{i}y") for i in range(200)]
+    rows += [(1_000 + i, f"please write to QX-{5000 + i} today {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    folder = pathlib.Path(re.sub("^file:/*", "/", own_folder(spark)))
+    old = set(folder.glob("pii*"))
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pii.scan(docs).write.parquet(f"file://{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = {d.name: len(list(d.glob("part-*"))) for d in (*set(folder.glob("pii*")) - old, tmp_path / "out")}
+    assert len(files) > 8 and max(files.values()) <= 8, files
+    got = {r.doc_id: r.n_context for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert len(got) == 300 and {i for i, n in got.items() if n} == set(range(1_000, 1_100))
+
+
 def test_pii_in_long_texts(spark):
     """Many thousand matches in one text, and a neighbour word longer than the reach."""
     text = " ".join(f"1.2.3.{i % 256} card 4349000490986231 at x{i}@y.com" for i in range(5_000))
